@@ -123,15 +123,27 @@ def hash_strings(values: pa.Array) -> np.ndarray:
     return np.fromiter((digest(x) for x in values.to_pylist()), dtype=np.uint64, count=len(values))
 
 
+#: A-Z to a-z, and every ASCII white space to a blank, byte by byte.
+_PLAIN = bytes(32 if b in (32, *range(9, 14)) else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def plain_text(column: pa.Array) -> pa.Array:
+    """Texts with A-Z in lower case and blanks for ASCII white space."""
+    column = pc.fill_null(column, "")
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = pa.concat_arrays([column.cast(pa.large_string())])
+    _, offsets, data = column.buffers()
+    data = pa.py_buffer((data.to_pybytes() if data is not None else b"").translate(_PLAIN))
+    return pa.LargeStringArray.from_buffers(len(column), offsets, data, offset=column.offset)
+
+
 def ascii_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every word of every text, in order.
 
     Words are maximal runs without ASCII white space; A-Z are lower-cased.
     """
-    column = pc.fill_null(column, "")
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string())))
+    lists = pc.split_pattern(plain_text(column), " ")
     words = lists.flatten()
     rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     full = pc.not_equal(words, "")
