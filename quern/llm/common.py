@@ -138,8 +138,8 @@ def plain_text(column: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(column), offsets, data, offset=column.offset)
 
 
-def ascii_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every word of every text, in order.
+def coded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row of each word, code of each word, distinct words).
 
     Words are maximal runs without ASCII white space; A-Z are lower-cased.
     """
@@ -149,6 +149,11 @@ def ascii_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     full = pc.not_equal(words, "")
     words, rows = words.filter(full), rows[full.to_numpy(zero_copy_only=False)]
     coded = words.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    hashes = hash_strings(coded.dictionary)
+    return rows, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def ascii_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word of every text, in order."""
+    rows, codes, words = coded_words(column)
+    hashes = hash_strings(words)
     return rows, hashes[codes] if len(hashes) else np.empty(0, dtype=np.uint64)
