@@ -38,7 +38,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
+CHUNK = 500
 FOLDS = 5
 SHARED_WORDS = 1500
 TOXIC_BYTES = 8192
@@ -135,40 +136,42 @@ def present(column: pa.Array, distance: Distance) -> tuple[np.ndarray, np.ndarra
 
 def dictionaries(texts: pa.Array, toxic: np.ndarray) -> Distance:
     """The two dictionaries, from training texts and their labels."""
-    rows, words, codes = words_of(texts)
     n = (max(1, int((~toxic).sum())), max(1, int(toxic.sum())))
-    seen = np.unique(rows * len(words) + codes) if len(codes) else np.empty(0, dtype=np.int64)
-    label, code = toxic[seen // max(1, len(words))], seen % max(1, len(words))
-    per_word = [np.bincount(code[label == y], minlength=len(words)) for y in (False, True)]
-    begins: list[Counter] = [Counter(), Counter()]
-    for y in (0, 1):
-        mine = (toxic[rows] == bool(y)) if len(rows) else np.empty(0, dtype=bool)
-        r, c = rows[mine], codes[mine]
-        order = np.argsort(r, kind="stable")
-        r, c = r[order], c[order]
-        for part in np.split(c, np.flatnonzero(np.diff(r)) + 1):
-            begins[y].update({words[i][:k] for i in set(part.tolist()) for k in BEGINNINGS if len(words[i]) >= k - 1})
+    begins: tuple[Counter, Counter] = (Counter(), Counter())
+    used: tuple[Counter, Counter] = (Counter(), Counter())
+    for lo in range(0, len(texts), CHUNK):
+        rows, words, codes = words_of(texts.slice(lo, CHUNK))
+        pairs = np.unique(rows * len(words) + codes)
+        for part in np.split(pairs, np.flatnonzero(np.diff(pairs // max(1, len(words)))) + 1):
+            if len(part):
+                y = int(toxic[lo + part[0] // len(words)])
+                own = [words[i] for i in (part % len(words)).tolist()]
+                used[y].update(own)
+                begins[y].update({w[:k] for w in own for k in BEGINNINGS if len(w) >= k - 1})
     need = max(3, MIN_SHARE * n[1])
     marks = {
         b
         for b, k in begins[1].items()
         if k >= need and begins[0][b] <= 0.002 * n[0] and math.log((k + 0.5) / (n[1] + 1)) - math.log((begins[0][b] + 0.5) / (n[0] + 1)) > 3
     }
-    told = [i for i in np.argsort(-per_word[1], kind="stable").tolist() if per_word[1][i] and any(words[i][:k] in marks for k in BEGINNINGS)] if len(words) else []
-    by_use = [i for i in np.lexsort((np.arange(len(words)), -per_word[0])).tolist() if per_word[0][i]]
-    tail = b"".join(b" " + words[i] + b" " for i in reversed(told))[-TOXIC_BYTES:]
-    shared = b"".join(b" " + words[i] for i in reversed(by_use[:SHARED_WORDS]))
-    further = b"".join(b" " + words[i] for i in by_use[SHARED_WORDS:])
+    often = lambda c: sorted(c.items(), key=lambda x: (-x[1], x[0]))
+    told = [w for w, _ in often({w: k for w, k in used[1].items() if any(w[:j] in marks for j in BEGINNINGS)})]
+    plain = [w for w, _ in often(used[0])]
+    tail = b"".join(b" " + w + b" " for w in reversed(told))[-TOXIC_BYTES:]
+    shared = b"".join(b" " + w for w in reversed(plain[:SHARED_WORDS]))
+    further = b"".join(b" " + w for w in plain[SHARED_WORDS:])
     filler = (further + b" " * len(tail))[: len(tail)]
     return Distance(shared + filler + b"\n" * 8, shared + tail + b"\n" * 8)
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 300, ridge: float = 1.0) -> Model:
-    """Dictionaries and calibration, on two halves of the training rows."""
+    """Dictionaries and calibration on the training rows, some at a time."""
     distance = dictionaries(texts, toxic)
-    rows, buckets, n = present(texts, distance)
+    n = len(texts)
     x = np.zeros((n, SINGLE * TRIPLE))
-    x[rows, buckets] = 1
+    for lo in range(0, n, CHUNK):
+        rows, buckets, _ = present(texts.slice(lo, CHUNK), distance)
+        x[lo + rows, buckets] = 1
     y = toxic.astype(float)
     weights, bias = np.zeros(x.shape[1]), math.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     for _ in range(rounds // 20):  # Newton steps of the ridge logistic model
