@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dart_minhash, decontaminate, licenses, suffix_dedup, token_counts, toxicity
+from . import bpe, dart_minhash, decontaminate, licenses, pitman_yor, suffix_dedup, syncmers, token_counts, toxicity, warc_zip
 from .common import table
 
 
@@ -14,10 +14,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.report(table(spark, sf_dir, "documents"))
+
+
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,7 +54,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe,
+        op2_syncmers,
+        op3_pitman_yor,
         op4_token_counts,
+        op5_warc_zip,
         op6_decontamination,
         op7_near_duplicates,
         op8_licenses,

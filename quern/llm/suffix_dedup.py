@@ -220,6 +220,25 @@ def remove(docs: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
     return cut.mapInArrow(run, schema)
 
 
+def rewrite(docs: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
+    """``docs`` with each text cut to the bytes kept.
+
+    A character of which only some bytes are left is dropped. Null texts stay
+    null; a text that is repeated as a whole becomes empty.
+    """
+    names = docs.columns
+    cut = remove(docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names)), F.col(text).alias("text")), size=size)
+    schema = T.StructType([docs.schema[n] for n in names])
+    place = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [None if old is None else raw.decode("utf-8", "ignore") for old, raw in zip(batch["text"].to_pylist(), batch["kept"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if i == place else batch[f"c{i}"] for i in range(len(names))], names=names)
+
+    return cut.mapInArrow(run, schema)
+
+
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
     common.small_batches(docs.sparkSession)

@@ -221,3 +221,9 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     model = train(docs, labels, key, text, label, folds=folds)
     scored = score(docs.select(key, text), model, text)
     return scored.select(key, (remainder(key, folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows scored 0.5 or more."""
+    out = "__toxicity"
+    return score(docs, train(docs, labels, key, text), text, out).where(F.col(out) < 0.5).drop(out)
