@@ -95,7 +95,7 @@ SCALAR: dict[str, Builder] = {
     "dayname": lambda d: F.date_format(d, "EEEE"), "to_seconds": lambda n: n.cast("bigint"), "date_part": lambda p, n: n, "to_timestamp": lambda n: F.timestamp_seconds(n).cast("timestamp_ntz"), "date_from_unix_date": F.date_from_unix_date,
     "from_unixtime": lambda n: F.timestamp_seconds(n).cast("timestamp_ntz"), "to_unixtime": lambda t: (F.unix_micros(t.cast("timestamp")) / 1e6), "date_format": lambda t, p: F.date_format(t, _pattern(p)), "date_parse": lambda s, p: F.to_timestamp(s, _pattern(p)).cast("timestamp_ntz"),
     # JSON and URLs
-    "json_extract_scalar": F.get_json_object,
+    "json_extract_scalar": lambda s, p: F.call_function("get_json_object", s, p),
     "url_extract_fragment": lambda u: F.try_parse_url(u, F.lit("REF")), "url_extract_host": lambda u: F.try_parse_url(u, F.lit("HOST")), "url_extract_path": lambda u: F.try_parse_url(u, F.lit("PATH")), "url_extract_protocol": lambda u: F.try_parse_url(u, F.lit("PROTOCOL")), "url_extract_query": lambda u: F.try_parse_url(u, F.lit("QUERY")),
     "url_extract_parameter": lambda u, p: F.try_parse_url(u, F.lit("QUERY"), p), "url_extract_port": lambda u: F.nullif(F.regexp_extract(u, r"^[a-z]+://[^/?#]*:(\d+)", 1), F.lit("")).cast("bigint"),
     # arrays

@@ -190,7 +190,8 @@ def usable(s: Source, stage: Stage) -> bool:
         exprs = [p.get("expr"), p.get("view")] + ([p.properties] if p.kind == "stage_extend" else [])
         for x in nodes(exprs):
             path = x.path if x.kind == "path" else x.prefix if x.kind == "call" and x.get("prefix") else None
-            if path and find(s, path) is None and path[0] not in own and path[0] != "source":
+            late = p.kind in ("calculate", "having", "order") and path and path[0] in own
+            if path and find(s, path) is None and not late and path[0] != "source":
                 return False
             if x.kind == "view_name" and find(s, x.path) is None:
                 return False
@@ -370,7 +371,7 @@ class Planner:
                     continue
                 raise ModelProblem(f"there is no output {name} to order by")
             e = outputs[name]
-            lv.order.append((e.c, o.way == "desc" if o.way else e.agg or e.t in ("date", "timestamp")))
+            lv.order.append((e.c, o.way == "desc"))
         if not asked and lv.stage.kind == "reduce":
             items = [lv.items[n] for n in lv.names if n in lv.items and n in outputs]
             first = next((i for i in items if i.e.agg or i.e.t in ("date", "timestamp")), None)
