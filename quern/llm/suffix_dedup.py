@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,22 +78,30 @@ def _anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 base = bounds[a["text"]]
                 places = [pa.array((a[k] - base).astype(np.int32)) for k in ("place", "first", "last")]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[lo:hi][a["text"]]), *places, pa.array(common.signed(a["gram"])), pa.array(common.signed(a["around"]))], names=[ROW, "place", "first", "last", "gram", "around"])
+        common.trim()
 
     return docs.select(ROW, "text").mapInArrow(run, schema)
 
 
-def _listed(texts: pa.Array, lists: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _fields(lists: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each element, its fields as columns) of an array of records."""
+    values = lists.flatten()
+    rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    columns = [pc.struct_field(values, n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+    return rows, np.column_stack(columns) if columns else np.empty((0, 0), dtype=np.int64)
+
+
+def _listed(texts: pa.Array, lists: pa.Array, names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(data, text's begin, its number in the batch, its list's fields) for each text with a list."""
-    values = lists.to_pylist()
-    with_list = [i for i, x in enumerate(values) if x]
-    taken = {i: (texts[i].as_py() or "").encode() for i in with_list}
-    for lo, hi in _pieces([taken[i] for i in with_list]):
-        own = with_list[lo:hi]
-        data, bounds = _joined([taken[i] for i in own])
-        k = [len(values[i]) for i in own]
-        number = np.repeat(np.arange(len(own)), k)
-        fields = np.array([tuple(x.values()) for i in own for x in values[i]], dtype=np.int64).reshape(-1, width)
-        yield data, bounds[number], np.asarray(own)[number], fields
+    rows, fields = _fields(lists, names)
+    own, first = np.unique(rows, return_index=True)
+    ends = np.append(first[1:], len(rows))
+    taken = [(texts[i].as_py() or "").encode() for i in own.tolist()]
+    for lo, hi in _pieces(taken):
+        data, bounds = _joined(taken[lo:hi])
+        a, b = first[lo], ends[hi - 1]
+        number = np.repeat(np.arange(hi - lo), ends[lo:hi] - first[lo:hi])
+        yield data, bounds[number], rows[a:b], fields[a:b]
 
 
 def _runs(listed: DataFrame, size: int, run_length: int) -> DataFrame:
@@ -102,7 +111,7 @@ def _runs(listed: DataFrame, size: int, run_length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch[ROW].to_numpy()
-            for data, begin, number, fields in _listed(batch["text"], batch["listed"], 4):
+            for data, begin, number, fields in _listed(batch["text"], batch["listed"], ("place", "first", "last", "single")):
                 h = windows.Hashes(data)
                 place, first, last, single = fields.T
                 j0, j1 = (place - last) // run_length, (place - first) // run_length
@@ -121,7 +130,7 @@ def _runs(listed: DataFrame, size: int, run_length: int) -> DataFrame:
                     names=[ROW, "first", "last", "core", "joint", "single"],
                 )
 
-    return listed.select(ROW, "text", "listed").mapInArrow(run, schema)
+    return listed.mapInArrow(run, schema)
 
 
 def _singles(listed: DataFrame, size: int) -> DataFrame:
@@ -131,7 +140,7 @@ def _singles(listed: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch[ROW].to_numpy()
-            for data, begin, number, fields in _listed(batch["text"], batch["listed"], 3):
+            for data, begin, number, fields in _listed(batch["text"], batch["listed"], ("first", "last", "single")):
                 h = windows.Hashes(data)
                 first, last, single = fields.T
                 k = last - first + 1
@@ -143,7 +152,7 @@ def _singles(listed: DataFrame, size: int) -> DataFrame:
                     names=[ROW, "first", "window", "again", "single"],
                 )
 
-    return listed.select(ROW, "text", "listed").mapInArrow(run, schema)
+    return listed.mapInArrow(run, schema)
 
 
 def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, run_length: int = RUN) -> DataFrame:
@@ -157,6 +166,8 @@ def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, run_length: int =
     found = _anchors(docs, size, gram)
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("__lo"), F.max("around").alias("__hi")).where("n > 1")
     held = common.checkpoint(found.join(grams.select("gram", (F.col("__lo") != F.col("__hi")).alias("several")), "gram"))
+    del found, grams
+    common.release(docs.sparkSession)  # shuffles of the first pass
 
     several = held.where("several")
     kinds = several.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(ROW).alias("__least"))
@@ -181,41 +192,53 @@ def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, run_length: int =
     return every.groupBy(ROW).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
-def _cut(text: bytes, found: list[dict] | None) -> tuple[bytes, int, int]:
-    """(bytes kept, bytes removed, removed runs)."""
-    if not found:
-        return text, 0, 0
-    pairs = np.array([(x["first"], x["end"]) for x in found], dtype=np.int64)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(pairs[:, 1])
-    begins = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
-    starts, ends = pairs[begins, 0], reach[np.append(begins[1:], len(pairs)) - 1]
-    kept, at = [], 0
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        kept.append(text[at:a])
-        at = b
-    kept.append(text[at:])
-    return b"".join(kept), int((ends - starts).sum()), len(starts)
+def _cut(texts: list[bytes], lists: pa.Array) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes kept, bytes removed, removed runs) of each text."""
+    rows, pairs = _fields(lists, ("first", "end"))
+    bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
+    for i, text in enumerate(texts):
+        own = pairs[bounds[i] : bounds[i + 1]]
+        if not len(own):
+            yield text, 0, 0
+            continue
+        own = own[np.argsort(own[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(own[:, 1])
+        begins = np.flatnonzero(np.append(True, own[1:, 0] > reach[:-1]))
+        starts, ends = own[begins, 0], reach[np.append(begins[1:], len(own)) - 1]
+        kept, at = [], 0
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            kept.append(text[at:a])
+            at = b
+        kept.append(text[at:])
+        yield b"".join(kept), int((ends - starts).sum()), len(starts)
+
+
+def _with_spans(docs: DataFrame, text: str, size: int) -> tuple[DataFrame, list[str]]:
+    """Columns c0, c1, ... besides the text, and text, ROW and spans.
+
+    All joins with texts inside take the same columns, so Spark shuffles the
+    texts once and reuses that exchange.
+    """
+    names = [n for n in docs.columns if n != text]
+    inner = common.with_row(docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names)), F.col(text).alias("text")))
+    return inner.join(spans(inner, size), ROW, "left"), names
 
 
 def remove(docs: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
-    """``docs`` with ``kept`` (bytes left), ``n_bytes``, ``n_removed`` and ``n_spans``."""
-    names = [f.name for f in docs.schema]
-    added = [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
-    if clash := {*names} & {f.name for f in added}:
-        docs = docs.drop(*clash)
-        names = [n for n in names if n not in clash]
-    fields = [docs.schema[n] for n in names]
-    inner = common.with_row(docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names)), F.col(text).alias("text")))
-    cut = inner.join(spans(inner, size), ROW, "left")
-    schema = T.StructType([*fields, *added])
+    """``docs`` with ``kept`` (bytes left), ``n_bytes``, ``n_removed`` and ``n_spans``.
+
+    Columns of these names give way.
+    """
+    added = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
+    cut, names = _with_spans(docs.drop(*({*docs.columns} & {*added.names} - {text})), text, size)
+    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField(text, T.StringType()), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = _bytes(batch["text"])
-            done = [_cut(x, s) for x, s in zip(raw, batch["spans"].to_pylist(), strict=True)]
+            done = list(_cut(raw, batch["spans"]))
             out = [pa.array([x[0] for x in done], pa.binary()), pa.array(list(map(len, raw)), pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch[f"c{i}"] for i in range(len(names))), *out], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch[f"c{i}"] for i in range(len(names))), batch["text"], *out], names=schema.names)
 
     return cut.mapInArrow(run, schema)
 
@@ -226,33 +249,32 @@ def rewrite(docs: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
     A character of which only some bytes are left is dropped. Null texts stay
     null; a text that is repeated as a whole becomes empty.
     """
-    names = docs.columns
-    cut = remove(docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names)), F.col(text).alias("text")), size=size)
-    schema = T.StructType([docs.schema[n] for n in names])
-    place = names.index(text)
+    cut, names = _with_spans(docs, text, size)
+    schema = T.StructType([*(docs.schema[n] for n in names), docs.schema[text]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = [None if old is None else raw.decode("utf-8", "ignore") for old, raw in zip(batch["text"].to_pylist(), batch["kept"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if i == place else batch[f"c{i}"] for i in range(len(names))], names=names)
+            done = [x[0].decode("utf-8", "ignore") for x in _cut(_bytes(batch["text"]), batch["spans"])]
+            left = pa.array(done, pa.string(), mask=np.asarray(batch["text"].is_null()))
+            yield pa.RecordBatch.from_arrays([*(batch[f"c{i}"] for i in range(len(names))), left], names=schema.names)
+        common.trim()
 
-    return cut.mapInArrow(run, schema)
+    return cut.mapInArrow(run, schema).select(*docs.columns)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
-    common.small_batches(docs.sparkSession)
-    inner = common.with_row(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    cut = inner.join(spans(inner, size), ROW, "left")
+    cut, _ = _with_spans(docs.select(F.col(key), F.col(text)), text, size)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = _bytes(batch["text"])
-            done = [_cut(x, s) for x, s in zip(raw, batch["spans"].to_pylist(), strict=True)]
+            done = [(n, k, hashlib.sha256(left).hexdigest()) for left, n, k in _cut(raw, batch["spans"])]
             yield pa.RecordBatch.from_arrays(
-                [batch["key"], pa.array(list(map(len, raw)), pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in done], pa.string())],
+                [batch["c0"], pa.array(list(map(len, raw)), pa.int64()), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.string())],
                 names=schema.names,
             )
+        common.trim()
 
     return cut.mapInArrow(run, schema)
