@@ -252,10 +252,16 @@ q("fn_array_agg", "run: nation -> { group_by: n_regionkey aggregate: k is array_
 q("group_by_expression_measure", "run: li -> { group_by: supplier.nation.n_name, part.p_brand aggregate: qty where: l_shipdate ? @1996 having: qty > 200 }", "SELECT n_name, p_brand, sum(l_quantity) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '1997-01-01' GROUP BY 1, 2 HAVING sum(l_quantity) > 200")
 
 
+_MODELS: dict[tuple[str, str], Model] = {}
+
+
 def model(spark: SparkSession, sf_dir: str) -> Model:
-    """The model above over one folder of tables."""
-    made = Model(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES}, virtual={"late": "region"})
-    return made.load(MODEL)
+    """The model above over one folder of tables; schemas are read once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS or _MODELS[key].spark is not spark:
+        made = Model(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES}, virtual={"late": "region"})
+        _MODELS[key] = made.load(MODEL)
+    return _MODELS[key]
 
 
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:

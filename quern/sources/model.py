@@ -264,7 +264,7 @@ class Model:
                 p = f"(SELECT * FROM {view})"
             text += p
         for name, t in self.tables.items():
-            if name.isidentifier():
+            if name.isidentifier() and name in text:
                 self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
