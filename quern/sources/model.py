@@ -346,8 +346,10 @@ class Model:
         inner.values = {**self.values, **(givens or {})}
         return planner.Query(inner, node)
 
-    def run(self, text: str | None = None, givens: dict[str, Any] | None = None) -> DataFrame:
-        return self.query(text, givens).frame()
+    def run(self, text: str | None = None, givens: dict[str, Any] | None = None, default_limit: int | None = None) -> DataFrame:
+        """The query's DataFrame; ``default_limit`` holds if its last stage has no lower one."""
+        out = self.query(text, givens).frame()
+        return out if default_limit is None else out.limit(default_limit)
 
     def search(self, source: str, text: str, limit: int = 1000, field_name: str | None = None) -> DataFrame:
         from quern.plans import planner

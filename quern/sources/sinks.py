@@ -5,18 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.plans.compiler import quoted
 
 
-def rows(df: DataFrame, limit: int | None = None) -> list[dict[str, Any]]:
-    """Result rows as dictionaries, nests included; no limit unless asked for."""
+def rows(df: DataFrame, limit: int | None = None, tag: str | None = None) -> list[dict[str, Any]]:
+    """Result rows as dictionaries, nests included; no limit unless asked for.
+
+    With a tag, ``abort(spark, tag)`` in another thread ends the query.
+    """
+    if tag is not None:
+        df.sparkSession.sparkContext.setJobGroup(tag, tag, interruptOnCancel=True)
     return [r.asDict(recursive=True) for r in (df.limit(limit) if limit is not None else df).collect()]
 
 
+def abort(spark: SparkSession, tag: str) -> None:
+    """End the jobs of queries with this tag."""
+    spark.sparkContext.cancelJobGroup(tag)
+
+
 def stream(df: DataFrame) -> Iterator[dict[str, Any]]:
     """Result rows one by one, one partition in memory at a time."""
     for r in df.toLocalIterator(prefetchPartitions=True):

@@ -179,3 +179,30 @@ def test_grouped_by_contract(spark, model):
     assert m.run("run: g2 -> { group_by: g aggregate: per_g }").count() == 3
     with pytest.raises(ModelProblem):
         m.run("run: g2 -> { group_by: k aggregate: per_g }")
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("query: q is people -> by_g run: q + { where: k > 1 } -> { aggregate: n is count() }", [(3,)]),
+        ("source: p2 is people extend { view: top is by_g + { limit: 1 } view: both is { nest: by_g nest: top } } run: p2 -> both -> { select: top.g, top.c }", [("a", 2)]),
+        ("source: p3 is people extend { view: v is { where: k < 4 group_by: g nest: n is { where: k > 1 group_by: k } } } run: p3 -> { drill: v.n.k = 3 aggregate: c }", [(1,)]),
+        ("run: people -> { join_many: o is t.table('kids') inner on k = o.p aggregate: c, m is o.count() }", [(2, 3)]),
+        ("run: people extend { accept: g, k } -> { select: * order_by: k limit: 1 }", [("a", 1)]),
+        ("run: people -> { select: k, w is kids.n order_by: k, w desc limit: 3 }", [(1, 101), (1, 100), (2, None)]),
+        ("run: people -> { index: g sample: true }", [("g", "g", "a", "string", 2), ("g", "g", "b", "string", 1), ("g", "g", None, "string", 1)]),
+        ("run: people -> { group_by: g, big is v > 20 aggregate: c order_by: 1, 2 limit: 2 }", [("a", False, 1), ("a", None, 1)]),
+        ("run: people -> { aggregate: a is string_agg(g, '-') { order_by: k desc }, b is string_agg_distinct(g) }", [("b-a-a", "a,b")]),
+        ("run: people -> { group_by: g calculate: r is row_number() order_by: g }", [("a", 1), ("b", 2), (None, 3)]),
+        ("run: people -> { select: k calculate: s is sum_cumulative(k) { order_by: k } order_by: k limit: 2 }", [(1, 1), (2, 3)]),
+    ],
+)
+def test_queries(model, text, wanted):
+    found = [tuple(r) for r in model.run(text).collect()]
+    assert found == wanted or (text.count("index") and sorted(found, key=str) == sorted(wanted, key=str))
+
+
+def test_default_limit_and_tag(model):
+    df = model.run("run: people -> { select: k }", default_limit=2)
+    assert len(sinks.rows(df, tag="some")) == 2
+    sinks.abort(model.spark, "some")
