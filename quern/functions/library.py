@@ -110,7 +110,7 @@ SCALAR: dict[str, Builder] = {
     "array_cum_sum": lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: F.aggregate(F.slice(x, F.lit(1), i), F.lit(0.0), lambda a, v: a + v.cast("double"))),
     "array_duplicates": lambda x: F.array_sort(F.filter(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda w: w == v)) > 1)), "array_sort_desc": lambda x: F.sort_array(x, asc=False), "remove_nulls": F.array_compact, "array_top_n": lambda x, n: F.slice(F.sort_array(x, asc=False), 1, n),
     # sketches
-    "hll_estimate": F.hll_sketch_estimate, "hll_export": lambda s: s, "hll_import": lambda s: s, "value_at_quantile": lambda s, q: F.kll_sketch_get_quantile_double(s, q), "quantile_at_value": lambda s, v: F.kll_sketch_get_rank_double(s, v),
+    "hll_estimate": F.hll_sketch_estimate, "hll_export": lambda s: s, "hll_import": lambda s: s, "value_at_quantile": lambda s, q: F.kll_sketch_get_quantile_double(s, q.cast("double")), "quantile_at_value": lambda s, v: F.kll_sketch_get_rank_double(s, v.cast("double")), "values_at_quantiles": lambda s, qs: F.transform(qs, lambda q: F.kll_sketch_get_quantile_double(s, q.cast("double"))), "merge_tdigest_array": lambda a: F.reduce(F.slice(a, F.lit(2), F.size(a)), F.get(a, F.lit(0)), lambda x, y: F.kll_sketch_merge_double(x, y)), "destructure_tdigest": F.kll_sketch_to_string_double,
 }
 
 #: Result kinds that matter to time arithmetic.
@@ -123,7 +123,7 @@ AGGREGATE: dict[str, Builder] = {
     "stddev": F.stddev_samp, "variance": F.var_samp, "count_approx": lambda x: F.approx_count_distinct(x), "approx_percentile": lambda x, p: F.percentile_approx(x, p), "arbitrary": F.any_value, "any_value": F.any_value,
     "bitwise_and_agg": F.bit_and, "bitwise_or_agg": F.bit_or, "bitwise_xor_agg": F.bit_xor, "bool_and": F.bool_and, "bool_or": F.bool_or, "corr": lambda y, x: F.corr(y, x), "max_by": F.max_by, "min_by": F.min_by,
     "array_agg": F.collect_list, "array_agg_distinct": lambda x: F.array_sort(F.collect_set(x)), "set_agg": lambda x: F.array_sort(F.collect_set(x)), "set_union": lambda x: F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))),
-    "hll_accumulate": lambda x: F.hll_sketch_agg(x), "hll_combine": lambda x: F.hll_union_agg(x), "tdigest_agg": lambda x: F.kll_sketch_agg_double(x.cast("double")),
+    "hll_accumulate": lambda x: F.hll_sketch_agg(x), "hll_combine": lambda x: F.hll_union_agg(x), "tdigest_agg": lambda x: F.kll_sketch_agg_double(x.cast("double")), "merge_tdigest": lambda s: F.kll_merge_agg_double(s),
     "string_agg": lambda x, s=None: F.listagg(x.cast("string"), F.lit(",") if s is None else s), "string_agg_distinct": lambda x, s=None: F.listagg_distinct(x.cast("string"), F.lit(",") if s is None else s),
 }
 

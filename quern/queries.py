@@ -287,6 +287,10 @@ def approx_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model(spark, sf_dir).run("run: li -> { group_by: l_returnflag aggregate: a is count_approx(l_partkey), p is approx_percentile(l_quantity, 0.5), h is hll_estimate(hll_accumulate(l_partkey)) }")
 
 
+def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model(spark, sf_dir).run("run: li -> { group_by: l_returnflag, l_linestatus aggregate: d is tdigest_agg(l_quantity), h is hll_accumulate(l_partkey) } -> { group_by: l_returnflag aggregate: d is merge_tdigest(d), h is hll_combine(h) } -> { select: l_returnflag, m is value_at_quantile(d, 0.5), r is quantile_at_value(d, 25), k is hll_estimate(h) }")
+
+
 def nested_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.sources.sinks import flattened
 
@@ -297,6 +301,7 @@ EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "search_ranked": (search_ranked, "SELECT 'n_name' AS \"fieldName\", n_name AS \"fieldValue\", count(*) AS weight FROM nation WHERE lower(n_name) LIKE '%nation_1%' GROUP BY 2"),
     "partition_composite": (partition_composite, "SELECT count(*) AS n, max(o_totalprice) AS hi FROM orders WHERE o_orderstatus = 'F'"),
     "approx_functions": (approx_functions, None),
+    "sketches": (sketches, None),
     "nested_csv": (nested_csv, "SELECT o_orderstatus, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1, 2"),
 }
 
