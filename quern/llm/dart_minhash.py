@@ -13,7 +13,7 @@ Signatures are joined by bands of ``ROWS`` coordinates. Texts with the same
 multiset are one *kind* from the start and only kinds are compared. In each
 bucket of a band all kinds are compared exactly with one pivot; those that are
 not similar to it are left in the bucket, and the next pivot is taken among
-them, until no bucket has two kinds. So no bucket ever makes all its pairs,
+them, until no bucket has two kinds (the last few rows in one task). So no bucket ever makes all its pairs,
 and none is cut. Links of at least ``SIMILARITY`` join kinds to classes.
 
 Defined results: null texts and texts without words have no shingle and are
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +39,13 @@ from .common import ROW, mix64
 
 WORDS = 5
 SIMILARITY = 0.8
-ROWS = 4
-BANDS = 20
+ROWS = 7
+BANDS = 30
 COORDINATES = ROWS * BANDS
+PIECE_CHARS = 300_000
+ROW_WEIGHT = 1500  # darts of a row take as much as so many characters
+TAIL_ROWS, TAIL_CHARS = 20_000, 30_000_000  # what one task may settle
+SMALL_PAIRS = 100_000  # pairs of ids that are broadcast: below 2 MB
 
 
 def cells(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -133,41 +138,110 @@ def similarity(left: pa.Array, right: pa.Array, words: int = WORDS) -> np.ndarra
     return np.divide(both, either, out=np.ones(n), where=either > 0)
 
 
+def pieces(*columns: pa.Array, size: int = PIECE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``size`` characters, which bound a task's memory."""
+    weight = np.zeros(len(columns[0]), dtype=np.int64)
+    for c in columns:
+        weight += pc.fill_null(pc.utf8_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, held = 0, 0
+    for i, w in enumerate(weight.tolist()):
+        held += w + ROW_WEIGHT
+        if held >= size:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(weight):
+        yield start, len(weight)
+
+
 def signed_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(ROW, kind_a, kind_b, bands) of each row with ``text``."""
     schema = f"{ROW} long, kind_a long, kind_b long, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            rows, hashes = cells(batch["text"], words)
-            kinds = []
-            for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
-                total = np.zeros(n, dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    np.add.at(total, rows, mix64(hashes ^ np.uint64(salt)))
-                kinds.append(pa.array(common.signed(total)))
-            keys = common.signed(bands(signatures(rows, hashes, n)).ravel())
-            some = np.bincount(rows, minlength=n) > 0
-            offsets = np.append(0, np.cumsum(np.where(some, BANDS, 0))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[np.repeat(some, BANDS)]))
-            yield pa.RecordBatch.from_arrays([batch[ROW], *kinds, lists], names=[ROW, "kind_a", "kind_b", "bands"])
+        for whole in batches:
+            for lo, hi in pieces(whole["text"]):
+                batch = whole.slice(lo, hi - lo)
+                n = batch.num_rows
+                rows, hashes = cells(batch["text"], words)
+                kinds = []
+                for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
+                    total = np.zeros(n, dtype=np.uint64)
+                    with np.errstate(over="ignore"):
+                        np.add.at(total, rows, mix64(hashes ^ np.uint64(salt)))
+                    kinds.append(pa.array(common.signed(total)))
+                keys = common.signed(bands(signatures(rows, hashes, n)).ravel())
+                some = np.bincount(rows, minlength=n) > 0
+                offsets = np.append(0, np.cumsum(np.where(some, BANDS, 0))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[np.repeat(some, BANDS)]))
+                yield pa.RecordBatch.from_arrays([batch[ROW], *kinds, lists], names=[ROW, "kind_a", "kind_b", "bands"])
+        common.trim()
 
     return docs.select(ROW, "text").mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
-    """(kind, pivot, linked) of the pairs, by their whole texts."""
-    a = texts.select(F.col(ROW).alias("kind"), F.col("text").alias("__a"))
-    b = texts.select(F.col(ROW).alias("pivot"), F.col("text").alias("__b"))
-    sides = pairs.join(a, "kind").join(b, "pivot").select("kind", "pivot", "__a", "__b")
+    """(kind, pivot, linked) of the pairs, by their whole texts.
+
+    Few pairs are broadcast (their number is checked), so that only the texts
+    that take part are shuffled.
+    """
+    pairs = common.checkpoint(pairs)
+    if pairs.count() <= SMALL_PAIRS:
+        pairs = F.broadcast(pairs)
+    a = texts.select(F.col(ROW).alias("kind"), F.col("text").alias("__a")).join(pairs, "kind")
+    b = texts.select(F.col(ROW).alias("pivot"), F.col("text").alias("__b")).join(pairs, "pivot")
+    sides = a.join(b, ["kind", "pivot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = similarity(batch["__a"], batch["__b"], words) >= threshold - 1e-12
+            parts = [similarity(batch["__a"].slice(lo, hi - lo), batch["__b"].slice(lo, hi - lo), words) for lo, hi in pieces(batch["__a"], batch["__b"])]
+            linked = np.concatenate(parts or [np.empty(0)]) >= threshold - 1e-12
             yield pa.RecordBatch.from_arrays([batch["kind"], batch["pivot"], pa.array(linked)], names=["kind", "pivot", "linked"])
+        common.trim()
+
+    return sides.select("kind", "pivot", "__a", "__b").mapInArrow(run, "kind long, pivot long, linked boolean")
 
-    return sides.mapInArrow(run, "kind long, pivot long, linked boolean")
+
+def _tail(left: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """(kind, pivot) links of what is left of all buckets, in one task.
+
+    The same pivots as in further rounds; used once rows and texts together are
+    few, whatever the size of the input.
+    """
+    listed = left.groupBy("kind").agg(F.collect_list("band").alias("bands"))
+    rows = texts.select(F.col(ROW).alias("kind"), "text").join(F.broadcast(listed), "kind").repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        buckets: dict[int, list[int]] = {}
+        for batch in batches:
+            kinds = batch["kind"].to_pylist()
+            for lo, hi in pieces(batch["text"]):
+                row, cell = cells(batch["text"].slice(lo, hi - lo), words)
+                bounds = np.searchsorted(row, np.arange(hi - lo + 1))
+                sets.update((kinds[lo + i], np.sort(cell[bounds[i] : bounds[i + 1]])) for i in range(hi - lo))
+            for kind, found in zip(kinds, batch["bands"].to_pylist(), strict=True):
+                for band in found:
+                    buckets.setdefault(band, []).append(kind)
+        known: dict[tuple[int, int], bool] = {}
+
+        def similar(pair: tuple[int, int]) -> bool:
+            if pair not in known:
+                a, b = sets[pair[0]], sets[pair[1]]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                known[pair] = both / max(1, len(a) + len(b) - both) >= threshold - 1e-12
+            return known[pair]
+
+        for members in buckets.values():
+            members.sort()
+            while len(members) > 1:
+                pivot, *rest = members
+                members = [k for k in rest if not similar((k, pivot))]
+        links = [p for p, yes in known.items() if yes]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], names=["kind", "pivot"])
+        common.trim()
+
+    return rows.mapInArrow(run, "kind long, pivot long")
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -208,8 +282,17 @@ def classes(rows: DataFrame, threshold: float = SIMILARITY, words: int = WORDS)
         verdict = common.checkpoint(_verified(tried.select("kind", "pivot").distinct(), texts, threshold, words))
         linked.append(verdict.where("linked").select("kind", "pivot"))
         left = common.checkpoint(tried.join(verdict.where("NOT linked"), ["kind", "pivot"]).select("band", "kind"))
-        if left.isEmpty():
+        if len(linked) == 1:  # later rounds are small
+            del buckets, tried, verdict
+            common.release(rows.sparkSession)
+        held = left.agg(F.count("*"), F.count_distinct("kind")).first()
+        if not held[0]:
             break
+        if held[0] <= TAIL_ROWS:
+            size = texts.join(F.broadcast(left.select(F.col("kind").alias(ROW)).distinct()), ROW).agg(F.sum(F.length("text"))).first()[0]
+            if size <= TAIL_CHARS:
+                linked.append(common.checkpoint(_tail(left, texts, threshold, words)))
+                break
     links = linked[0]
     for more in linked[1:]:
         links = links.unionByName(more)
