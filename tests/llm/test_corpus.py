@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quern.llm import dart_minhash, decontaminate, suffix_dedup, warc_zip
 
@@ -68,7 +69,9 @@ def edited(r, words, n):
     return out
 
 
-def test_near_duplicates(spark, docs, nothing):
+@pytest.mark.parametrize("tail", [20_000, 0])
+def test_near_duplicates(spark, docs, nothing, monkeypatch, tail):
+    monkeypatch.setattr(dart_minhash, "TAIL_ROWS", tail)
     r = random.Random(7)
     texts = []
     for g in range(12):
