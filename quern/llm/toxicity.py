@@ -47,7 +47,7 @@ MIN_SHARE = 0.02
 BEGINNINGS = (4, 5, 6, 7)
 TRIM = ".,;:!?|*#%$\"'()[]"
 SINGLE, TRIPLE = 8, 13  # distances are cut to these ranges
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -200,7 +200,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     found = sample.select("__text", "__toxic").orderBy(F.xxhash64("__text"), "__toxic").limit(rows).toArrow()
     if not found.num_rows or len(pc.unique(found["__toxic"])) < 2:
         return Model(Distance(b" " * 16, b" " * 16), np.zeros(SINGLE * TRIPLE), -30.0)
-    return fit(found["__text"].combine_chunks(), found["__toxic"].to_numpy(zero_copy_only=False).astype(bool))
+    model = fit(found["__text"].combine_chunks(), found["__toxic"].to_numpy(zero_copy_only=False).astype(bool))
+    model.distance.cache.clear()
+    del found
+    common.trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -212,6 +216,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in kept), pa.array(model.scores(batch[text]), pa.float64())], names=[*kept, out])
+        model.distance.cache.clear()
+        common.trim()
 
     return docs.mapInArrow(run, schema)
 
