@@ -11,10 +11,13 @@ text with an empty coordinate gets twice that rank until none is left.
 
 Signatures are joined by bands of ``ROWS`` coordinates. Texts with the same
 multiset are one *kind* from the start and only kinds are compared. In each
-bucket of a band all kinds are compared exactly with one pivot; those that are
-not similar to it are left in the bucket, and the next pivot is taken among
-them, until no bucket has two kinds (the last few rows in one task). So no bucket ever makes all its pairs,
-and none is cut. Links of at least ``SIMILARITY`` join kinds to classes.
+bucket of a band all kinds are compared exactly with one pivot, and links of at
+least ``SIMILARITY`` join kinds to classes. A bucket whose kinds are all of one
+class is settled. In the others every kind that is not of the pivot's class is
+compared with all kinds of other classes, whatever linked them before. So two
+kinds of a bucket that are similar are always in one class, and no bucket is
+cut. A large bucket is compared block by block, each pair of blocks a group of
+its own, and no pair of texts is ever a row.
 
 Defined results: null texts and texts without words have no shingle and are
 one kind; texts of fewer than five words have one shingle of all their words;
@@ -44,8 +47,12 @@ BANDS = 30
 COORDINATES = ROWS * BANDS
 PIECE_CHARS = 300_000
 ROW_WEIGHT = 1500  # darts of a row take as much as so many characters
-TAIL_ROWS, TAIL_CHARS = 20_000, 30_000_000  # what one task may settle
+TAIL_ROWS = 2_000  # rows of open buckets that one task may settle
 SMALL_PAIRS = 100_000  # pairs of ids that are broadcast: below 2 MB
+BLOCK, BLOCK_WEIGHT = 500, 500_000  # about the rows and shingles of a block of a bucket
+
+FEW = 256  # pairs of a cell that are counted one by one
+PAIRS, CELLS = 4_000_000, 2048  # pairs and cells counted at a time
 
 
 def cells(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +161,8 @@ def pieces(*columns: pa.Array, size: int = PIECE_CHARS) -> Iterator[tuple[int, i
 
 
 def signed_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(ROW, kind_a, kind_b, bands) of each row with ``text``."""
-    schema = f"{ROW} long, kind_a long, kind_b long, bands array<bigint>"
+    """(ROW, kind_a, kind_b, weight, bands) of each row with ``text``."""
+    schema = f"{ROW} long, kind_a long, kind_b long, weight long, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -170,17 +177,18 @@ def signed_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
                         np.add.at(total, rows, mix64(hashes ^ np.uint64(salt)))
                     kinds.append(pa.array(common.signed(total)))
                 keys = common.signed(bands(signatures(rows, hashes, n)).ravel())
-                some = np.bincount(rows, minlength=n) > 0
+                weight = np.bincount(rows, minlength=n)
+                some = weight > 0
                 offsets = np.append(0, np.cumsum(np.where(some, BANDS, 0))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[np.repeat(some, BANDS)]))
-                yield pa.RecordBatch.from_arrays([batch[ROW], *kinds, lists], names=[ROW, "kind_a", "kind_b", "bands"])
+                yield pa.RecordBatch.from_arrays([batch[ROW], *kinds, pa.array(weight.astype(np.int64)), lists], names=[ROW, "kind_a", "kind_b", "weight", "bands"])
         common.trim()
 
     return docs.select(ROW, "text").mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
-    """(kind, pivot, linked) of the pairs, by their whole texts.
+    """(kind, pivot) of the similar pairs, by their whole texts.
 
     Few pairs are broadcast (their number is checked), so that only the texts
     that take part are shuffled.
@@ -196,49 +204,123 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int)
         for batch in batches:
             parts = [similarity(batch["__a"].slice(lo, hi - lo), batch["__b"].slice(lo, hi - lo), words) for lo, hi in pieces(batch["__a"], batch["__b"])]
             linked = np.concatenate(parts or [np.empty(0)]) >= threshold - 1e-12
-            yield pa.RecordBatch.from_arrays([batch["kind"], batch["pivot"], pa.array(linked)], names=["kind", "pivot", "linked"])
+            yield pa.RecordBatch.from_arrays([batch["kind"], batch["pivot"]], names=["kind", "pivot"]).filter(pa.array(linked))
         common.trim()
 
-    return sides.select("kind", "pivot", "__a", "__b").mapInArrow(run, "kind long, pivot long, linked boolean")
+    return sides.select("kind", "pivot", "__a", "__b").mapInArrow(run, "kind long, pivot long")
 
 
-def _tail(left: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
-    """(kind, pivot) links of what is left of all buckets, in one task.
+def _grouped(left: DataFrame) -> DataFrame:
+    """(kind, cls, x, y, band, bx, by) of each group (band, bx, by) that a row takes part in.
 
-    The same pivots as in further rounds; used once rows and texts together are
-    few, whatever the size of the input.
+    Its block among the kinds that are not of the pivot's class is ``x`` (null:
+    it is of that class), that among all kinds is ``y``.
     """
-    listed = left.groupBy("kind").agg(F.collect_list("band").alias("bands"))
-    rows = texts.select(F.col(ROW).alias("kind"), "text").join(F.broadcast(listed), "kind").repartition(1)
+    # Buckets of the same kinds count once.
+    alike = left.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("kind").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("kind", F.lit(1))).alias("b"), F.sum("weight").alias("w"), F.min_by("cls", "kind").alias("main"))
+    one = alike.groupBy("n", "a", "b", "w", "main").agg(F.min("band").alias("band"))
+    rows = left.join(one.select("band", "n", "w", "main"), "band")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_WEIGHT), F.lit(1)).cast("int")
+    rest = rows.where("cls != main").groupBy("band").agg(F.count("*").alias("__rn"), F.sum("weight").alias("__rw"))
+    rows = rows.join(rest, "band").select("band", "kind", "cls", (F.col("cls") != F.col("main")).alias("__rest"), blocks(F.col("__rn"), F.col("__rw")).alias("__nx"), blocks(F.col("n"), F.col("w")).alias("__ny"))
+    block = lambda n: F.pmod(F.xxhash64("kind"), n).cast("int")
+    rows = rows.select("*", F.when(F.col("__rest"), block(F.col("__nx"))).alias("x"), block(F.col("__ny")).alias("y"))
+    pair = lambda x, y: F.struct(x.alias("bx"), y.alias("by"))
+    as_x = F.when(F.col("__rest"), F.transform(F.sequence(F.lit(0), F.col("__ny") - 1), lambda y: pair(F.col("x"), y)))
+    as_y = F.transform(F.sequence(F.lit(0), F.col("__nx") - 1), lambda x: pair(x, F.col("y")))
+    groups = F.array_distinct(F.concat(F.coalesce(as_x, F.array().cast("array<struct<bx:int,by:int>>")), as_y))
+    return rows.select("band", "kind", "cls", "x", "y", F.explode(groups).alias("g")).select("kind", "cls", "x", "y", "band", "g.bx", "g.by")
+
+
+def _shared_cells(row: np.ndarray, cell: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Number of cells that each row of ``x`` shares with each of ``y``."""
+    at_x, at_y = np.full(n, -1), np.full(n, -1)
+    at_x[x], at_y[y] = np.arange(len(x)), np.arange(len(y))
+    _, place = np.unique(cell, return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    keys = int(place[-1]) + 1 if len(place) else 0
+    sides = []
+    for at in (at_x, at_y):
+        inside = at[row] >= 0
+        sides.append((at[row[inside]], place[inside], np.bincount(place[inside], minlength=keys)))
+    (rx, px, nx), (ry, py, ny) = sides
+    out = np.zeros(len(x) * len(y), dtype=np.int64)
+    # Cells of few rows by their pairs, those of many by products of matrices.
+    few = nx * ny <= FEW
+    use = few[px]
+    rx_few, px_few = rx[use], px[use]
+    begin = np.append(0, np.cumsum(ny))
+    step = max(1, PAIRS // FEW)
+    for at in range(0, len(rx_few), step):
+        r, k = rx_few[at : at + step], px_few[at : at + step]
+        times = ny[k]
+        ends = np.cumsum(times)
+        inner = np.arange(int(ends[-1])) - np.repeat(ends - times, times)
+        out += np.bincount(np.repeat(r, times) * len(y) + ry[np.repeat(begin[k], times) + inner], minlength=len(out))
+    both = out.reshape(len(x), len(y))
+    often = np.flatnonzero(~few)
+    for at in range(0, len(often), CELLS):
+        named = np.full(keys, -1)
+        named[often[at : at + CELLS]] = np.arange(len(often[at : at + CELLS]))
+        parts = []
+        for r, k, size in ((rx, px, len(x)), (ry, py, len(y))):
+            use = named[k] >= 0
+            part = np.zeros((size, CELLS), dtype=np.float32)
+            part[r[use], named[k[use]]] = 1
+            parts.append(part)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    return both
+
+
+def _group_links(held: pa.Table, threshold: float, words: int) -> np.ndarray:
+    """Rows (a, b) of linked classes in whole groups."""
+    held = held.combine_chunks()
+    n = len(held)
+    column = lambda name: held[name].to_numpy()
+    row, cell = cells(held["text"].combine_chunks(), words)
+    weight = np.bincount(row, minlength=n)
+    band, bx, by, cls = column("band"), column("bx"), column("by"), column("cls")
+    new = np.append(True, (band[1:] != band[:-1]) | (bx[1:] != bx[:-1]) | (by[1:] != by[:-1]))
+    with np.errstate(over="ignore"):
+        cell = cell ^ mix64(np.cumsum(new).astype(np.uint64)[row])
+    x = np.flatnonzero(pc.fill_null(held["x"], -1).to_numpy() == bx)
+    y = np.flatnonzero(column("y") == by)
+    both = _shared_cells(row, cell, x, y, n)
+    i, j = np.nonzero(both)
+    shared, i, j = both[i, j], x[i], y[j]
+    near = (cls[i] != cls[j]) & (shared / (weight[i] + weight[j] - shared) >= threshold - 1e-12)
+    i, j = cls[i[near]], cls[j[near]]
+    return np.unique(np.column_stack([np.maximum(i, j), np.minimum(i, j)]), axis=0)
+
+
+def _open_links(left: DataFrame, texts: DataFrame, threshold: float, words: int, one_task: bool) -> DataFrame:
+    """(kind, pivot): similar classes, named by a kind each, of buckets of several classes."""
+    keys = ["band", "bx", "by"]
+    rows = common.checkpoint(_grouped(left)).join(texts.select(F.col(ROW).alias("kind"), "text"), "kind").select("cls", "x", "y", *keys, "text")
+    rows = (rows.repartition(1) if one_task else rows.repartition(*keys)).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-        buckets: dict[int, list[int]] = {}
+        def linked(held: pa.Table) -> pa.RecordBatch:
+            found = _group_links(held, threshold, words)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["kind", "pivot"])
+
+        # Whole groups are held until they are PIECE_CHARS long.
+        held: list[pa.RecordBatch] = []
+        chars, group = 0, None
         for batch in batches:
-            kinds = batch["kind"].to_pylist()
-            for lo, hi in pieces(batch["text"]):
-                row, cell = cells(batch["text"].slice(lo, hi - lo), words)
-                bounds = np.searchsorted(row, np.arange(hi - lo + 1))
-                sets.update((kinds[lo + i], np.sort(cell[bounds[i] : bounds[i + 1]])) for i in range(hi - lo))
-            for kind, found in zip(kinds, batch["bands"].to_pylist(), strict=True):
-                for band in found:
-                    buckets.setdefault(band, []).append(kind)
-        known: dict[tuple[int, int], bool] = {}
-
-        def similar(pair: tuple[int, int]) -> bool:
-            if pair not in known:
-                a, b = sets[pair[0]], sets[pair[1]]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                known[pair] = both / max(1, len(a) + len(b) - both) >= threshold - 1e-12
-            return known[pair]
-
-        for members in buckets.values():
-            members.sort()
-            while len(members) > 1:
-                pivot, *rest = members
-                members = [k for k in rest if not similar((k, pivot))]
-        links = [p for p, yes in known.items() if yes]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], names=["kind", "pivot"])
+            names = list(zip(*(batch[k].to_pylist() for k in keys), strict=True))
+            lengths = pc.utf8_length(batch["text"]).to_pylist()
+            start = 0
+            for i, name in enumerate(names):
+                if name != group and chars >= PIECE_CHARS:
+                    yield linked(pa.Table.from_batches([*held, batch.slice(start, i - start)]))
+                    held, chars, start = [], 0, i
+                group = name
+                chars += lengths[i] + ROW_WEIGHT // 10
+            held.append(batch.slice(start))
+        if held and sum(b.num_rows for b in held):
+            yield linked(pa.Table.from_batches(held))
         common.trim()
 
     return rows.mapInArrow(run, "kind long, pivot long")
@@ -271,32 +353,24 @@ def classes(rows: DataFrame, threshold: float = SIMILARITY, words: int = WORDS)
     kinds = made.groupBy("kind_a", "kind_b").agg(F.min(ROW).alias("kind"))
     # Bands depend on the kind alone; they are read from its first row.
     first = made.join(kinds.select(F.col("kind").alias(ROW)), ROW, "left_semi")
-    keyed = first.select(F.explode("bands").alias("band"), F.col(ROW).alias("kind"))
+    keyed = first.select(F.explode("bands").alias("band"), F.col(ROW).alias("kind"), "weight")
     shared = keyed.groupBy("band").agg(F.count("*").alias("__n")).where("__n > 1")
     left = common.checkpoint(keyed.join(shared.select("band"), "band"))
     texts = common.checkpoint(rows.select(ROW, "text").join(left.select(F.col("kind").alias(ROW)).distinct(), ROW, "left_semi"))
-    linked = []
-    while True:
-        buckets = left.groupBy("band").agg(F.min("kind").alias("pivot"), F.count("*").alias("__n")).where("__n > 1").select("band", "pivot")
-        tried = left.join(buckets, "band").where("kind != pivot")
-        verdict = common.checkpoint(_verified(tried.select("kind", "pivot").distinct(), texts, threshold, words))
-        linked.append(verdict.where("linked").select("kind", "pivot"))
-        left = common.checkpoint(tried.join(verdict.where("NOT linked"), ["kind", "pivot"]).select("band", "kind"))
-        if len(linked) == 1:  # later rounds are small
-            del buckets, tried, verdict
-            common.release(rows.sparkSession)
-        held = left.agg(F.count("*"), F.count_distinct("kind")).first()
-        if not held[0]:
-            break
-        if held[0] <= TAIL_ROWS:
-            size = texts.join(F.broadcast(left.select(F.col("kind").alias(ROW)).distinct()), ROW).agg(F.sum(F.length("text"))).first()[0]
-            if size <= TAIL_CHARS:
-                linked.append(common.checkpoint(_tail(left, texts, threshold, words)))
-                break
-    links = linked[0]
-    for more in linked[1:]:
-        links = links.unionByName(more)
-    joined = components(links.distinct(), "kind", "pivot")
+    buckets = left.groupBy("band").agg(F.min("kind").alias("pivot"))
+    tried = left.join(buckets, "band").where("kind != pivot").select("kind", "pivot").distinct()
+    links = common.checkpoint(_verified(tried, texts, threshold, words))
+    joined = common.checkpoint(components(links, "kind", "pivot"))
+    known = common.checkpoint(left.join(joined.toDF("kind", "cls"), "kind", "left").withColumn("cls", F.coalesce("cls", "kind")))
+    # Buckets of one class are settled.
+    several = known.groupBy("band").agg(F.min("cls").alias("__lo"), F.max("cls").alias("__hi")).where("__lo < __hi").select("band")
+    left = common.checkpoint(known.join(several, "band", "left_semi"))
+    del buckets, tried, known, several
+    common.release(rows.sparkSession)
+    held = left.count()
+    if held:
+        more = common.checkpoint(_open_links(left, texts, threshold, words, held <= TAIL_ROWS))
+        joined = components(links.unionByName(more).distinct(), "kind", "pivot")
     named = kinds.join(joined.toDF("kind", "cls"), "kind", "left").select("kind_a", "kind_b", "kind", F.coalesce("cls", "kind").alias("cls"))
     return made.select(ROW, "kind_a", "kind_b").join(named, ["kind_a", "kind_b"]).select(ROW, "kind", "cls")
 

@@ -102,6 +102,40 @@ def test_near_duplicates(spark, docs, nothing, monkeypatch, tail):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2  # two repeats of row 4
 
 
+@pytest.mark.parametrize("tail", [20_000, 0])
+@pytest.mark.parametrize("place", [0, 15, 30])
+def test_near_duplicates_hub(spark, monkeypatch, tail, place):
+    """Copies that only their hub links are one class, wherever the hub stands."""
+    monkeypatch.setattr(dart_minhash, "TAIL_ROWS", tail)
+    monkeypatch.setattr(dart_minhash, "BLOCK", 4, raising=False)
+    r = random.Random(11)
+    hub = [f"w{i}" for i in range(300)]
+    texts = []
+    for c in range(30):
+        copy = list(hub)
+        for k, at in enumerate(r.sample(range(10, 290, 10), 6)):
+            copy[at] = f"c{c}x{k}"
+        texts.append(" ".join(copy))
+    texts.insert(place, " ".join(hub))
+    pairs = dart_minhash.similarity(pa.array([" ".join(hub)] * 30), pa.array([t for t in texts if t != " ".join(hub)]))
+    assert (pairs >= 0.8).all()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.class_id for x in dart_minhash.report(df).collect()} == {0}
+
+
+@pytest.mark.parametrize("few", [1, 256])
+def test_shared_cells(monkeypatch, few):
+    monkeypatch.setattr(dart_minhash, "FEW", few)
+    monkeypatch.setattr(dart_minhash, "PAIRS", 1000)
+    monkeypatch.setattr(dart_minhash, "CELLS", 7)
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, r.integers(0, 40))) for _ in range(25)]
+    row, cell = np.repeat(np.arange(25), [len(x) for x in sets]), np.concatenate(sets).astype(np.uint64)
+    x, y = np.arange(0, 25, 2), np.arange(5, 25)
+    found = dart_minhash._shared_cells(row, cell, x, y, 25)
+    assert found.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in y] for i in x]
+
+
 def test_signatures_estimate_similarity():
     r = random.Random(2)
     errors = []
