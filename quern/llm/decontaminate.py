@@ -5,15 +5,19 @@ placeholders. Windows of ``WINDOW`` tokens of the benchmark's items are
 hash-joined to those of the documents. Windows of one document and item on the
 same diagonal (document place minus item place) are one alignment; its slots
 have to be consistent: a value of the item always stands for the same value of
-the document and the other way round. So a question is found as well when its
-numbers, names or units were exchanged throughout, but not when a text merely
-has the same shape. A pair is reported if the consistent windows cover at least
-``COVERAGE`` of the item's windows.
+the document (two values of the item may stand for equal ones). So a question is
+found as well when its numbers, names or units were exchanged throughout, but
+not when a text merely has the same shape. Windows whose slots have the item's
+own values are verbatim and count whatever the rest of the alignment does. A
+pair is reported if the windows that count cover at least ``COVERAGE`` of the
+item's windows, or if ``VERBATIM`` tokens in a row are verbatim.
 
 Numbers are tokens with a digit and number words; units come from a fixed
 list; names are capitalised words inside a sentence. Other words are compared
-in lower case without punctuation around them. Windows need at least half of
-their tokens literal. Items shorter than a window are one window as they are.
+in lower case without punctuation around them. Windows of which less than half
+of the tokens are literal are compared by the values of all tokens; they do not
+count for ``COVERAGE`` unless an item has no others. Items shorter than a window
+are one window as they are.
 
 Windows of the benchmark are sent to the executors as a filter if there are at
 most ``FILTER_WINDOWS`` of them (a checked bound); a larger benchmark is joined
@@ -40,6 +44,7 @@ from .common import ROW, mix64
 
 WINDOW = 8
 COVERAGE = 0.25
+VERBATIM = 13
 FILTER_WINDOWS = 1_000_000
 TRIM = ".,;:!?|*#\"'()[]{}<>«»“”‘’…–—-"
 
@@ -53,10 +58,11 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Tokens:
-    """Tokens of a batch: row, code (0: not in the vocabulary), placeholder kind, and text."""
+    """Tokens of a batch: row, code and code of the value (0: not in the vocabulary), placeholder kind, and text."""
 
     row: np.ndarray
     code: np.ndarray
+    value: np.ndarray
     kind: np.ndarray
     text: pa.Array
     index: np.ndarray
@@ -92,27 +98,32 @@ def tokens(column: pa.Array, vocabulary: pa.Array | None = None) -> Tokens:
     kind[number[index]] = NUMBER
     kind[unit[index]] = UNIT
     kind[title[index] & ~starts] = NAME
-    return Tokens(rows, np.where(kind > 0, kind, literal[index]), kind, bare, index)
+    return Tokens(rows, np.where(kind > 0, kind, literal[index]), literal[index], kind, bare, index)
 
 
-def window_hashes(t: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first token, hash) of each window of enough literal tokens, all known."""
+def window_hashes(t: Tokens, width: int, by_value: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, hash) of each window of enough literal tokens, all known.
+
+    With ``by_value`` the other windows, by the values of all their tokens.
+    """
     n = len(t.row) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    code = t.value if by_value else t.code
     fine = t.row[:n] == t.row[width - 1 :]
-    unknown = np.append(0, np.cumsum(t.code == 0))
+    unknown = np.append(0, np.cumsum(code == 0))
     literal = np.append(0, np.cumsum(t.kind == 0))
-    fine &= (unknown[width:] == unknown[:n]) & (2 * (literal[width:] - literal[:n]) >= width)
+    enough = 2 * (literal[width:] - literal[:n]) >= width
+    fine &= (unknown[width:] == unknown[:n]) & (enough != by_value)
     at = np.flatnonzero(fine)
-    h = np.full(len(at), width, dtype=np.uint64)
+    h = np.full(len(at), width + (1 << 16 if by_value else 0), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
-            h = mix64(h * STEP + t.code[at + k])
+            h = mix64(h * STEP + code[at + k])
     return at, h
 
 
-SCHEMA = "key long, place int, width int, hash long, slots array<string>"
+SCHEMA = "key long, place int, width int, by_value boolean, hash long, slots array<string>"
 
 
 def _windows(t: Tokens, keys: np.ndarray, widths: list[int], wanted: np.ndarray | None, own_length: bool) -> Iterator[pa.RecordBatch]:
@@ -120,8 +131,8 @@ def _windows(t: Tokens, keys: np.ndarray, widths: list[int], wanted: np.ndarray
     lengths = np.diff(np.append(begins, len(t.row)))
     begin_of, length_of = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
     begin_of[t.row[begins]], length_of[t.row[begins]] = begins, lengths
-    for width in widths:
-        at, h = window_hashes(t, width)
+    for width, by_value in ((w, v) for w in widths for v in (False, True)):
+        at, h = window_hashes(t, width, by_value)
         keep = np.ones(len(at), dtype=bool)
         if own_length and width < WINDOW:
             keep &= length_of[t.row[at]] == width
@@ -134,8 +145,8 @@ def _windows(t: Tokens, keys: np.ndarray, widths: list[int], wanted: np.ndarray
         texts = t.text
         slots = [[f"{t.kind[p + k]}:{texts[int(t.index[p + k])].as_py().lower()}" for k in range(width) if t.kind[p + k]] for p in at.tolist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[t.row[at]]), pa.array((at - begin_of[t.row[at]]).astype(np.int32)), pa.array(np.full(len(at), width, dtype=np.int32)), pa.array(common.signed(h)), pa.array(slots, pa.list_(pa.string()))],
-            names=["key", "place", "width", "hash", "slots"],
+            [pa.array(keys[t.row[at]]), pa.array((at - begin_of[t.row[at]]).astype(np.int32)), pa.array(np.full(len(at), width, dtype=np.int32)), pa.array(np.full(len(at), by_value)), pa.array(common.signed(h)), pa.array(slots, pa.list_(pa.string()))],
+            names=["key", "place", "width", "by_value", "hash", "slots"],
         )
 
 
@@ -177,16 +188,29 @@ def leaks(rows: DataFrame, items: DataFrame, coverage: float = COVERAGE, filter_
         wanted = np.unique(known.select("hash").toArrow()["hash"].to_numpy().view(np.uint64))
         vocabulary = _vocabulary(items)
     found = windows(rows, widths, wanted, vocabulary)
-    totals = known.groupBy("key").agg(F.count("*").alias("item_windows")).withColumnRenamed("key", "item_row")
-    items_side = known.select("hash", "width", F.col("key").alias("item_row"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    matched = found.join(items_side, ["hash", "width"]).select(F.col("key").alias(ROW), "item_row", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs"))
+    template = F.count(F.when(~F.col("by_value"), 1))
+    totals = known.groupBy("key").agg(F.count("*").alias("item_windows"), template.alias("__template")).withColumnRenamed("key", "item_row")
+    items_side = known.select("hash", "width", "by_value", F.col("key").alias("item_row"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    matched = found.join(items_side, ["hash", "width", "by_value"]).select(F.col("key").alias(ROW), "item_row", "item_place", "width", "by_value", (F.col("place") - F.col("item_place")).alias("diagonal"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("pairs"))
     # Aggregates of each alignment: its windows and its distinct slot pairs,
     # both bounded by the length of the item.
-    aligned = matched.groupBy(ROW, "item_row", "diagonal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda x: x[side])))
-    consistent = aligned.where((distinct("i") == F.size("pairs")) & (distinct("d") == F.size("pairs")))
-    covered = consistent.groupBy(ROW, "item_row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"))
-    return covered.join(totals, "item_row").where(F.col("n_windows") >= coverage * F.col("item_windows")).select(ROW, "item_row", "n_windows", "item_windows")
+    place = F.struct("item_place", "by_value")
+    verbatim = F.forall("pairs", lambda x: x["i"] == x["d"])
+    aligned = matched.groupBy(ROW, "item_row", "diagonal").agg(
+        F.collect_set(place).alias("places"),
+        F.collect_set(F.when(verbatim, place)).alias("same"),
+        F.array_sort(F.collect_set(F.when(verbatim & (F.col("width") == WINDOW), F.col("item_place")))).alias("run"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+    )
+    consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x["i"]))) == F.size("pairs")
+    step = VERBATIM - WINDOW
+    starts = F.when(F.size("run") > step, F.sequence(F.lit(1), F.size("run") - step))
+    long_run = F.coalesce(F.exists(starts, lambda k: F.element_at("run", k + step) - F.element_at("run", k) == step), F.lit(False))
+    counted = aligned.select(ROW, "item_row", F.when(consistent, F.col("places")).otherwise(F.col("same")).alias("places"), long_run.alias("__long"))
+    covered = counted.groupBy(ROW, "item_row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.max("__long").alias("__long"))
+    covered = covered.select(ROW, "item_row", "__long", F.size("places").cast("long").alias("n_windows"), F.size(F.filter("places", lambda p: ~p["by_value"])).alias("__n"))
+    part = F.when(F.col("__template") > 0, F.col("__n") >= coverage * F.col("__template")).otherwise(F.col("n_windows") >= coverage * F.col("item_windows"))
+    return covered.join(totals, "item_row").where((F.col("n_windows") > 0) & (F.col("__long") | part)).select(ROW, "item_row", "n_windows", "item_windows")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

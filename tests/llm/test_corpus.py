@@ -173,6 +173,24 @@ def test_leaks(spark, docs, nothing):
     assert decontaminate.remove(docs, bench).count() == docs.count()
 
 
+def test_leaks_of_part(spark):
+    r = random.Random(4)
+    long_item = [f"word{r.randrange(10**6)}" for _ in range(200)]
+    numbers = "we counted 5 red boxes and 3 blue boxes on the shelf"
+    heavy = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 are all"
+    names = "the letter that Anna wrote was read by all of the neighbours while the rain fell on the old roof of Anna last night"
+    bench = spark.createDataFrame([(1, " ".join(long_item)), (2, numbers), (3, heavy), (4, names)], "item_id long, text string")
+    docs = [
+        "so " + " ".join(long_item[80:130]) + " end",  # a quarter of the item is not reached
+        "so " + " ".join(long_item[80:92]) + " end",  # 12 tokens
+        numbers.replace("5", "4").replace("3", "4"),  # two values exchanged for equal ones
+        "so 1 2 3 4 5 6 7 8 9 10 11 12 13 14 end",  # nearly all placeholders
+        names.replace("of Anna", "of Bob").replace("that Anna", "that Eve"),  # one inconsistent slot
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert sorted((x.doc_id, x.item_id) for x in decontaminate.report(df, bench).collect()) == [(0, 1), (2, 2), (3, 3), (4, 4)]
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
