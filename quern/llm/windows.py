@@ -16,7 +16,7 @@ from .common import mix64, powers
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-PLACE_BITS = np.uint64(23)
+#: Bits of a key that hold a gram's place; longer pieces are keyed in parts.
 PLACE = np.uint64((1 << 23) - 1)
 #: Bytes handled at a time; a single longer text still is one piece.
 PIECE = 1 << 21
@@ -62,6 +62,23 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
+def least_places(grams: np.ndarray, width: int) -> np.ndarray:
+    """Place of the gram of least hash, leftmost if several, of each ``width`` neighbours.
+
+    Places inside a part fit ``PLACE``; neighbouring parts overlap, so that
+    each run of neighbours is whole in one.
+    """
+    step = int(PLACE) + 2 - width
+    if step < 1:
+        raise ValueError(f"windows of more than {int(PLACE) + 1} grams")
+    parts = [np.empty(0, dtype=np.int64)]
+    for at in range(0, len(grams) - width + 1, step):
+        part = grams[at : at + step + width - 1]
+        keys = (part & ~PLACE) | np.arange(len(part), dtype=np.uint64)
+        parts.append((sliding_min(keys, width) & PLACE).astype(np.int64) + at)
+    return np.concatenate(parts)
+
+
 def anchors(data: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> dict[str, np.ndarray]:
     """Anchors of all windows of the texts data[bounds[i]:bounds[i + 1]].
 
@@ -72,13 +89,12 @@ def anchors(data: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> dict[
     """
     h = Hashes(data)
     grams = h.all_of(gram)
-    keys = (grams & ~PLACE) | (np.arange(len(grams), dtype=np.uint64) & PLACE)
-    least = sliding_min(keys, size - gram + 1)
+    least = least_places(grams, size - gram + 1)
     start = np.arange(len(least))
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
     inside = start + size <= bounds[1:][text] if len(least) else np.empty(0, dtype=bool)
     start, text = start[inside], text[inside]
-    place = (least[inside] & PLACE).astype(np.int64)
+    place = least[inside]
     new = np.ones(len(start), dtype=bool)
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)

@@ -180,3 +180,18 @@ def test_anchors_cover_windows(texts, size):
     a = windows.anchors(data, bounds, size, max(1, size // 3))
     covered = sorted(p for f, last in zip(a["first"], a["last"], strict=True) for p in range(f, last + 1))
     assert covered == [p for i in range(len(texts)) for p in range(bounds[i], bounds[i + 1] - size + 1)]
+
+
+def test_anchors_of_long_pieces(monkeypatch):
+    """Places beyond PLACE, and ties across it, in random and in periodic bytes."""
+    monkeypatch.setattr(windows, "PLACE", np.uint64(63))
+    r = random.Random(9)
+    size, gram = 20, 5
+    for data in (bytes(r.choice(b"ab") for _ in range(1000)), b"abcdefg" * 150, b"a" * 700):
+        a = windows.anchors(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]), size, gram)
+        code = windows.Hashes(np.frombuffer(data, dtype=np.uint8)).all_of(gram)
+        order = code & ~np.uint64(63)
+        wanted = [p + int(np.argmin(order[p : p + size - gram + 1])) for p in range(len(data) - size + 1)]
+        found = [place for place, first, last in zip(a["place"], a["first"], a["last"], strict=True) for _ in range(first, last + 1)]
+        assert found == wanted
+        assert a["gram"].tolist() == code[a["place"]].tolist()
