@@ -6,9 +6,11 @@ import ctypes
 import functools
 import gc
 import os
+import re
 import tempfile
 import time
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -31,25 +33,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for executors with little memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep Arrow batches small enough for executors with little memory.
+
+    Results are lazy, so the setting has to hold until they are read; a session
+    that has chosen a smaller size keeps it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def with_row(df: DataFrame) -> DataFrame:
-    """Add ROW. The input has to be a table scan (or narrow functions of
-    one), whose row order is the same each time a task is run again."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    """``df`` with ROW, written once to the shared folder and read from there.
+
+    The number that Spark gives a row depends on how files are packed into
+    partitions, which may change between two jobs; so no job numbers rows anew.
+    """
+    return checkpoint(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    It is the one named by ``spark.checkpoint.dir``. Where that is unset, as
-    in tests on a single machine, a temporary folder is set as the session's.
+    It is the one named by ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder is set as the session's on a single machine, as in tests;
+    a cluster has no such folder, so there it is an error.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -63,8 +77,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, "step")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where the tables of ``checkpoint`` are; an entry goes with its frame.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of ``checkpoint`` that nothing reads any more."""
+    for df in frames:
+        if path := _paths.pop(df, None):
+            jvm = df.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has at most so many rows (they are counted).
+
+    A larger one is joined by a shuffle, in which Spark splits skewed keys.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def release(spark: SparkSession) -> None:

@@ -47,8 +47,8 @@ BANDS = 30
 COORDINATES = ROWS * BANDS
 PIECE_CHARS = 300_000
 ROW_WEIGHT = 1500  # darts of a row take as much as so many characters
-TAIL_ROWS = 2_000  # rows of open buckets that one task may settle
 SMALL_PAIRS = 100_000  # pairs of ids that are broadcast: below 2 MB
+SMALL_CLASSES = 200_000  # classes that are broadcast: below 10 MB
 BLOCK, BLOCK_WEIGHT = 500, 500_000  # about the rows and shingles of a block of a bucket
 
 FEW = 256  # pairs of a cell that are counted one by one
@@ -190,24 +190,36 @@ def signed_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
     """(kind, pivot) of the similar pairs, by their whole texts.
 
-    Few pairs are broadcast (their number is checked), so that only the texts
-    that take part are shuffled.
+    The kinds of a pivot are cut into groups of about ``BLOCK``, each with one
+    copy of the pivot's text, which comes first; so a pivot of any number of
+    kinds is spread over tasks. Few pairs are broadcast (their number is
+    checked), so that only the texts that take part are shuffled.
     """
     pairs = common.checkpoint(pairs)
-    if pairs.count() <= SMALL_PAIRS:
-        pairs = F.broadcast(pairs)
-    a = texts.select(F.col(ROW).alias("kind"), F.col("text").alias("__a")).join(pairs, "kind")
-    b = texts.select(F.col(ROW).alias("pivot"), F.col("text").alias("__b")).join(pairs, "pivot")
-    sides = a.join(b, ["kind", "pivot"])
+    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__groups"))
+    part = F.pmod(F.xxhash64("kind"), F.col("__groups")).cast("int")
+    grouped = common.checkpoint(pairs.join(sizes, "pivot").select("kind", "pivot", part.alias("part")))
+    side = texts.select(F.col(ROW).alias("node"), "text")
+    first = grouped.select(F.col("pivot").alias("node"), "pivot", "part", F.lit(None).cast("long").alias("kind")).distinct()
+    parts = first.unionByName(grouped.select(F.col("kind").alias("node"), "pivot", "part", "kind"))
+    rows = side.join(common.sized(common.checkpoint(parts), SMALL_PAIRS), "node").select("pivot", "part", "kind", "text")
+    rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("kind").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.array([""], pa.string())  # text of the pivot at hand
         for batch in batches:
-            parts = [similarity(batch["__a"].slice(lo, hi - lo), batch["__b"].slice(lo, hi - lo), words) for lo, hi in pieces(batch["__a"], batch["__b"])]
-            linked = np.concatenate(parts or [np.empty(0)]) >= threshold - 1e-12
-            yield pa.RecordBatch.from_arrays([batch["kind"], batch["pivot"]], names=["kind", "pivot"]).filter(pa.array(linked))
+            begins = batch["kind"].is_null().to_numpy(zero_copy_only=False)
+            source = pa.concat_arrays([held, batch["text"].cast(pa.string())])
+            place = np.maximum.accumulate(np.where(begins, np.arange(1, len(begins) + 1), 0))
+            held = source.slice(int(place[-1]) if len(place) else 0, 1)
+            use = pa.array(~begins)
+            of, own = source.take(pa.array(place)).filter(use), batch["text"].filter(use)
+            linked = [similarity(own.slice(lo, hi - lo), of.slice(lo, hi - lo), words) for lo, hi in pieces(own, of)]
+            near = pa.array(np.concatenate(linked or [np.empty(0)]) >= threshold - 1e-12)
+            yield pa.RecordBatch.from_arrays([batch["kind"].filter(use), batch["pivot"].filter(use)], names=["kind", "pivot"]).filter(near)
         common.trim()
 
-    return sides.select("kind", "pivot", "__a", "__b").mapInArrow(run, "kind long, pivot long")
+    return rows.mapInArrow(run, "kind long, pivot long")
 
 
 def _grouped(left: DataFrame) -> DataFrame:
@@ -294,11 +306,11 @@ def _group_links(held: pa.Table, threshold: float, words: int) -> np.ndarray:
     return np.unique(np.column_stack([np.maximum(i, j), np.minimum(i, j)]), axis=0)
 
 
-def _open_links(left: DataFrame, texts: DataFrame, threshold: float, words: int, one_task: bool) -> DataFrame:
+def _open_links(left: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
     """(kind, pivot): similar classes, named by a kind each, of buckets of several classes."""
     keys = ["band", "bx", "by"]
     rows = common.checkpoint(_grouped(left)).join(texts.select(F.col(ROW).alias("kind"), "text"), "kind").select("cls", "x", "y", *keys, "text")
-    rows = (rows.repartition(1) if one_task else rows.repartition(*keys)).sortWithinPartitions(*keys)
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(held: pa.Table) -> pa.RecordBatch:
@@ -350,7 +362,8 @@ def classes(rows: DataFrame, threshold: float = SIMILARITY, words: int = WORDS)
     """
     common.small_batches(rows.sparkSession)
     made = common.checkpoint(signed_rows(rows, words))
-    kinds = made.groupBy("kind_a", "kind_b").agg(F.min(ROW).alias("kind"))
+    # Written before it is joined, so that Spark can split the rows of a hot kind.
+    kinds = common.checkpoint(made.groupBy("kind_a", "kind_b").agg(F.min(ROW).alias("kind")))
     # Bands depend on the kind alone; they are read from its first row.
     first = made.join(kinds.select(F.col("kind").alias(ROW)), ROW, "left_semi")
     keyed = first.select(F.explode("bands").alias("band"), F.col(ROW).alias("kind"), "weight")
@@ -360,27 +373,32 @@ def classes(rows: DataFrame, threshold: float = SIMILARITY, words: int = WORDS)
     buckets = left.groupBy("band").agg(F.min("kind").alias("pivot"))
     tried = left.join(buckets, "band").where("kind != pivot").select("kind", "pivot").distinct()
     links = common.checkpoint(_verified(tried, texts, threshold, words))
-    joined = common.checkpoint(components(links, "kind", "pivot"))
+    joined = components(links, "kind", "pivot")
     known = common.checkpoint(left.join(joined.toDF("kind", "cls"), "kind", "left").withColumn("cls", F.coalesce("cls", "kind")))
     # Buckets of one class are settled.
     several = known.groupBy("band").agg(F.min("cls").alias("__lo"), F.max("cls").alias("__hi")).where("__lo < __hi").select("band")
-    left = common.checkpoint(known.join(several, "band", "left_semi"))
-    del buckets, tried, known, several
+    open_rows = common.checkpoint(known.join(several, "band", "left_semi"))
+    common.discard(left, known)
+    del buckets, tried, known, several, left
     common.release(rows.sparkSession)
-    held = left.count()
-    if held:
-        more = common.checkpoint(_open_links(left, texts, threshold, words, held <= TAIL_ROWS))
+    if not open_rows.isEmpty():
+        more = common.checkpoint(_open_links(open_rows, texts, threshold, words))
         joined = components(links.unionByName(more).distinct(), "kind", "pivot")
-    named = kinds.join(joined.toDF("kind", "cls"), "kind", "left").select("kind_a", "kind_b", "kind", F.coalesce("cls", "kind").alias("cls"))
+    common.discard(open_rows, texts)
+    named = common.checkpoint(kinds.join(joined.toDF("kind", "cls"), "kind", "left").select("kind_a", "kind_b", "kind", F.coalesce("cls", "kind").alias("cls")))
     return made.select(ROW, "kind_a", "kind_b").join(named, ["kind_a", "kind_b"]).select(ROW, "kind", "cls")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(key, class_id, class_size) of each row; class_id is the least key of the class."""
     rows = common.with_row(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    found = rows.select(ROW, "key").join(classes(rows.select(ROW, "text"), threshold), ROW)
-    sizes = found.groupBy("cls").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
-    return found.join(sizes, "cls").select(F.col("key").alias(key), "class_id", "class_size")
+    found = common.checkpoint(rows.select(ROW, "key").join(classes(rows.select(ROW, "text"), threshold), ROW).select("key", "cls"))
+    # Rows of no class but their own need no join; a large table of the others
+    # is written first, so that Spark can split the rows of a hot class.
+    sizes = common.checkpoint(found.groupBy("cls").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1"))
+    named = found.join(common.sized(sizes, SMALL_CLASSES), "cls", "left")
+    alone = F.col("class_size").isNull()
+    return named.select(F.col("key").alias(key), F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:

@@ -17,7 +17,9 @@ list; names are capitalised words inside a sentence. Other words are compared
 in lower case without punctuation around them. Windows of which less than half
 of the tokens are literal are compared by the values of all tokens; they do not
 count for ``COVERAGE`` unless an item has no others. Items shorter than a window
-are one window as they are.
+are one window as they are; those of fewer than ``SHORT`` tokens hold too little
+of a template and are compared by value, so a document is reported that has the
+same words side by side anywhere.
 
 Windows of the benchmark are sent to the executors as a filter if there are at
 most ``FILTER_WINDOWS`` of them (a checked bound); a larger benchmark is joined
@@ -45,6 +47,7 @@ from .common import ROW, mix64
 WINDOW = 8
 COVERAGE = 0.25
 VERBATIM = 13
+SHORT = 3
 FILTER_WINDOWS = 1_000_000
 TRIM = ".,;:!?|*#\"'()[]{}<>«»“”‘’…–—-"
 
@@ -113,7 +116,7 @@ def window_hashes(t: Tokens, width: int, by_value: bool = False) -> tuple[np.nda
     fine = t.row[:n] == t.row[width - 1 :]
     unknown = np.append(0, np.cumsum(code == 0))
     literal = np.append(0, np.cumsum(t.kind == 0))
-    enough = 2 * (literal[width:] - literal[:n]) >= width
+    enough = (2 * (literal[width:] - literal[:n]) >= width) & (width >= SHORT)
     fine &= (unknown[width:] == unknown[:n]) & (enough != by_value)
     at = np.flatnonzero(fine)
     h = np.full(len(at), width + (1 << 16 if by_value else 0), dtype=np.uint64)
@@ -179,7 +182,7 @@ def leaks(rows: DataFrame, items: DataFrame, coverage: float = COVERAGE, filter_
     Both tables hold (ROW, text).
     """
     common.small_batches(rows.sparkSession)
-    widths = list(range(3, WINDOW + 1))
+    widths = list(range(1, WINDOW + 1))
     known = common.checkpoint(windows(items, widths, own_length=True))
     counted = known.groupBy("width").count().collect()  # at most WINDOW rows
     widths = sorted(r["width"] for r in counted)

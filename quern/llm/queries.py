@@ -77,17 +77,19 @@ def _canonical_sql(column: str) -> str:
 
 
 def _licenses_sql() -> str:
-    rows = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.KNOWN)
+    quoted = lambda pairs: ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in pairs)
     return f"""
     WITH known AS (
-        SELECT md5({_canonical_sql("text")}) AS digest, min(licence) AS licence
-        FROM (VALUES {rows}) AS t(licence, text) GROUP BY 1),
+        SELECT digest, min(licence) AS licence FROM (
+            SELECT md5({_canonical_sql("text")}) AS digest, licence FROM (VALUES {quoted(licenses.KNOWN)}) AS t(licence, text)
+            UNION ALL SELECT digest, licence FROM (VALUES {quoted(licenses.DIGESTS)}) AS d(licence, digest))
+        GROUP BY 1),
     docs AS (SELECT row_number() OVER () AS rid, doc_id, text, md5({_canonical_sql("text")}) AS text_digest FROM documents),
     lines AS (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM docs),
     noted AS (
         SELECT rid, string_agg(DISTINCT licence, ',' ORDER BY licence) AS line_licences, count(*) AS n
         FROM lines JOIN known ON known.digest = md5({_canonical_sql("line")})
-        WHERE regexp_matches(lower(line), 'licen[sc]|permission') GROUP BY rid)
+        WHERE line <> '' GROUP BY rid)
     SELECT doc_id, text_digest, known.licence AS text_licence, coalesce(line_licences, '') AS line_licences, coalesce(n, 0) AS n_license_lines
     FROM docs LEFT JOIN known ON known.digest = docs.text_digest LEFT JOIN noted USING (rid)
     """

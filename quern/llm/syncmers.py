@@ -4,36 +4,43 @@ A text's tokens are its words (each CJK character is a word). Of every run of
 ``K`` tokens, it is an *anchor* if the least hash among its inner runs of ``S``
 tokens stands at its first or last place. Whether a run is an anchor depends on
 nothing outside it, so shared passages have the same anchors wherever they
-stand, and texts can be matched by them. The fingerprint is the ``SIZE`` least
-distinct hashes of a text's anchors, in order: the whole set for most texts, a
-uniform sample of it for long ones, of bounded size. Likeness is the share of
-common hashes among the ``SIZE`` least of both (an estimate of the Jaccard
-similarity of the anchor sets, exact for texts with fewer anchors).
+stand.
+
+Texts are matched by anchors and their places: a *link* is two neighbouring
+anchors and the number of tokens between them. The fingerprint is all links of
+a text, in order, so equal links are anchors that stand at the same distance in
+both texts, and a shared passage is matched wherever it stands. Nothing is
+sampled: the fingerprint grows with the text. Likeness is the share of common
+links (32 bits each) among the distinct links of both.
 
 Defined results: a text of fewer than K tokens has one anchor, all its tokens;
-null and empty texts and texts without words have an empty fingerprint, and
-two empty fingerprints are alike by 1, one and another by 0; equal texts have
-equal fingerprints. Rows are ordered by id, null ids first, and equal ids by
-text; the last row is followed by the first, a lone row by itself.
+a text of one anchor has one link, that anchor; null and empty texts and texts
+without words have an empty fingerprint, and two empty fingerprints are alike
+by 1, one and another by 0; equal texts have equal fingerprints. Ids may be
+numbers or anything that is ordered as text; rows are ordered by id, null ids
+first, and equal ids by hash and text; the last row is followed by the first, a
+lone row by itself.
 
 The next row is found without a global sort: ids are cut into ranges at
-quantiles and each range into equal parts of about ``BUCKET`` rows; windows run
-inside a part, and the first row of each part is handed to the part before it.
+quantiles and each range into equal parts of about ``BUCKET`` rows (null ids by
+the hash of their text); windows run inside a part, and the first row of each
+part is handed to the part before it. Rows of one repeated id that is not null
+are in one part.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-K = 4
+K = 6
 S = 2
-SIZE = 128
 BUCKET = 256
-QUANTILES = 64
+QUANTILES = 256
 SUPER = 1024  # parts that are put in order together
 WORD_BREAK = r"\s+|(?<=[぀-ヿ㐀-鿿가-힯])"
-NO_ID = -(1 << 63)
+LINK_BITS = 32
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -60,43 +67,69 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return F.get(F.transform(F.array(hashes), of), F.lit(0))
 
 
-def fingerprint(text: Column, size: int = SIZE) -> Column:
-    """The least distinct anchor hashes of a text, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(anchors(text).getField("hash"))), 1, size)
+def links(found: Column) -> Column:
+    """Array of the distinct links between neighbouring anchors, in order."""
+    mask = F.lit((1 << LINK_BITS) - 1)
 
+    def of(a: Column) -> Column:
+        n = F.size(a)
+        here, after = lambda i: F.get(a, i - 1), lambda i: F.get(a, i)
+        pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(here(i)["hash"], after(i)["hash"], after(i)["place"] - here(i)["place"]).bitwiseAND(mask))
+        lone = F.transform(a, lambda x: x["hash"].bitwiseAND(mask))
+        return F.array_distinct(F.when(n > 1, pairs).otherwise(lone))
 
-def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
-    """Similarity of two fingerprints, 0 to 1."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    shared = F.size(F.array_intersect(F.array_intersect(both, a), b))
-    return F.when(F.size(both) == 0, 1.0).otherwise(shared / F.greatest(F.size(both), F.lit(1)))
+    return F.get(F.transform(F.array(found), of), F.lit(0))
 
 
-def text_form(fingerprint: Column) -> Column:
-    """A fingerprint as hex digits, 16 for each hash."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+def fingerprint(text: Column, k: int = K, s: int = S) -> Column:
+    """The links of a text."""
+    return links(anchors(text, k, s))
 
 
-def _bucket(docs: DataFrame, key: str) -> Column:
-    """Part of the id order that a row falls into; grows with the id."""
-    count, low = docs.agg(F.count(key), F.min(key)).first()
+def likeness(a: Column, b: Column) -> Column:
+    """Similarity of two fingerprints, 0 to 1."""
+    shared = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - shared
+    return F.when(either == 0, 1.0).otherwise(shared / F.greatest(either, F.lit(1)))
+
+
+def text_form(found: Column) -> Column:
+    """A fingerprint as hex digits, 8 for each link."""
+    return F.lower(F.array_join(F.transform(found, lambda x: F.lpad(F.hex(x), LINK_BITS // 4, "0")), ""))
+
+
+def _bucket(rows: DataFrame) -> Column:
+    """Part of the order of (id, h) that a row falls into; grows with them."""
+    if isinstance(rows.schema["id"].dataType, T.NumericType):
+        value = F.col("id").cast("double")
+    else:  # the first bytes, as a number
+        value = F.conv(F.rpad(F.hex(F.substring(F.encode("id", "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    valued = rows.select(value.alias("v"))
+    count, low, nulls = valued.agg(F.count("v"), F.min("v"), F.count_if(F.col("v").isNull())).first()
+    lone = max(1, nulls // BUCKET)  # parts of null ids, numbered -lone .. -1
+    of_null = F.floor(F.shiftrightunsigned(F.col("h"), 33) / float(1 << 31) * lone) - lone
     if not count:
-        return F.lit(-1).cast("long")
-    cuts = sorted({int(low), *map(int, docs.where(F.col(key).isNotNull()).approxQuantile(key, [i / QUANTILES for i in range(1, QUANTILES + 1)], 0.001))})
+        return of_null.cast("long")
+    cuts = sorted({low, *valued.where("v IS NOT NULL").approxQuantile("v", [i / QUANTILES for i in range(1, QUANTILES + 1)], 0.0005)})
     parts = max(1, count // (BUCKET * len(cuts)))
     ends = [*cuts[1:], cuts[-1] + 1]
-    widths = [max(1, -(-(b - a) // parts)) for a, b in zip(cuts, ends, strict=True)]
+    widths = [(b - a) / parts or 1.0 for a, b in zip(cuts, ends, strict=True)]
     begins = F.array(*map(F.lit, cuts))
-    segment = F.size(F.filter(begins, lambda x: x <= F.col(key)))
-    inside = F.floor((F.col(key) - F.get(begins, segment - 1)) / F.get(F.array(*map(F.lit, widths)), segment - 1))
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(segment * (1 << 40) + inside).cast("long")
+    segment = F.size(F.filter(begins, lambda x: x <= value))
+    inside = F.floor((value - F.get(begins, segment - 1)) / F.get(F.array(*map(F.lit, widths)), segment - 1))
+    return F.when(value.isNull(), of_null).otherwise(segment * F.lit(1 << 40) + inside).cast("long")
+
+
+def _order() -> list[Column]:
+    return [F.col("id").asc_nulls_first(), F.col("h"), F.col("text")]
 
 
 def _next_heads(rows: DataFrame) -> DataFrame:
     """(bucket, head): for each bucket the first text of the next one."""
-    firsts = rows.groupBy("bucket").agg(F.min("id").alias("id"))
-    heads = rows.join(firsts, ["bucket", "id"]).groupBy("bucket").agg(F.min(F.struct(F.col("text").isNotNull(), F.col("text"))).alias("head")).select("bucket", F.col("head.text").alias("head"))
-    order = firsts.select("bucket", F.floor(F.col("bucket") / SUPER).alias("part"))
+    # Spark keeps one row of each part and task before the shuffle.
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*_order()))
+    heads = rows.withColumn("place", place).where("place = 1").select("bucket", F.col("text").alias("head"))
+    order = rows.select("bucket").distinct().select("bucket", F.floor(F.col("bucket") / SUPER).alias("part"))
     inside = order.withColumn("next", F.lead("bucket").over(Window.partitionBy("part").orderBy("bucket")))
     # One row for each SUPER parts of BUCKET rows each: small enough for one task.
     parts = order.groupBy("part").agg(F.min("bucket").alias("first"))
@@ -104,29 +137,33 @@ def _next_heads(rows: DataFrame) -> DataFrame:
     every = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = parts.select("part", F.coalesce(F.lead("first").over(line), F.min("first").over(every)).alias("after"))
     pairs = inside.join(after, "part").select(F.col("bucket"), F.coalesce("next", "after").alias("__next"))
-    return pairs.join(heads.toDF("__next", "head"), "__next").select("bucket", "head")
+    return pairs.join(heads.withColumnRenamed("bucket", "__next"), "__next").select("bucket", "head")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each row and of its edited text.
 
     The edited text is the row's with its last half (rounded down) of code
-    points replaced by the first as many of the next row's.
+    points replaced by the first as many of the next row's. Texts are shuffled
+    once, to stand beside the next one.
     """
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text", _bucket(rows, "id").alias("bucket"))
-    order = Window.partitionBy("bucket").orderBy("id", "text")
+    plain = isinstance(docs.schema[key].dataType, T.NumericType)
+    given = F.col(key) if plain else F.col(key).cast("string")
+    rows = docs.select(given.alias("id"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("bucket", _bucket(rows))
+    order = Window.partitionBy("bucket").orderBy(*_order())
     led = rows.withColumn("next", F.lead("text").over(order))
     heads = _next_heads(rows).withColumn("head_print", fingerprint(F.col("head")))
     joined = led.join(heads, "bucket", "left")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     next_text = F.coalesce("next", "head", F.lit(""))
-    made = joined.select("bucket", "id", "text", "head_print", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring(next_text, F.lit(1), half)).alias("edited"))
-    made = made.select("bucket", "id", "text", "head_print", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("changed"))
+    held = ["bucket", "id", "key", "h", "text", "head_print"]
+    made = joined.select(*held, n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring(next_text, F.lit(1), half)).alias("edited"))
+    made = made.select(*held, "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("changed"))
     made = made.withColumn("following", F.coalesce(F.lead("own").over(order), "head_print"))
     return made.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias(key),
+        F.col("key").alias(key),
         "n_chars",
         "edited_sha256",
         text_form(F.col("own")).alias("fingerprint"),

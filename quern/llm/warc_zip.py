@@ -41,6 +41,8 @@ from . import common
 from .common import ROW
 
 ARCHIVE_BYTES = 16 << 20
+TASK_BYTES = 4 << 20  # of archives that a reading task gets
+SMALL = 200_000  # rows of digests or of row numbers that are broadcast: below 20 MB
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 # Signatures and layouts of the ZIP format.
@@ -139,28 +141,29 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(key: int | None) -> str:
-    return f"<urn:quern:page:{'null' if key is None else key}>"
+def _record_id(key: int | None, row: int | None) -> str:
+    """Ids may be null or repeat, so the number of the row makes a record's name unique."""
+    return f"<urn:quern:page:{'null' if key is None else key}:{row}>"
 
 
 def _key_of(record_id: str) -> int | None:
-    text = record_id.strip("<>").rsplit(":", 1)[1]
+    text = record_id.strip("<>").rsplit(":", 2)[1]
     return None if text == "null" else int(text)
 
 
-def warc_record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One record: HTTP head and payload of a response, the head of a revisit."""
+def warc_record(key: int | None, row: int, url: str | None, payload: bytes | None, length: int, digest: str, refers_to: tuple[int | None, int] | None) -> bytes:
+    """One record: HTTP head and payload of a response, the head of a revisit (no payload)."""
     uri = quote(url, safe="%/:?#[]@!$&'()*+,;=~-._") if url else "about:blank"
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (b"" if revisit else payload)
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode() + (payload or b"")
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_record_id(key)}",
+        f"WARC-Type: {'revisit' if refers_to else 'response'}",
+        f"WARC-Record-ID: {_record_id(key, row)}",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {uri}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
-        *([f"WARC-Refers-To: {_record_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
+        *([f"WARC-Refers-To: {_record_id(*refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to else []),
         f"Content-Length: {len(block)}",
     ]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
@@ -195,26 +198,25 @@ def parse_record(raw: bytes) -> dict:
 # --- Spark -------------------------------------------------------------------
 
 
-def _digested(rows: DataFrame) -> DataFrame:
-    schema = f"{ROW} long, key long, url string, payload binary, digest string, bytes long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [x.encode() for x in common.text_values(batch["html"])]
-            yield pa.RecordBatch.from_arrays([batch[ROW], batch["key"], batch["url"], pa.array(raw, pa.binary()), pa.array(list(map(digest_of, raw)), pa.string()), pa.array(list(map(len, raw)), pa.int64())], names=[ROW, "key", "url", "payload", "digest", "bytes"])
-
-    return rows.mapInArrow(run, schema)
-
-
 def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, folder: str | None = None, zip64: bool = False) -> DataFrame:
-    """Manifest (archive, n_records, n_bytes) of the archives written."""
+    """Manifest (archive, n_records, n_bytes) of the archives written.
+
+    Payloads are not shuffled unless more than ``SMALL`` rows repeat others: each
+    digest is computed once, in the scan, and only digests with the numbers of
+    their rows are grouped; the rows that become revisits leave their payload
+    behind. A very common payload costs one row for each task that holds it.
+    """
     spark = pages.sparkSession
     common.small_batches(spark)
     target = folder or common.shared_path(spark, "warc")
-    rows = _digested(common.with_row(pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(payload).alias("html"))))
+    html = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
+    rows = common.with_row(pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), html.alias("payload")).withColumns({"digest": F.unhex(F.sha1("payload")), "bytes": F.length("payload").cast("long")}))
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), F.col(ROW).alias(ROW))
-    first = rows.where(F.col("bytes") >= min_bytes).select("digest", order.alias("o")).groupBy("digest").agg(F.min("o").alias("first"))
-    told = rows.join(first, "digest", "left").select("key", "url", "payload", "digest", (F.col("first").isNotNull() & (F.col("first")[ROW] != F.col(ROW))).alias("revisit"), F.col("first")["key"].alias("refers_to"))
+    ids = rows.where(F.col("bytes") >= min_bytes).select("digest", order.alias("o"))
+    first = common.checkpoint(ids.groupBy("digest").agg(F.min("o").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
+    again = rows.where(F.col("bytes") >= min_bytes).select(ROW, "digest").join(common.sized(first, SMALL), "digest").where(F.col("first")[ROW] != F.col(ROW))
+    again = common.checkpoint(again.select(ROW, F.struct(F.col("first")["key"].alias("key"), F.col("first")[ROW].alias("row")).alias("refers_to")))
+    told = rows.join(common.sized(again, SMALL), ROW, "left").select(ROW, "key", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "bytes", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(target)
@@ -235,8 +237,10 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
 
         for batch in batches:
             for r in batch.to_pylist():
-                raw = warc_record(r["key"], r["url"], r["payload"], r["digest"], r["refers_to"], r["revisit"])
-                lines.append(f"{r['digest']} 20240101000000 " + json.dumps({"offset": len(body), "length": len(raw)}))
+                refers_to = r["refers_to"] and (r["refers_to"]["key"], r["refers_to"]["row"])
+                digest = base64.b32encode(r["digest"]).decode()
+                raw = warc_record(r["key"], r[ROW], r["url"], r["payload"], r["bytes"], digest, refers_to)
+                lines.append(f"{digest} 20240101000000 " + json.dumps({"offset": len(body), "length": len(raw)}))
                 body.extend(raw)
                 if len(body) >= ARCHIVE_BYTES:
                     yield pack()
@@ -267,8 +271,13 @@ RECORD = "key long, url string, payload binary, payload_bytes long, payload_dige
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Every record of the archives, by range reads spread over tasks."""
-    spread = index(manifest).repartition("archive", F.floor(F.col("begin") / (1 << 20)))
+    """Every record of the archives, by range reads spread over tasks.
+
+    There is a task for each ``TASK_BYTES`` of the archives, so the number
+    grows with them; a task gets neighbouring records in one piece.
+    """
+    total = manifest.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    spread = index(manifest).repartition(max(1, -(-total // TASK_BYTES)), "archive", F.floor(F.col("begin") / (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quern.llm import dart_minhash, decontaminate, suffix_dedup, warc_zip
+from quern.llm import common, dart_minhash, decontaminate, suffix_dedup, warc_zip
 
 
 def test_warc_round_trip(spark):
@@ -32,6 +32,23 @@ def test_warc_round_trip(spark):
     assert warc_zip.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_rows_and_tasks(spark, monkeypatch):
+    """Records have names of their own, and reading tasks grow with the archives."""
+    rows = [(None if i % 3 == 0 else i % 5, "u", f"{random.Random(i).random()}" * 200 if i % 2 else "common") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    monkeypatch.setattr(warc_zip, "TASK_BYTES", 2000)
+    monkeypatch.setattr(warc_zip, "ARCHIVE_BYTES", 1500)
+    for small in (warc_zip.SMALL, 0):
+        monkeypatch.setattr(warc_zip, "SMALL", small)
+        manifest = warc_zip.write(df)
+        back = warc_zip.read(manifest)
+        assert back.rdd.getNumPartitions() >= 3
+        found = back.collect()
+        assert Counter(r.record_type for r in found) == {"response": 31, "revisit": 29}
+        assert {r.refers_to for r in found if r.record_type == "revisit"} == {0}
+    assert warc_zip._record_id(1, 5) != warc_zip._record_id(1, 6) and warc_zip._key_of(warc_zip._record_id(None, 3)) is None
+
+
 def brute_repeats(texts, size):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[p : p + size] for b in raw for p in range(len(b) - size + 1))
@@ -69,9 +86,10 @@ def edited(r, words, n):
     return out
 
 
-@pytest.mark.parametrize("tail", [20_000, 0])
-def test_near_duplicates(spark, docs, nothing, monkeypatch, tail):
-    monkeypatch.setattr(dart_minhash, "TAIL_ROWS", tail)
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_near_duplicates(spark, docs, nothing, monkeypatch, small):
+    for name in ("SMALL_PAIRS", "SMALL_CLASSES"):
+        monkeypatch.setattr(dart_minhash, name, small)
     r = random.Random(7)
     texts = []
     for g in range(12):
@@ -102,12 +120,10 @@ def test_near_duplicates(spark, docs, nothing, monkeypatch, tail):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2  # two repeats of row 4
 
 
-@pytest.mark.parametrize("tail", [20_000, 0])
 @pytest.mark.parametrize("place", [0, 15, 30])
-def test_near_duplicates_hub(spark, monkeypatch, tail, place):
+def test_near_duplicates_hub(spark, monkeypatch, place):
     """Copies that only their hub links are one class, wherever the hub stands."""
-    monkeypatch.setattr(dart_minhash, "TAIL_ROWS", tail)
-    monkeypatch.setattr(dart_minhash, "BLOCK", 4, raising=False)
+    monkeypatch.setattr(dart_minhash, "BLOCK", 4)
     r = random.Random(11)
     hub = [f"w{i}" for i in range(300)]
     texts = []
@@ -123,6 +139,22 @@ def test_near_duplicates_hub(spark, monkeypatch, tail, place):
     assert {x.class_id for x in dart_minhash.report(df).collect()} == {0}
 
 
+def test_near_duplicates_recall(spark):
+    """Of 400 separate pairs just above the threshold, 0.9 at least are found (0.999 by formula)."""
+    r = random.Random(21)
+    texts, pairs = [], []
+    while len(pairs) < 400:
+        base = [f"g{len(pairs)}w{i}" for i in range(r.choice([40, 90, 250]))]
+        a, b = " ".join(base), " ".join(edited(r, base, max(1, len(base) // 60)))
+        if 0.8 <= dart_minhash.similarity(pa.array([a]), pa.array([b]))[0] <= 0.9:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [a, b]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x.doc_id: x.class_id for x in dart_minhash.report(df).collect()}
+    assert sum(found[a] == found[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert all(found[a] in (a, b) and found[b] in (a, b) for a, b in pairs)
+
+
 @pytest.mark.parametrize("few", [1, 256])
 def test_shared_cells(monkeypatch, few):
     monkeypatch.setattr(dart_minhash, "FEW", few)
@@ -160,11 +192,10 @@ def test_leaks(spark, docs, nothing):
     swapped = "so. Every morning Carla buys 7 apples and 4 pears for Dan, and Carla pays 7 dollars in the shop. ok"
     mixed = "Every morning Carla buys 7 apples and 4 pears for Dan, and Eve pays 9 dollars"
     df = spark.createDataFrame([(1, swapped), (2, mixed), (3, "a SHORT one, here"), (4, None), (5, ""), (6, "clean words only")], "doc_id long, text string")
+    rows, items = common.with_row(df), common.with_row(bench)
     for limit in (decontaminate.FILTER_WINDOWS, 0):  # with and without the filter
-        from quern.llm.common import with_row
-
-        pairs = decontaminate.leaks(with_row(df), with_row(bench), filter_windows=limit)
-        named = pairs.join(with_row(df), "__row").select("doc_id").distinct()
+        pairs = decontaminate.leaks(rows, items, filter_windows=limit)
+        named = pairs.join(rows, "__row").select("doc_id").distinct()
         assert sorted(r.doc_id for r in named.collect()) == [1, 3]
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.report(df, bench).collect()) == [(1, 1), (1, 1), (3, 2)]
     exact = spark.createDataFrame([(1, "Before. short one here"), (2, "short one")], "doc_id long, text string")
@@ -173,6 +204,85 @@ def test_leaks(spark, docs, nothing):
     assert decontaminate.remove(docs, bench).count() == docs.count()
 
 
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "Paris"), (2, "short one"), (3, "42"), (4, "she went to Paris")], "item_id long, text string")
+    docs = ["We saw Paris.", "a short, ONE", "one short", "about 42 of them", "nothing of it", "she went to Rome", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert sorted((x.doc_id, x.item_id) for x in decontaminate.report(df, bench).collect()) == [(0, 1), (1, 2), (3, 3), (5, 4)]
+
+
+def brute_leaks(docs, items):
+    """Pairs by plain loops over tokens, as the docstring has them."""
+    trim, numbers, units = decontaminate.TRIM, decontaminate.NUMBERS, decontaminate.UNITS
+    width_most, short = decontaminate.WINDOW, decontaminate.SHORT
+
+    def tokens(text):
+        out, start = [], True
+        for raw in (text or "").split():
+            bare = raw.strip(trim)
+            if not bare:
+                continue
+            low = bare.lower()
+            kind = "#" if any(c in "0123456789" for c in bare) or low in numbers else "unit" if low in units else "name" if not start and len(bare) > 1 and bare[0].isupper() and bare[1].islower() else ""
+            out.append((kind or low, low, bool(kind)))
+            start = raw.rstrip("\"'”’)]")[-1:] in (".", "!", "?")
+        return out
+
+    def windows(t, width, by_value):
+        for p in range(len(t) - width + 1):
+            part = t[p : p + width]
+            template = width >= short and 2 * sum(not x[2] for x in part) >= width
+            if template != by_value:
+                yield p, tuple(x[1 if by_value else 0] for x in part), tuple(x[:2] for x in part if x[2])
+
+    out = set()
+    for i, item in enumerate(items):
+        t = tokens(item)
+        width = min(width_most, len(t))
+        if not width:
+            continue
+        known = [(p, v, key, slots) for v in (False, True) for p, key, slots in windows(t, width, v)]
+        templates = sum(not v for _, v, _, _ in known)
+        for d, doc in enumerate(docs):
+            aligned = {}
+            for v in (False, True):
+                for p, key, slots in windows(tokens(doc), width, v):
+                    for q, w, other, own in known:
+                        if w == v and other == key:
+                            aligned.setdefault(p - q, []).append((q, v, own, slots))
+            places, long = set(), False
+            for found in aligned.values():
+                same = {(q, v) for q, v, own, slots in found if own == slots}
+                pairs = {x for _, _, own, slots in found for x in zip(own, slots)}
+                consistent = len({a for a, _ in pairs}) == len(pairs)
+                places |= {(q, v) for q, v, _, _ in found} if consistent else same
+                run = sorted({q for q, _ in same}) if width == width_most else []
+                step = decontaminate.VERBATIM - width_most
+                long |= any(q + step in run and all(q + k in run for k in range(step)) for q in run)
+            n = sum(not v for _, v in places)
+            part = n >= decontaminate.COVERAGE * templates if templates else len(places) >= decontaminate.COVERAGE * len(known)
+            if places and (long or part):
+                out.add((d, i, len(places), len(known)))
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    r = random.Random(12)
+    pool = ["red", "box", "the", "of", "sells", "Anna", "Bob", "Carla", "5", "7", "12", "km", "dollars", "hour", "shop.", "and", "(two)", "…"]
+    items = [" ".join(r.choice(pool) for _ in range(r.randrange(1, 40))) for _ in range(25)] + ["", None, "and"]
+    docs = [None, ""]
+    for _ in range(60):
+        part = items[r.randrange(25)].split()
+        at = r.randrange(len(part))
+        exchange = dict(zip(("Anna", "5", "km", "Bob"), r.sample(["Bob", "Anna", "7", "12", "hour", "Carla"], 4)))
+        part = [exchange.get(w, w) if r.random() < 0.9 else w for w in part[at:]]
+        docs.append(" ".join([*(r.choice(pool) for _ in range(r.randrange(8))), *part, *(r.choice(pool) for _ in range(r.randrange(8)))]))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {tuple(x) for x in decontaminate.report(df, bench).collect()}
+    assert found == brute_leaks(docs, items) and len(found) > 30
+
+
 def test_leaks_of_part(spark):
     r = random.Random(4)
     long_item = [f"word{r.randrange(10**6)}" for _ in range(200)]

@@ -1,15 +1,19 @@
 """Tokenizers, fingerprints, licences, toxicity and language model on small rows."""
 
+import functools
 import hashlib
 import math
+import os
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -90,17 +94,73 @@ def test_syncmers(spark, docs, nothing):
     assert all(0 <= x <= 1 for r in rows for x in (r.near_edited, r.near_next))
 
 
-def test_syncmers_across_parts(spark, monkeypatch):
+def brute_fingerprint(text, k=syncmers.K, s=syncmers.S):
+    """Links of a text by plain loops, with Spark's hash."""
+    fold = lambda h, v: xxhash.xxh64_intdigest(v, seed=h)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of = lambda values: functools.reduce(fold, (struct.pack("<Q", x) for x in values), 42)
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in re.split(syncmers.WORD_BREAK, text) if w]
+    if not hashes:
+        return []
+    if len(hashes) < k:
+        found = [(1, fold(42, " ".join(str(signed(h)) for h in hashes).encode()))]
+    else:
+        small = [signed(of(hashes[i : i + s])) for i in range(len(hashes) - s + 1)]
+        found = []
+        for i in range(len(hashes) - k + 1):
+            inner = small[i : i + k - s + 1]
+            if min(inner) in (inner[0], inner[-1]):
+                found.append((i + 1, of(hashes[i : i + k])))
+    if len(found) < 2:
+        return [h & 0xFFFFFFFF for _, h in found]
+    pairs = [fold(of([a[1], b[1]]), struct.pack("<i", b[0] - a[0])) & 0xFFFFFFFF for a, b in zip(found, found[1:])]
+    return list(dict.fromkeys(pairs))
+
+
+def test_syncmers_equal_brute_force(spark):
+    r = random.Random(8)
+    texts = ["", "one", "a b c", "a b c d e f", "日本語 テスト。" * 3] + [" ".join(f"w{r.randrange(30)}" for _ in range(r.randrange(7, 200))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    likeness = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if a or b else 1.0
+    for row in syncmers.report(df).collect():
+        t, after = texts[row.doc_id], texts[(row.doc_id + 1) % len(texts)]
+        half = len(t) // 2
+        own, changed = brute_fingerprint(t), brute_fingerprint(t[: len(t) - half] + after[:half])
+        assert row.fingerprint == "".join(f"{x:08x}" for x in own)
+        assert row.edited_fingerprint == "".join(f"{x:08x}" for x in changed)
+        assert math.isclose(row.near_edited, likeness(own, changed))
+        assert math.isclose(row.near_next, likeness(own, brute_fingerprint(after)))
+
+
+def edited_hashes(rows):
+    texts = [t for _, t in rows]
+    out = Counter()
+    for i, (k, t) in enumerate(rows):
+        half = len(t) // 2
+        out[(k, hashlib.sha256((t[: len(t) - half] + texts[(i + 1) % len(texts)][:half]).encode()).hexdigest())] += 1
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "double"])
+def test_syncmers_across_parts(spark, monkeypatch, kind):
     monkeypatch.setattr(syncmers, "BUCKET", 3)
     monkeypatch.setattr(syncmers, "SUPER", 2)
-    ids = sorted({*range(0, 60, 2), 10**12, -5})
-    df = spark.createDataFrame([(i, f"text number {i} with some more words {i * i}") for i in ids], "doc_id long, text string")
-    found = {r.doc_id: r.edited_sha256 for r in syncmers.report(df).collect()}
-    texts = {r.doc_id: r.text for r in df.collect()}
-    for i, k in enumerate(ids):
-        t, n = texts[k], texts[ids[(i + 1) % len(ids)]]
-        half = len(t) // 2
-        assert found[k] == hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
+    ids = sorted({*range(0, 60, 2), 10**12, -5, -(1 << 63), (1 << 63) - 1})
+    ids = [str(i) for i in ids] if kind == "string" else ids
+    ids = sorted({float(i) for i in ids}) if kind == "double" else sorted(ids)
+    df = spark.createDataFrame([(i, f"text number {i} with some more words") for i in ids], f"doc_id {kind}, text string")
+    found = Counter((r.doc_id, r.edited_sha256) for r in syncmers.report(df).collect())
+    assert found == edited_hashes([(i, f"text number {i} with some more words") for i in ids])
+
+
+def test_syncmers_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "BUCKET", 3)
+    rows = [(None, f"no id {i}, some words") for i in range(20)] + [(i, f"text {i} of some words") for i in range(10)]
+    h = lambda t: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(t.encode(), seed=42)))[0]
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, h(x[1]) % (1 << 64) if x[0] is None else 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((r.doc_id, r.edited_sha256) for r in syncmers.report(df).collect())
+    assert found == edited_hashes(order)
 
 
 def test_syncmers_context_free(spark):
@@ -108,6 +168,8 @@ def test_syncmers_context_free(spark):
     df = spark.createDataFrame([(shared,), ("before it " + shared + " after it",)], "text string")
     a, b = ({x["hash"] for x in r[0]} for r in df.select(syncmers.anchors(df.text)).collect())
     assert a <= b and len(a) > 10
+    a, b = ({*r[0]} for r in df.select(syncmers.fingerprint(df.text)).collect())
+    assert a <= b and len(a) > 10
 
 
 def test_licenses(spark, docs, nothing):
@@ -119,6 +181,28 @@ def test_licenses(spark, docs, nothing):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(nothing).count() == 0
 
 
+def test_every_known_licence(spark, monkeypatch):
+    """Known texts, reflowed and with another holder, are found as whole documents; so are lines of any wording."""
+    texts = [(n, "(c) 1999 Someone\nAll rights reserved.\n\n" + t.replace(", ", ",\n")) for n, t in licenses.KNOWN]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    for small in (licenses.SMALL, 0):
+        monkeypatch.setattr(licenses, "SMALL", small)
+        assert {r.doc_id: r.text_licence for r in licenses.scan(df).collect()} == {i: n for i, (n, _) in enumerate(texts)}
+    plain = spark.createDataFrame([(1, "Something.\nThis is in the PUBLIC domain\n\nThis is in the public domain.")], "doc_id long, text string")
+    found = licenses.scan(plain, texts=[("PD", "This is in the public domain.")]).collect()
+    assert [(r.line_licences, r.n_license_lines) for r in found] == [("PD", 2)]
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0"])
+def test_long_licences(spark, name):
+    path = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(path):
+        pytest.skip("no such text on this machine")
+    with open(path, encoding="utf-8") as text:
+        df = spark.createDataFrame([(1, text.read())], "doc_id long, text string")
+    assert licenses.scan(df).first().text_licence.startswith(name)
+
+
 def test_toxicity_edges(spark, docs, nothing):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(10)] + [(None, 1, 1), (4, 0, None)], "doc_id long, quality int, toxic int")
     rows = toxicity.classify(docs, labels).collect()
