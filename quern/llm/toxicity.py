@@ -1,25 +1,31 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text.
+Two zstandard dictionaries are made, one of ordinary and one of toxic text.
 Windows of a text are its words, each compressed with either dictionary; the
-bytes saved by the toxic one are the window's distance. A word alone and the
-word three times over are both compressed: in the second case the fixed cost
-of a compressed sequence is paid by both sides, which makes short words
-comparable. Which distances speak for toxicity is calibrated on the training
-rows: a logistic model weighs the set of distances seen in a text.
-
-Both dictionaries start with the same ordinary text; the toxic one goes on
-with words whose beginnings occur in at least ``MIN_SHARE`` of toxic training
-texts and hardly in others, the ordinary one with as many bytes of further
-ordinary words, so a window without toxic words costs the same under both.
-
-The fit uses at most ``TRAIN_ROWS`` labelled rows (by hash of the key), the
-documented bound. Labels and texts are its only inputs.
+bytes saved by the toxic one (fewer than none: by the ordinary one) are the
+window's distance. A word alone and the word three times over are both
+compressed: in the second case the fixed cost of a compressed sequence is paid
+by both sides, which makes short words comparable. Which distances speak for
+toxicity is calibrated on the training rows: a logistic model weighs the set of
+distances seen in a text.
+
+Both dictionaries start with the same ordinary text and go on with words of
+their class: those whose beginnings occur in at least ``MIN_SHARE`` of the
+training texts of the class and hardly in the other; what is left of the larger
+one's size is filled with further ordinary words, so a window without words of
+either class costs the same under both. Dictionaries as zstandard trains them
+on the texts of each class do not give right results, as nearly all of a toxic
+text is ordinary: the README has the figures.
+
+The fit uses at most ``TRAIN_ROWS`` labelled rows of documents and at most
+``TRAIN_BYTES`` bytes of text (the first by hash of key and text, without texts
+of more than an eighth of these bytes), the documented bound. Labels and texts
+are its only inputs.
 
 Defined results: null and empty texts have no window and score the model's
 base rate; rows and texts that repeat score alike; labels of unknown or null
-keys and null labels are not used; without any labelled row of both classes
-every score is 0; other columns are not read.
+keys and null labels are not used, whatever their number; without any labelled
+row of both classes every score is ``NO_MODEL``; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,14 +45,19 @@ from pyspark.sql import types as T
 from . import common
 
 TRAIN_ROWS = 8_000
+TRAIN_BYTES = 64 << 20
+NO_MODEL = 0.0
 CHUNK = 500
 FOLDS = 5
 SHARED_WORDS = 1500
-TOXIC_BYTES = 8192
+CLASS_BYTES = 8192  # of a dictionary for the words of its class
 MIN_SHARE = 0.02
 BEGINNINGS = (4, 5, 6, 7)
 TRIM = ".,;:!?|*#%$\"'()[]"
-SINGLE, TRIPLE = 8, 13  # distances are cut to these ranges
+SINGLE, TRIPLE = (-3, 8), (-4, 13)  # distances are cut to these ranges
+WIDTH = TRIPLE[1] - TRIPLE[0]
+BUCKETS = (SINGLE[1] - SINGLE[0]) * WIDTH
+NONE = -SINGLE[0] * WIDTH - TRIPLE[0]  # the bucket of no distance
 CACHE_WORDS = 200_000
 
 
@@ -101,10 +112,10 @@ class Distance:
             b = cache.get(w)
             if b is None:
                 s = b" " + w + b" "
-                once = min(max(len(ordinary(s)) - len(toxic(s)), 0), SINGLE - 1)
+                once = min(max(len(ordinary(s)) - len(toxic(s)), SINGLE[0]), SINGLE[1] - 1)
                 s *= 3
-                thrice = min(max(len(ordinary(s)) - len(toxic(s)), 0), TRIPLE - 1)
-                b = cache[w] = once * TRIPLE + thrice
+                thrice = min(max(len(ordinary(s)) - len(toxic(s)), TRIPLE[0]), TRIPLE[1] - 1)
+                b = cache[w] = (once - SINGLE[0]) * WIDTH + thrice - TRIPLE[0]
             out[i] = b
         return out
 
@@ -122,16 +133,16 @@ class Model:
         rows, buckets, n = x
         z = np.full(n, self.bias)
         np.add.at(z, rows, self.weights[buckets])
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30))) if math.isfinite(self.bias) else np.full(n, NO_MODEL)
 
 
 def present(column: pa.Array, distance: Distance) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct (row, bucket) of the words with any distance, and the number of rows."""
     rows, words, codes = words_of(column)
     buckets = distance.buckets(words)[codes] if len(codes) else np.empty(0, dtype=np.int64)
-    keep = buckets > 0
-    pairs = np.unique(rows[keep] * (SINGLE * TRIPLE) + buckets[keep])
-    return pairs // (SINGLE * TRIPLE), pairs % (SINGLE * TRIPLE), len(column)
+    keep = buckets != NONE
+    pairs = np.unique(rows[keep] * BUCKETS + buckets[keep])
+    return pairs // BUCKETS, pairs % BUCKETS, len(column)
 
 
 def dictionaries(texts: pa.Array, toxic: np.ndarray) -> Distance:
@@ -148,27 +159,27 @@ def dictionaries(texts: pa.Array, toxic: np.ndarray) -> Distance:
                 own = [words[i] for i in (part % len(words)).tolist()]
                 used[y].update(own)
                 begins[y].update({w[:k] for w in own for k in BEGINNINGS if len(w) >= k - 1})
-    need = max(3, MIN_SHARE * n[1])
-    marks = {
-        b
-        for b, k in begins[1].items()
-        if k >= need and begins[0][b] <= 0.002 * n[0] and math.log((k + 0.5) / (n[1] + 1)) - math.log((begins[0][b] + 0.5) / (n[0] + 1)) > 3
-    }
     often = lambda c: sorted(c.items(), key=lambda x: (-x[1], x[0]))
-    told = [w for w, _ in often({w: k for w, k in used[1].items() if any(w[:j] in marks for j in BEGINNINGS)})]
+
+    def own(y: int) -> list[bytes]:
+        """Words of class y, the most frequent first."""
+        here, there, k, m = begins[y], begins[1 - y], n[y], n[1 - y]
+        marks = {b for b, x in here.items() if x >= max(3, MIN_SHARE * k) and there[b] <= 0.002 * m and math.log((x + 0.5) / (k + 1)) - math.log((there[b] + 0.5) / (m + 1)) > 3}
+        return [w for w, _ in often({w: x for w, x in used[y].items() if any(w[:j] in marks for j in BEGINNINGS)})]
+
     plain = [w for w, _ in often(used[0])]
-    tail = b"".join(b" " + w + b" " for w in reversed(told))[-TOXIC_BYTES:]
+    tails = [b"".join(b" " + w + b" " for w in reversed(own(y)))[-CLASS_BYTES:] for y in (0, 1)]
     shared = b"".join(b" " + w for w in reversed(plain[:SHARED_WORDS]))
-    further = b"".join(b" " + w for w in plain[SHARED_WORDS:])
-    filler = (further + b" " * len(tail))[: len(tail)]
-    return Distance(shared + filler + b"\n" * 8, shared + tail + b"\n" * 8)
+    size = max(map(len, tails))
+    further = b"".join(b" " + w for w in plain[SHARED_WORDS:]) + b" " * size
+    return Distance(*(shared + further[: size - len(t)] + t + b"\n" * 8 for t in tails))
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 300, ridge: float = 1.0) -> Model:
     """Dictionaries and calibration on the training rows, some at a time."""
     distance = dictionaries(texts, toxic)
     n = len(texts)
-    x = np.zeros((n, SINGLE * TRIPLE))
+    x = np.zeros((n, BUCKETS))
     for lo in range(0, n, CHUNK):
         rows, buckets, _ = present(texts.slice(lo, CHUNK), distance)
         x[lo + rows, buckets] = 1
@@ -192,14 +203,23 @@ def remainder(key: str, folds: int) -> F.Column:
     return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, folds: int = FOLDS) -> Model:
-    """Fit on at most ``rows`` labelled rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, folds: int = FOLDS, size: int = TRAIN_BYTES) -> Model:
+    """Fit on labelled rows outside the held-out fold, within the stated bound."""
     told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(key, folds) != 0))
-    told = told.groupBy(key).agg((F.max(label) > 0).alias("__toxic")).orderBy(F.xxhash64(key), key).limit(rows)
-    sample = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(told, key)
-    found = sample.select("__text", "__toxic").orderBy(F.xxhash64("__text"), "__toxic").limit(rows).toArrow()
+    told = told.groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).alias("__toxic"))
+    # Only keys are joined to all labels, so that texts stay where they are.
+    keys = docs.select(F.col(key).alias("key")).distinct().join(told, "key").orderBy(F.xxhash64("key"), "key").limit(rows)
+    keys = common.checkpoint(keys)  # at most ``rows``
+    bytes_of, order = F.octet_length("__text"), F.xxhash64("key", "__text")
+    sample = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(keys), "key").where(bytes_of <= size // 8)
+    sample = sample.select("key", "__text", "__toxic", order.alias("h"))
+    sizes = sample.select("h", bytes_of.alias("n")).orderBy("h").limit(rows).toPandas()
+    fits = sizes["n"].cumsum() <= size
+    last = int(sizes["h"][fits].max()) if fits.any() else None
+    found = sample.where(F.col("h") <= F.lit(last)).orderBy("h", "__toxic").limit(rows).select("__text", "__toxic").toArrow()
+    common.discard(keys)
     if not found.num_rows or len(pc.unique(found["__toxic"])) < 2:
-        return Model(Distance(b" " * 16, b" " * 16), np.zeros(SINGLE * TRIPLE), -30.0)
+        return Model(Distance(b" " * 16, b" " * 16), np.zeros(BUCKETS), -math.inf)
     model = fit(found["__text"].combine_chunks(), found["__toxic"].to_numpy(zero_copy_only=False).astype(bool))
     model.distance.cache.clear()
     del found

@@ -209,7 +209,29 @@ def test_toxicity_edges(spark, docs, nothing):
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0) for r in rows)
     assert toxicity.classify(nothing, labels).count() == 0
-    assert toxicity.classify(docs, labels.limit(0)).count() == docs.count()
+    assert {r.score for r in toxicity.classify(docs, labels.limit(0)).collect()} == {0.0}
+    assert {r.score for r in toxicity.classify(docs, labels.where("toxic = 0")).collect()} == {0.0}
+
+
+def test_toxicity_labels_of_unknown_ids(spark, data):
+    """Any number of labels without a document changes nothing; so does a bound on bytes that is not reached."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    of = lambda more, **k: {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, more, **k)).collect()}
+    scores = of(labels)
+    unknown = spark.range(10**9, 10**9 + 50_000).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 2 AS int) AS toxic")
+    assert of(labels.unionByName(unknown)) == scores
+    assert of(labels, size=16 << 20) == scores and of(labels, size=40_000) != scores
+    assert set(of(labels, size=8).values()) == {0.0}
+
+
+def test_toxicity_held_out(spark):
+    """Held-out accuracy on whole tables: toxic rows found, others left alone."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    toxic = [r.predicted for r in rows if r.toxic]
+    clean = [r.predicted for r in rows if not r.toxic]
+    assert len(toxic) > 50 and sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.01 * len(clean)
 
 
 def test_toxicity_accuracy():
