@@ -48,6 +48,7 @@ COORDINATES = ROWS * BANDS
 PIECE_CHARS = 300_000
 ROW_WEIGHT = 1500  # darts of a row take as much as so many characters
 SMALL_PAIRS = 100_000  # pairs of ids that are broadcast: below 2 MB
+SMALL_KINDS = 1_000_000  # numbers of rows that are broadcast: below 20 MB
 SMALL_CLASSES = 200_000  # classes that are broadcast: below 10 MB
 BLOCK, BLOCK_WEIGHT = 500, 500_000  # about the rows and shingles of a block of a bucket
 
@@ -369,7 +370,8 @@ def classes(rows: DataFrame, threshold: float = SIMILARITY, words: int = WORDS)
     keyed = first.select(F.explode("bands").alias("band"), F.col(ROW).alias("kind"), "weight")
     shared = keyed.groupBy("band").agg(F.count("*").alias("__n")).where("__n > 1")
     left = common.checkpoint(keyed.join(shared.select("band"), "band"))
-    texts = common.checkpoint(rows.select(ROW, "text").join(left.select(F.col("kind").alias(ROW)).distinct(), ROW, "left_semi"))
+    compared = common.checkpoint(left.select(F.col("kind").alias(ROW)).distinct())
+    texts = common.checkpoint(rows.select(ROW, "text").join(common.sized(compared, SMALL_KINDS), ROW, "left_semi"))
     buckets = left.groupBy("band").agg(F.min("kind").alias("pivot"))
     tried = left.join(buckets, "band").where("kind != pivot").select("kind", "pivot").distinct()
     links = common.checkpoint(_verified(tried, texts, threshold, words))

@@ -88,7 +88,7 @@ def edited(r, words, n):
 
 @pytest.mark.parametrize("small", [100_000, 0])
 def test_near_duplicates(spark, docs, nothing, monkeypatch, small):
-    for name in ("SMALL_PAIRS", "SMALL_CLASSES"):
+    for name in ("SMALL_PAIRS", "SMALL_CLASSES", "SMALL_KINDS"):
         monkeypatch.setattr(dart_minhash, name, small)
     r = random.Random(7)
     texts = []
