@@ -66,6 +66,7 @@ class Spec:
     build: Callable[..., Column] | None = None
     order: list[tuple[Column, bool]] = field(default_factory=list)
     limit: int | None = None
+    fixed: tuple[bool, ...] = ()  # which arguments are literals
 
 
 @dataclass
@@ -597,10 +598,10 @@ class Compiler:
     def cond(self) -> Column | None:
         return filters.all_of(self.conds) if self.conds else None
 
-    def aggregate(self, fn: str, args: list[Column], path: tuple[str, ...], build=None, order=(), limit=None, t: str | None = "number", dtype=None) -> E:
+    def aggregate(self, fn: str, args: list[Column], path: tuple[str, ...], build=None, order=(), limit=None, t: str | None = "number", dtype=None, fixed=()) -> E:
         if self.ledger is None:
             raise ModelProblem(f"{fn} stands only in a query")
-        name = self.ledger.note(fn=fn, args=args, cond=self.cond(), path=path, build=build, order=list(order), limit=limit)
+        name = self.ledger.note(fn=fn, args=args, cond=self.cond(), path=path, build=build, order=list(order), limit=limit, fixed=tuple(fixed))
         c = F.col(name)
         return E(F.coalesce(c, F.lit(0)) if fn in ("sum", "count", "count_distinct") else c, t, agg=True, dtype=dtype)
 
@@ -610,6 +611,7 @@ class Compiler:
     def call(self, n: Node, props: Node | None) -> E:
         name = n.name.lower()
         if n.raw:
+            self.model.refuse(f"{n.name}!()")
             args = [self.compile(a) for a in n.args]
             return E(F.call_function(n.name, *(a.c for a in args)), n.type, agg=any(a.agg for a in args))
         if name in AGGREGATES:
@@ -633,12 +635,12 @@ class Compiler:
         if name == "array_join" and len(args) == 3:
             c = F.array_join(args[0].c, n.args[1].value, n.args[2].value)
         elif name in ("array_join", "date_format") and len(args) == 2 and n.args[1].kind == "string":
-            c = F.array_join(args[0].c, n.args[1].value) if name == "array_join" else F.call_function("date_format", args[0].c, library._pattern(args[1].c))
+            c = F.array_join(args[0].c, n.args[1].value) if name == "array_join" else F.call_function("date_format", args[0].c, F.lit(library.java_pattern(n.args[1].value)))
+        elif name == "date_parse" and n.args[1].kind == "string":
+            c = F.to_timestamp(args[0].c, library.java_pattern(n.args[1].value)).cast("timestamp_ntz")
         elif name == "round" and len(args) == 2:
             digits = n.args[1]
             c = F.round(args[0].c, -int(digits.expr.text) if digits.kind == "minus" else int(digits.text)) if digits.kind in ("number", "minus") else F.round(args[0].c, args[1].c)
-        elif name == "date_part":
-            c = args[1].c.cast("double")
         else:
             c = library.SCALAR[name](*(a.c for a in args))
         t = args[0].t if name in library.SAME and args else library.RETURNS.get(name)
@@ -680,11 +682,12 @@ class Compiler:
 
     def general(self, name: str, n: Node, props: Node | None) -> E:
         args = [self.compile(a) for a in n.args]
+        fixed = [a.kind in ("string", "number", "minus") for a in n.args]
         path = self.path
         if n.prefix:
             found = self.join_path(n.prefix)
             if found is None:
-                args = [self.lookup(n.prefix), *args]
+                args, fixed = [self.lookup(n.prefix), *args], [False, *fixed]
                 found = self.join_path(n.prefix[:-1]) if len(n.prefix) > 1 else self.path
             path = found if found is not None else self.path
         order, limit = [], None
@@ -693,7 +696,7 @@ class Compiler:
                 order.append((self.compile(o.what).c if o.what is not None else args[0].c, o.way == "desc"))
             limit = props.limit
         symmetric = name in ("count_approx", "bool_and", "bool_or", "bitwise_and_agg", "bitwise_or_agg", "string_agg_distinct", "array_agg_distinct", "set_agg", "max_by", "min_by", "arbitrary", "any_value")
-        return self.aggregate("free" if symmetric else "general", [a.c for a in args], path, library.AGGREGATE[name], order, limit, t=args[0].t if name in ("arbitrary", "any_value", "max_by", "min_by") and args else "array" if "array" in name or name.startswith("set_") else None)
+        return self.aggregate("free" if symmetric else "general", [a.c for a in args], path, library.AGGREGATE[name], order, limit, t=args[0].t if name in ("arbitrary", "any_value", "max_by", "min_by") and args else "array" if "array" in name or name.startswith("set_") else None, fixed=fixed)
 
     def windowed(self, name: str, n: Node, props: Node | None) -> E:
         if self.window is None:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions import library
 from quern.lang.syntax import Node
 from quern.plans.compiler import Compiler, E, Frame, Ledger, Spec, kind_of, quoted
 from quern.sources.model import Field, Model, ModelProblem, Source, find, nodes
@@ -636,7 +637,8 @@ class Planner:
         if s.order or s.limit is not None:
             order = s.order or [(args[0], False)]
             ranks = [o for o, _ in order]
-            rows = F.collect_list(F.when(args[0].isNotNull(), F.struct(*(r.alias(f"o{i}") for i, r in enumerate(ranks)), args[0].cast("string").alias("v"))))
+            texts = s.build not in (library.AGGREGATE["array_agg"], library.AGGREGATE["array_agg_distinct"])
+            rows = F.collect_list(F.when(args[0].isNotNull(), F.struct(*(r.alias(f"o{i}") for i, r in enumerate(ranks)), (args[0].cast("string") if texts else args[0]).alias("v"))))
 
             def before(a: Column, b: Column) -> Column:
                 out = F.lit(0)
@@ -649,6 +651,8 @@ class Planner:
 
             values = F.transform(F.array_sort(rows, before), lambda r: r["v"])
             values = F.slice(values, 1, s.limit) if s.limit is not None else values
+            if not texts:
+                return values
             joiner = args[1] if len(args) > 1 else F.lit(",")
             return F.nullif(F.reduce(values, F.lit(None).cast("string"), lambda acc, v: F.when(acc.isNull(), v).otherwise(F.concat(acc, joiner, v))), F.lit(None))
         return s.build(*args)
@@ -665,15 +669,17 @@ class Planner:
                 outs.append(F.count(quoted(f"{s.name}·0")).alias(s.name))
                 continue
             args = [pick(s.args[0]), *s.args[1:], *(o for o, _ in s.order)]
+            literal = [*s.fixed, *([False] * (len(args) - len(s.fixed)))]
             for i, a in enumerate(args):
-                held[f"{s.name}·{i}"] = F.max(a)
-            columns = [quoted(f"{s.name}·{i}") for i in range(len(s.args))]
+                if not literal[i]:
+                    held[f"{s.name}·{i}"] = F.max(a)
+            columns = [a if literal[i] else quoted(f"{s.name}·{i}") for i, a in enumerate(s.args)]
             if s.fn in ("sum", "avg"):
                 outs.append(getattr(F, s.fn)(columns[0]).alias(s.name))
             else:
-                again = Spec(s.name, s.fn, columns, None, path, s.build, [(quoted(f"{s.name}·{len(s.args) + i}"), d) for i, (_, d) in enumerate(s.order)], s.limit)
+                again = Spec(s.name, s.fn, columns, None, path, s.build, [(quoted(f"{s.name}·{len(s.args) + i}"), d) for i, (_, d) in enumerate(s.order)], s.limit, s.fixed)
                 outs.append(self.general(again, columns).alias(s.name))
-        first = df.select(*map(quoted, keys), key.alias("__key"), *map(F.col, [])) if False else df.withColumn("__key", key).where(F.col("__key").isNotNull())
+        first = df.withColumn("__key", key).where(F.col("__key").isNotNull())
         first = first.groupBy(*map(quoted, keys), "__key").agg(*(c.alias(n) for n, c in held.items()))
         return first.groupBy(*map(quoted, keys)).agg(*outs) if keys else first.agg(*outs)
 
@@ -695,7 +701,7 @@ class Planner:
             v = sample[-1].value
             load = source.frame
             source = source.copy()
-            source.frame = (lambda: load().sample(v, seed=1)) if isinstance(v, float) else (lambda: load().limit(SAMPLE_ROWS if v is True else v))
+            source.frame = lambda: sampled(load(), v)
         parts = []
         for path in paths:
             # Each field is a query of its own, so joins never multiply rows.
@@ -729,6 +735,14 @@ class Planner:
         return out.limit(INDEX_ROWS) if sample and sample[-1].value is not False else out
 
 
+def sampled(df: DataFrame, how: float | int | bool) -> DataFrame:
+    """A share of the rows, or about so many of them (``SAMPLE_ROWS``: true) taken evenly."""
+    if isinstance(how, float):
+        return df.sample(how, seed=1)
+    wanted, there = SAMPLE_ROWS if how is True else how, df.count()
+    return df if there <= wanted else df.sample(wanted / there, seed=1)
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on keys that may be null."""
     if not keys:

@@ -251,6 +251,60 @@ q("fn_array_order", "run: nation extend { dimension: a is [n_regionkey, 9, 5] }
 q("fn_array_agg", "run: nation -> { group_by: n_regionkey aggregate: k is array_agg_distinct(n_name), n is count() } -> { select: n_regionkey, names is array_join(k, ','), n }", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, count(*) AS n FROM nation GROUP BY 1")
 q("group_by_expression_measure", "run: li -> { group_by: supplier.nation.n_name, part.p_brand aggregate: qty where: l_shipdate ? @1996 having: qty > 200 }", "SELECT n_name, p_brand, sum(l_quantity) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '1997-01-01' GROUP BY 1, 2 HAVING sum(l_quantity) > 200")
 
+# --- functions that have no query above ------------------------------------------------------------
+q("fn_trig_inverse", "run: orders -> { select: o_orderkey, a is round(acos(1 / o_orderkey), 8), b is round(asin(1 / o_orderkey), 8), c is round(atan(o_orderkey), 8), d is round(tan(o_orderkey % 7), 6) where: o_orderkey > 0 }",
+  "SELECT o_orderkey, round(acos(1.0 / o_orderkey), 8) AS a, round(asin(1.0 / o_orderkey), 8) AS b, round(atan(o_orderkey), 8) AS c, round(tan(o_orderkey % 7), 6) AS d FROM orders WHERE o_orderkey > 0")
+q("fn_rand", "run: orders -> { select: o_orderkey, inside is rand() >= 0 and rand() < 1 }", "SELECT o_orderkey, true AS inside FROM orders")
+q("fn_bitwise", "run: orders -> { select: o_orderkey, a is bitwise_and(o_orderkey, 12), b is bitwise_or(o_orderkey, 12) }", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 12 AS b FROM orders")
+q("fn_trim_sides", "run: customer -> { select: c_custkey, a is ltrim('  x '), b is rtrim('  x '), c is ltrim(c_name, 'C'), d is rtrim(c_name, '0123456789'), e is string_repeat(c_mktsegment, 2), f is unicode(c_mktsegment), g is unicode('é') }",
+  "SELECT c_custkey, 'x ' AS a, '  x' AS b, ltrim(c_name, 'C') AS c, rtrim(c_name, '0123456789') AS d, repeat(c_mktsegment, 2) AS e, unicode(c_mktsegment) AS f, CAST(233 AS INTEGER) AS g FROM customer")
+q("fn_split", "run: pages -> { select: page_id, n is cardinality(split(url, '/')), b is split_part(url, '/', 3), last is element_at(split(url, '.'), -1) }", "SELECT page_id, CAST(len(string_split(url, '/')) AS INTEGER) AS n, split_part(url, '/', 3) AS b, string_split(url, '.')[-1] AS last FROM pages")
+q("fn_regexp_replace", "run: customer -> { select: c_custkey, a is regexp_replace(c_name, '[0-9]+', '#'), b is regexp_replace(c_name, '[aeiou]'), c is regexp_extract(c_name, '([a-z]+).([0-9]+)', 2) }",
+  "SELECT c_custkey, regexp_replace(c_name, '[0-9]+', '#', 'g') AS a, regexp_replace(c_name, '[aeiou]', '', 'g') AS b, regexp_extract(c_name, '([a-z]+).([0-9]+)', 2) AS c FROM customer")
+q("fn_url_parts", "run: pages -> { select: page_id, p is url_extract_path(url), q is coalesce(url_extract_query(url), '-'), f is url_extract_fragment('https://a.b/c#top'), o is url_extract_port('https://a.b:8080/x'), z is url_extract_port(url) }",
+  "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, coalesce(nullif(regexp_extract(url, '\\?([^#]*)', 1), ''), '-') AS q, 'top' AS f, CAST(8080 AS BIGINT) AS o, CAST(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*:([0-9]+)', 1), '') AS BIGINT) AS z FROM pages")
+q("fn_time_from_numbers", "run: events -> { select: event_id, a is to_timestamp(event_id), b is date_from_unix_date(event_id), c is date_part('seconds', to_seconds(event_id)), d is date_part('minute', to_seconds(event_id)), e is date_part('hour', to_seconds(event_id * 10)) }",
+  "SELECT event_id, make_timestamp(event_id * 1000000) AS a, DATE '1970-01-01' + CAST(event_id AS INTEGER) AS b, date_part('seconds', to_seconds(event_id)) AS c, date_part('minute', to_seconds(event_id)) AS d, date_part('hour', to_seconds(event_id * 10)) AS e FROM events")
+q("fn_date_patterns", "run: events -> { select: event_id, a is date_format(ts, '%Y-%m-%dT%H:%i:%s'), b is date_format(ts, '%e %c %k %y'), c is date_parse(date_format(ts, '%Y%m%d %H%i%S'), '%Y%m%d %H%i%S'), d is date_format(ts, '%j of %Y, %%') }",
+  "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS a, strftime(ts, '%-d %-m %-H %y') AS b, date_trunc('second', ts) AS c, strftime(ts, '%j of %Y, %%') AS d FROM events")
+q("fn_sql_kinds", "run: customer -> { select: c_custkey, s is sql_string('upper(${c_mktsegment})'), b is sql_boolean('${c_acctbal} > 0'), n is sql_number('${c_custkey} * 2') } ",
+  "SELECT c_custkey, upper(c_mktsegment) AS s, c_acctbal > 0 AS b, c_custkey * 2 AS n FROM customer")
+q("fn_sql_times", "run: orders -> { select: o_orderkey, d is sql_date('to_date(${o_orderdate})'), t is sql_timestamp(\"${o_orderdate} + interval '1 day'\") }", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderdate + INTERVAL 1 DAY AS t FROM orders")
+q("fn_sequence", "run: nation -> { select: n_nationkey, a is cardinality(sequence(0, n_nationkey)), b is array_join(sequence(0, 10, 5)::'array<string>', ','), c is cardinality(sequence(@2024-01-01, @2024-01-10)) }",
+  "SELECT n_nationkey, CAST(n_nationkey + 1 AS INTEGER) AS a, '0,5,10' AS b, CAST(10 AS INTEGER) AS c FROM nation")
+q("fn_array_more", """run: nation extend { dimension: a is [n_regionkey, 7, null, 7, 9], b is [[1, 2], [n_regionkey]] } -> {
+  select: n_nationkey, f is array_join(flatten(b)::'array<string>', ','), s is array_join(array_sort(shuffle([3, 1, 2]))::'array<string>', ','), r is cardinality(remove_nulls(a)), d is array_join(array_duplicates(a)::'array<string>', ','),
+  l is array_join(array_least_frequent([n_regionkey + 20, 5, 5])::'array<string>', ','), l2 is array_join(array_least_frequent([8, 5, 5, 7, 7, 7], 2)::'array<string>', ','), t is array_join(trim_array([1, 2, 3], 1)::'array<string>', ','),
+  n is round(element_at(array_normalize([3.0, 4.0], 2), 1), 6), k is array_repeat(n_regionkey, 2)::'array<string>', p is array_position([5, 6, 5], 5, 2) }""",
+  "SELECT n_nationkey, '1,2,' || n_regionkey AS f, '1,2,3' AS s, CAST(4 AS INTEGER) AS r, '7' AS d, CAST(n_regionkey + 20 AS VARCHAR) AS l, '8,5' AS l2, '1,2' AS t, CAST(0.6 AS DOUBLE) AS n, [CAST(n_regionkey AS VARCHAR), CAST(n_regionkey AS VARCHAR)] AS k, CAST(3 AS INTEGER) AS p FROM nation")
+q("fn_combinations", "run: nation -> { select: n_nationkey, a is cardinality(combinations([1, 2, 3, 4, 5, 6, 7], 6)), b is cardinality(combinations([1, 2, 3, 4, 5, 6, 7], 3)), c is cardinality(combinations([1, 2], 3)), d is cardinality(flatten(combinations([1, 2, 3, 4, 5, 6, 7], 7))) }",
+  "SELECT n_nationkey, CAST(7 AS INTEGER) AS a, CAST(35 AS INTEGER) AS b, CAST(0 AS INTEGER) AS c, CAST(7 AS INTEGER) AS d FROM nation")
+q("win_min_max", "run: orders -> { group_by: o_orderpriority aggregate: n_orders calculate: lo is min_window(n_orders), hi is max_window(n_orders) }", "SELECT o_orderpriority, count(*) AS n_orders, min(count(*)) OVER () AS lo, max(count(*)) OVER () AS hi FROM orders GROUP BY 1")
+q("agg_string_agg_distinct", "run: orders -> { group_by: o_orderstatus aggregate: p is string_agg_distinct(o_orderpriority), s is string_agg_distinct(o_orderpriority, ' / ') }", "SELECT o_orderstatus, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS p, string_agg(DISTINCT o_orderpriority, ' / ' ORDER BY o_orderpriority) AS s FROM orders GROUP BY 1")
+q("agg_string_agg_fan_out", "run: region extend { join_many: n is t.table('nation') on r_regionkey = n.n_regionkey } -> { aggregate: r is string_agg(r_name, ',') { order_by: r_name }, n is n.n_name.string_agg(',') { order_by: n.n_name } }",
+  "SELECT (SELECT string_agg(r_name, ',' ORDER BY r_name) FROM region) AS r, (SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation JOIN region ON n_regionkey = r_regionkey) AS n")
+q("agg_arbitrary", "run: nation -> { group_by: n_regionkey aggregate: a is arbitrary(region.r_name), b is bitwise_and_agg(n_nationkey) }", "SELECT n_regionkey, min(r_name) AS a, bit_and(n_nationkey) AS b FROM nation LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+q("agg_arrays", "run: nation -> { group_by: n_regionkey aggregate: s is set_agg(n_nationkey % 3), a is array_agg(n_nationkey) { order_by: n_nationkey } } -> { select: n_regionkey, s is array_join(s::'array<string>', ','), a is array_join(array_sort(a)::'array<string>', ',') }",
+  "SELECT n_regionkey, (SELECT string_agg(x, ',') FROM (SELECT unnest(list_sort(list(DISTINCT n_nationkey % 3))) AS x)) AS s, array_to_string(list(n_nationkey ORDER BY n_nationkey), ',') AS a FROM nation GROUP BY 1")
+q("agg_set_union", "run: nation extend { dimension: a is [n_nationkey % 2, 7] } -> { group_by: n_regionkey aggregate: u is set_union(a) } -> { select: n_regionkey, u is array_join(u::'array<string>', ',') }",
+  "SELECT n_regionkey, array_to_string(list_sort(list_distinct(flatten(list([n_nationkey % 2, 7])))), ',') AS u FROM nation GROUP BY 1")
+q("source_declare", "source: declared is t.table('orders') extend { declare: cents is o_totalprice * 100, n_all is count(), hi is max(cents) } run: declared -> { group_by: o_orderstatus aggregate: n_all, hi is round(hi, 2) }", "SELECT o_orderstatus, count(*) AS n_all, round(max(o_totalprice * 100), 2) AS hi FROM orders GROUP BY 1")
+q("time_now", "run: events -> { aggregate: past is count() { where: ts < now }, later is count() { where: ts > now + 1 day }, n }", "SELECT count(*) FILTER (ts < now()::timestamp) AS past, count(*) FILTER (ts > now()::timestamp + INTERVAL 1 DAY) AS later, count(*) AS n FROM events")
+q("deep_unnest", "source: tree is orders -> { group_by: o_orderstatus nest: by_p is { group_by: o_orderpriority nest: by_y is { group_by: y is year(o_orderdate) aggregate: n_orders, t is round(o_totalprice.sum(), 2) } } } run: tree -> { group_by: by_p.by_y.y aggregate: n is by_p.by_y.n_orders.sum(), p is count(by_p.o_orderpriority), hi is by_p.by_y.t.max() }",
+  "SELECT y, CAST(sum(k) AS BIGINT) AS n, count(DISTINCT o_orderpriority) AS p, max(t) AS hi FROM (SELECT o_orderstatus, o_orderpriority, year(o_orderdate) AS y, count(*) AS k, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY 1, 2, 3) GROUP BY 1")
+q("index_sample", "run: orders -> { index: o_orderstatus, o_orderpriority sample: true }",
+  "SELECT 'o_orderstatus' AS \"fieldName\", 'o_orderstatus' AS \"fieldPath\", o_orderstatus AS \"fieldValue\", 'string' AS \"fieldType\", count(*) AS weight FROM orders GROUP BY 3 UNION ALL SELECT 'o_orderpriority', 'o_orderpriority', o_orderpriority, 'string', count(*) FROM orders GROUP BY 3")
+q("grouped_by_contract", "source: contract is t.table('orders') extend { measure: per_status is o_totalprice.max() { grouped_by: o_orderstatus } } run: contract -> { group_by: o_orderstatus aggregate: per_status }", "SELECT o_orderstatus, max(o_totalprice) AS per_status FROM orders GROUP BY 1")
+# Filters relative to now: the events are moved so that the last of them is today.
+_MOVED = 'source: recent is t.sql("""SELECT event_id, ts + make_dt_interval(datediff(to_date(now()), to_date(hi))) AS ts FROM events CROSS JOIN (SELECT max(ts) AS hi FROM events)""") '
+_MOVED_SQL = "(SELECT event_id, ts + INTERVAL 1 DAY * date_diff('day', hi, d) AS ts, d FROM events, (SELECT max(ts) AS hi FROM events), (SELECT date_trunc('day', now()::timestamp) AS d))"
+for _n, _f, _s in (
+    ("last_n", "last 7 days", "ts >= d - INTERVAL 7 DAY AND ts < d"), ("n_units", "7 days", "ts >= d - INTERVAL 6 DAY AND ts < d + INTERVAL 1 DAY"), ("next_n", "next 2 days", "ts >= d + INTERVAL 1 DAY AND ts < d + INTERVAL 3 DAY"), ("last_unit", "last week", "ts >= d - INTERVAL 1 DAY * (dayofweek(d) + 7) AND ts < d - INTERVAL 1 DAY * dayofweek(d)"),
+    ("this_unit", "this month", "ts >= date_trunc('month', d) AND ts < date_trunc('month', d) + INTERVAL 1 MONTH"), ("today", "today", "ts >= d AND ts < d + INTERVAL 1 DAY"), ("yesterday", "yesterday", "ts >= d - INTERVAL 1 DAY AND ts < d"), ("ago", "3 days ago", "ts >= d - INTERVAL 3 DAY AND ts < d - INTERVAL 2 DAY"),
+    ("before_ago", "before 5 days ago", "ts < d - INTERVAL 5 DAY"), ("weekday", "last monday", "ts >= d - INTERVAL 1 DAY * ((dayofweek(d) + 5) % 7 + 1) AND ts < d - INTERVAL 1 DAY * ((dayofweek(d) + 5) % 7)"), ("not_last", "not last 7 days", "ts < d - INTERVAL 7 DAY OR ts >= d"), ("after_now", "after now", "ts >= now()::timestamp"),
+):
+    q(f"filter_temporal_{_n}", f"{_MOVED}run: recent -> {{ aggregate: n is count() where: ts ~ f'{_f}' }}", f"SELECT count(*) AS n FROM {_MOVED_SQL} WHERE {_s}")
+
 
 _MODELS: dict[tuple[str, str], Model] = {}
 
@@ -284,11 +338,164 @@ def partition_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approx_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model(spark, sf_dir).run("run: li -> { group_by: l_returnflag aggregate: a is count_approx(l_partkey), p is approx_percentile(l_quantity, 0.5), h is hll_estimate(hll_accumulate(l_partkey)) }")
+    """Estimates against what they estimate: within 5 % (ranks: 0.05)."""
+    return model(spark, sf_dir).run("""run: li -> { group_by: l_returnflag aggregate:
+      a is count_approx(l_partkey), e is count(l_partkey), h is hll_estimate(hll_accumulate(l_partkey)), p is approx_percentile(l_quantity, 0.5),
+      under is count(), hx is hll_estimate(hll_import(hll_export(hll_accumulate(l_partkey)))) } -> {
+      select: l_returnflag, count_near is abs(a - e) <= 0.05 * e, hll_near is abs(h - e) <= 0.05 * e, same is h = hx, median_near is p >= 24 and p <= 27 }""")
 
 
 def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model(spark, sf_dir).run("run: li -> { group_by: l_returnflag, l_linestatus aggregate: d is tdigest_agg(l_quantity), h is hll_accumulate(l_partkey) } -> { group_by: l_returnflag aggregate: d is merge_tdigest(d), h is hll_combine(h) } -> { select: l_returnflag, m is value_at_quantile(d, 0.5), r is quantile_at_value(d, 25), k is hll_estimate(h) }")
+    """Digests and HyperLogLog sketches, merged, against exact answers."""
+    return model(spark, sf_dir).run("""run: li -> { group_by: l_returnflag, l_linestatus aggregate: d is tdigest_agg(l_extendedprice), h is hll_accumulate(l_partkey) }
+      -> { group_by: l_returnflag aggregate: d is merge_tdigest(d), h is hll_combine(h) }
+      -> { select: l_returnflag, m is value_at_quantile(d, 0.5), r is quantile_at_value(d, 40000), t is trimmed_mean(d, 0.1, 0.9), n is hll_estimate(h),
+           n2 is element_at(values_at_quantiles(merge_tdigest_array([d, scale_tdigest(d, 3)]), [0.5]), 1), lo is value_at_quantile(d, 0), hi is value_at_quantile(d, 1),
+           made is value_at_quantile(construct_tdigest([1.0, 2.0, 9.0], [1.0, 1.0, 2.0], 1, 9, 21, 4, 100), 0.9) }""").select(
+        "l_returnflag", F.col("m").alias("median"), F.col("r").alias("rank"), F.col("t").alias("trimmed"), F.col("n").alias("parts"), F.abs(F.col("n2") / F.col("m") - 1).alias("moved"), "lo", "hi", "made"
+    )
+
+
+def sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests' answers held to error bounds against exact ones."""
+    exact = model(spark, sf_dir).run("run: li -> { select: l_returnflag, l_extendedprice, l_partkey }").groupBy("l_returnflag").agg(
+        F.percentile("l_extendedprice", F.array(F.lit(0.46), F.lit(0.54))).alias("q"), F.avg(F.when(F.col("l_extendedprice") <= 40000, 1.0).otherwise(0.0)).alias("share"), F.countDistinct("l_partkey").alias("e"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most"), F.avg("l_extendedprice").alias("mean"),
+    )
+    both = sketches(spark, sf_dir).join(exact, "l_returnflag")
+    return both.select(
+        "l_returnflag",
+        F.col("median").between(F.col("q")[0], F.col("q")[1]).alias("median_near"),
+        (F.abs(F.col("rank") - F.col("share")) < 0.04).alias("rank_near"),
+        (F.abs(F.col("trimmed") / F.col("mean") - 1) < 0.1).alias("trimmed_near"),
+        (F.abs(F.col("parts") / F.col("e") - 1) < 0.05).alias("parts_near"),
+        (F.col("moved") < 0.1).alias("merged_near"),
+        ((F.col("lo") == F.col("least")) & (F.col("hi") == F.col("most"))).alias("ends"),
+        "made",
+    )
+
+
+def hll_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct customers of three months, by moving sketches, within 5 %."""
+    return model(spark, sf_dir).run("""run: orders -> { group_by: o_orderdate.year aggregate: h is hll_accumulate(o_custkey), n_orders calculate: m is hll_combine_moving(h, 1), k is hll_accumulate_moving(n_orders, 1) order_by: o_orderdate }
+      -> { select: o_orderdate, n is hll_estimate(m), k is hll_estimate(k) }""").join(_two_years(spark, sf_dir), "o_orderdate").select(
+        "o_orderdate", (F.abs(F.col("n") / F.col("e") - 1) < 0.05).alias("near"), (F.col("k") <= 2).alias("few"))
+
+
+def _two_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.date_trunc("year", "o_orderdate").cast("timestamp_ntz").alias("y"), "o_custkey")
+    later = o.select(F.add_months("y", 12).cast("timestamp_ntz").alias("y"), "o_custkey")
+    years = o.select("y").distinct()
+    return o.unionByName(later).join(years, "y", "left_semi").groupBy(F.col("y").alias("o_orderdate")).agg(F.countDistinct("o_custkey").alias("e"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that the executors see."""
+    import tempfile
+    import uuid
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"quern-{name}-") + "/out"
+
+
+def persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source written by its build plan and read from its manifest."""
+    text = """
+    #@ persist
+    source: per_status is t.table('orders') -> { group_by: o_orderstatus aggregate: n is count() }
+    run: per_status -> { select: * }
+    """
+    tables = {"orders": f"{sf_dir}/orders.parquet"}
+    manifest = Model(spark, tables).load(text).build(_folder(spark, "persisted"))
+    return Model(spark, tables, manifest=manifest).load(text).run()
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parquet by a pattern, and CSV and JSON written from it: the same rows by each."""
+    place = _folder(spark, "files")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    nation.coalesce(1).write.option("header", True).csv(f"{place}/nation.csv")
+    nation.coalesce(1).write.json(f"{place}/nation.json")
+    m = Model(spark, {"a": f"{sf_dir}/natio*.parquet", "b": f"{place}/nation.csv", "c": f"{place}/nation.json"})
+    parts = [m.run(f"run: t.table('{t}') -> {{ group_by: n_regionkey aggregate: n is count(), hi is max(n_name) }}").select(F.lit(t).alias("kind"), F.col("n_regionkey").cast("int").alias("n_regionkey"), "n", "hi") for t in "abc"]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and streamed rows of a nested result."""
+    from quern.sources import sinks
+
+    df = model(spark, sf_dir).run("run: orders -> { group_by: o_orderstatus aggregate: n_orders nest: by is { group_by: o_orderpriority aggregate: n_orders } order_by: o_orderstatus }")
+    told = [(r["o_orderstatus"], r["n_orders"], sum(x["n_orders"] for x in r["by"]), "rows") for r in sinks.rows(df, tag="told")]
+    told += [(r["o_orderstatus"], r["n_orders"], len(r["by"]), "stream") for r in sinks.stream(df)]
+    return spark.createDataFrame(told, "o_orderstatus string, n bigint, inner bigint, sink string")
+
+
+def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested result as JSON, read back."""
+    from quern.sources import sinks
+
+    place = _folder(spark, "json")
+    sinks.write_json(model(spark, sf_dir).run("run: orders -> { group_by: o_orderstatus nest: by is { group_by: o_orderpriority aggregate: n_orders } }"), place)
+    return spark.read.json(place).select("o_orderstatus", F.explode("by").alias("x")).select("o_orderstatus", "x.o_orderpriority", F.col("x.n_orders").alias("n"))
+
+
+def default_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model(spark, sf_dir).run("run: orders -> { select: o_orderkey, o_totalprice order_by: o_totalprice desc, o_orderkey }", default_limit=10)
+
+
+def query_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalyst's estimate grows with the columns that are read."""
+    from quern.sources import sinks
+
+    m = model(spark, sf_dir)
+    few, all_of = (sinks.cost(m.run(t)) for t in ("run: t.table('lineitem') -> { select: l_orderkey }", "run: t.table('lineitem') -> { select: * }"))
+    return spark.createDataFrame([(few > 0, few <= all_of)], "counted boolean, ordered boolean")
+
+
+def built_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query made with the builder."""
+    from quern.builder import Q
+
+    q = Q("orders").where("big").group_by("o_orderstatus").aggregate("n_orders").then().select("o_orderstatus", "k is n_orders + 1")
+    return q.run(model(spark, sf_dir))
+
+
+def notebook_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL cell of a notebook over a query of its model cell."""
+    from quern.lang import notebook
+
+    m = Model(spark, {"nation": f"{sf_dir}/nation.parquet"})
+    text = ">>>markdown\n# Nations\n>>>model\nsource: n is t.table('nation')\n>>>sql\nSELECT n_regionkey, k * 2 AS k FROM %{ n -> { group_by: n_regionkey aggregate: k is count() } }\n"
+    return [df for cell, df in notebook.run(m, text) if cell.kind == "sql"][0]
+
+
+def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that imports a source of another file under a new name."""
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="quern-model-")  # read by the driver alone
+    with open(f"{folder}/base.model", "w", encoding="utf-8") as out:
+        out.write("source: r is t.table('region') extend { measure: n is count() } source: hidden is t.table('nation') export { r }")
+    return Model(spark, {t: f"{sf_dir}/{t}.parquet" for t in TABLES}, base=folder).load('import { z is r } from "base.model"').run("run: z -> { group_by: r_name aggregate: n }")
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of one's own: a Column builder and an aggregate."""
+    from quern.functions import library
+
+    library.register("doubled", lambda x: x * 2)
+    library.register("spread", lambda x: F.max(x) - F.min(x), aggregate=True)
+    return model(spark, sf_dir).run("run: orders -> { group_by: o_orderstatus aggregate: s is spread(o_orderkey) } -> { select: o_orderstatus, d is doubled(s) }")
+
+
+def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation tags of a source and its field, as rows."""
+    from quern.lang.tags import tags
+
+    m = Model(spark, {"region": f"{sf_dir}/region.parquet"}).load("# percent size=large list=[x, 'y z']\nsource: r is t.table('region') extend {\n # label=key a.b=2\n dimension: k is r_regionkey\n}")
+    r = m.sources["r"]
+    found = {**tags(r.notes), **{f"k.{k}": v for k, v in tags(r.fields["k"].notes).items()}}
+    return spark.createDataFrame([(k, str(v)) for k, v in found.items()], "tag string, value string")
 
 
 def nested_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,8 +507,20 @@ def nested_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "search_ranked": (search_ranked, "SELECT 'n_name' AS \"fieldName\", n_name AS \"fieldValue\", count(*) AS weight FROM nation WHERE lower(n_name) LIKE '%nation_1%' GROUP BY 2"),
     "partition_composite": (partition_composite, "SELECT count(*) AS n, max(o_totalprice) AS hi FROM orders WHERE o_orderstatus = 'F'"),
-    "approx_functions": (approx_functions, None),
-    "sketches": (sketches, None),
+    "approx_functions": (approx_functions, "SELECT DISTINCT l_returnflag, true AS count_near, true AS hll_near, true AS same, true AS median_near FROM lineitem"),
+    "sketches": (sketch_bounds, "SELECT DISTINCT l_returnflag, true AS median_near, true AS rank_near, true AS trimmed_near, true AS parts_near, true AS merged_near, true AS ends, CAST(9 AS DOUBLE) AS made FROM lineitem"),
+    "hll_moving": (hll_moving, "SELECT DISTINCT date_trunc('year', o_orderdate) AS o_orderdate, true AS near, true AS few FROM orders"),
+    "persisted": (persisted, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1"),
+    "scan_files": (files, "SELECT kind, n_regionkey, count(*) AS n, max(n_name) AS hi FROM nation, (SELECT unnest(['a', 'b', 'c']) AS kind) GROUP BY 1, 2"),
+    "sink_rows": (sink_rows, "SELECT o_orderstatus, count(*) AS n, count(*) AS inner, 'rows' AS sink FROM orders GROUP BY 1 UNION ALL SELECT o_orderstatus, count(*), count(DISTINCT o_orderpriority), 'stream' FROM orders GROUP BY 1"),
+    "sink_json": (sink_json, "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2"),
+    "default_limit": (default_limit, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
+    "query_cost": (query_cost, "SELECT true AS counted, true AS ordered"),
+    "built_query": (built_query, "SELECT o_orderstatus, count(*) + 1 AS k FROM orders WHERE o_totalprice > 200000 GROUP BY 1"),
+    "notebook_sql": (notebook_sql, "SELECT n_regionkey, 2 * count(*) AS k FROM nation GROUP BY 1"),
+    "imported": (imported, "SELECT r_name, count(*) AS n FROM region GROUP BY 1"),
+    "registered": (registered, "SELECT o_orderstatus, 2 * (max(o_orderkey) - min(o_orderkey)) AS d FROM orders GROUP BY 1"),
+    "noted": (noted, "SELECT * FROM (VALUES ('percent', 'True'), ('size', 'large'), ('list', '[''x'', ''y z'']'), ('k.label', 'key'), ('k.a', '{''b'': ''2''}')) AS t(tag, value)"),
     "nested_csv": (nested_csv, "SELECT o_orderstatus, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1, 2"),
 }
 

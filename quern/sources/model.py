@@ -283,8 +283,6 @@ class Model:
 
     def extended(self, s: Source, properties: list[Node]) -> Source:
         out = s.copy()
-        for n in s.notes:
-            pass
         for p in properties:
             access = p.get("access")
             if p.kind in ("dimension", "measure", "declare"):
@@ -336,6 +334,8 @@ class Model:
         else:
             inner = copy.copy(self)
             inner.sources, inner.queries, inner.givens, inner.types, inner.runs = dict(self.sources), dict(self.queries), dict(self.givens), dict(self.types), []
+            if any(t.kind == "note" and t.text.startswith("##!") for t in syntax.tokenize(text)):
+                self.refuse("##!")
             for s in syntax.parse(text):
                 inner.statement(s)
             if not inner.runs:

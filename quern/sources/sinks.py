@@ -12,14 +12,24 @@ from pyspark.sql import types as T
 from quern.plans.compiler import quoted
 
 
+#: What a job group sets in a thread.
+_GROUP = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+
+
 def rows(df: DataFrame, limit: int | None = None, tag: str | None = None) -> list[dict[str, Any]]:
     """Result rows as dictionaries, nests included; no limit unless asked for.
 
     With a tag, ``abort(spark, tag)`` in another thread ends the query.
     """
+    sc = df.sparkSession.sparkContext
+    before = {name: sc.getLocalProperty(name) for name in _GROUP}
     if tag is not None:
-        df.sparkSession.sparkContext.setJobGroup(tag, tag, interruptOnCancel=True)
-    return [r.asDict(recursive=True) for r in (df.limit(limit) if limit is not None else df).collect()]
+        sc.setJobGroup(tag, tag, interruptOnCancel=True)
+    try:
+        return [r.asDict(recursive=True) for r in (df.limit(limit) if limit is not None else df).collect()]
+    finally:
+        for name, value in before.items():
+            sc.setLocalProperty(name, value)
 
 
 def abort(spark: SparkSession, tag: str) -> None:

@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 from quern.builder import Q
+from quern.functions import library
 from quern.lang.syntax import SyntaxProblem, parse, parse_expression
 from quern.sources import sinks
 from quern.sources.model import Model, ModelProblem
@@ -204,5 +205,52 @@ def test_queries(model, text, wanted):
 
 def test_default_limit_and_tag(model):
     df = model.run("run: people -> { select: k }", default_limit=2)
-    assert len(sinks.rows(df, tag="some")) == 2
-    sinks.abort(model.spark, "some")
+    sc = model.spark.sparkContext
+    sc.setJobGroup("outer", "mine")
+    try:
+        assert len(sinks.rows(df, tag="some")) == 2
+        assert sc.getLocalProperty("spark.jobGroup.id") == "outer"
+        sinks.abort(model.spark, "some")
+        assert df.count() == 2
+    finally:
+        for name in sinks._GROUP:
+            sc.setLocalProperty(name, None)
+    sinks.rows(df, tag="some")
+    assert sc.getLocalProperty("spark.jobGroup.id") is None
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'run: t.sql("""SELECT 1 AS x""") -> { select: * }', 'run: t.sql("""SELECT 1 AS x""")', 'import "x"', "run: t.table('other.parquet') -> { select: * }", "given: G :: string is 'a' run: people -> { select: k where: g = $G }",
+        "run: people -> { select: x is upper!('a') }", "run: people -> { select: x is sql_number('1') }", "run: people -> { select: x is sql_string('a') }",
+        "##! experimental.x\nrun: people -> { select: k }",
+    ],
+)
+def test_restricted(model, text):
+    strict = Model(model.spark, {"people": model.tables["people"]}).load("source: people is t.table('people')")
+    strict.restricted = True
+    assert strict.run("run: people -> { aggregate: n is count() }").first().n == 4
+    with pytest.raises(ModelProblem, match="restricted"):
+        strict.run(text).collect()
+
+
+@pytest.mark.parametrize(("text", "pattern"), [("%Y-%m-%dT%H", "yyyy-MM-dd'T'HH"), ("%c/%e it's", "M/d 'it''s'"), ("%%", "%")])
+def test_date_patterns(text, pattern):
+    assert library.java_pattern(text) == pattern
+    with pytest.raises(ValueError, match="%v"):
+        library.java_pattern("%v")
+
+
+def test_date_part_of_interval(model):
+    parts = {"second": 5.0, "minutes": 1.0, "hour": 2.0, "day": 0.0, "epoch": 7265.0, "millisecond": 5000.0}
+    for part, value in parts.items():
+        assert one(model, f"date_part('{part}', to_seconds(7265))") == value
+        assert one(model, f"date_part('{part}', to_seconds(-7265))") == -value
+    with pytest.raises(Exception, match="date_part"):
+        one(model, "date_part('aeon', to_seconds(1))")
+
+
+def test_digest_of_nothing(model):
+    r = model.run("run: people -> { where: k > 100 aggregate: d is tdigest_agg(v), m is hll_estimate(hll_accumulate(k)) } -> { select: x is value_at_quantile(d, 0.5), t is trimmed_mean(d, 0, 1), m }").first()
+    assert (r.x, r.t) == (None, None) and not r.m
