@@ -1,280 +1,479 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
-A suffix matters only through its first ``size`` bytes, its window. Instead of
-sorting whole suffixes, windows are split into groups by ever longer parts of
-them, most significant part first, and groups of one window are dropped after
-each pass. What is left after the last pass are exactly the repeated windows.
-
-The parts are chosen so that one row can stand for many neighbouring windows:
-
-1. the *gram* that anchors a window (see ``windows``); one row is one anchor
-   and stands for all its windows, whose joint bytes are its *around*;
-2. ``RUN`` neighbouring windows of one anchor share the bytes in their middle,
-   the *core*; one row is one such run;
-3. single windows.
-
-In each pass a group whose rows have one and the same joint bytes is repeated
-as a whole and needs no further pass; a group of several goes on, with one row
-for each distinct joint string. Only groups, counts and least and greatest
-hashes are aggregated, so a hot string costs its partial sums, not its copies.
-Hashes have 64 bits each; parts are compared by two of them.
+A suffix matters only through its first ``size`` bytes, its window. Suffixes
+are put into groups by successive digits, most significant first, and groups
+of one are dropped after each pass; the groups left after the last digit are
+exactly the repeated windows.
+
+* Neighbouring suffixes that share an *anchor* (the gram of least hash in their
+  windows, see ``windows``) are a *run* and go through the first pass together:
+  a run whose gram occurs nowhere else holds no repeated window and is dropped;
+  runs that are equal as a whole are repeated as a whole, and only one of them
+  goes on, as a partner of others. What else has a gram in common goes on.
+* The suffixes of those runs, one by one, are sorted by the digits of
+  ``DIGITS`` bytes each, up to ``size``.
+
+Texts are written once, in chunks of about ``CHUNK`` bytes beside their other
+columns and runs, and never shuffled. In each pass a chunk sends its distinct
+keys (64-bit hashes of the prefix so far), sorted and coded by their
+differences, to the buckets that hold a range of keys; a bucket answers with
+one code for each key: whether it occurs again. So a hot string costs one key
+for each chunk, whatever its copies, and no task gets more than a range of
+keys. The last pass uses a second hash besides, with other weights.
 
 Defined results: null texts are empty; texts shorter than ``size`` lose
 nothing; equal texts (repeated rows, too) repeat each other; matches never
-cross rows, may overlap, and are judged on the input; other columns are kept by
-``remove`` and not read by ``spans``.
+cross rows, may overlap, and are judged on the input; texts may have any length
+up to 2 GB; other columns are kept by ``remove`` and ``rewrite``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, windows
-from .common import ROW
 
 SIZE = 200
 GRAM = 64
-RUN = 8
+DIGITS = (64, 68, 68)
+CHUNK = 1 << 20
+PART = 1 << 21  # bytes of one text that are hashed at a time
+BUCKET_KEYS = 4_000_000  # about the keys that a task compares
+SMALL_BYTES = 64 << 20  # of answers that are broadcast
 
+DROP, WHOLE, ON, PARTNER = 0, 1, 2, 3  # answers of the first pass
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about windows.PIECE bytes."""
-    start, held = 0, 0
-    for i, x in enumerate(texts):
-        held += len(x)
-        if held >= windows.PIECE:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+_CHUNKS = "chunk long, n_keys long, sizes binary, data binary, others binary, first binary, last binary, gram binary, around binary"
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+# --- chunks --------------------------------------------------------------------
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
+def _raw(column: pa.Array) -> list[bytes]:
     return [x.encode() for x in common.text_values(column)]
 
 
-def _anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """(ROW, place, first, last, gram, around) of every anchor of every text."""
-    schema = f"{ROW} long, place int, first int, last int, gram long, around long"
+def _runs(data: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> dict[str, np.ndarray]:
+    """Runs of the texts of a chunk; a long text is taken part by part."""
+    names = ("first", "last", "gram", "around")
+    if len(data) <= 2 * PART:
+        found = windows.anchors(data, bounds, size, gram)
+        return {k: found[k] for k in names}
+    parts = []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        for at in range(lo, max(lo + 1, hi - size + 1), PART):
+            end = min(hi, at + PART + size - 1)
+            found = windows.anchors(data[at:end], np.array([0, end - at]), size, gram)
+            parts.append({"first": found["first"] + at, "last": found["last"] + at, "gram": found["gram"], "around": found["around"]})
+    return {k: np.concatenate([p[k] for p in parts]) for k in names}
+
+
+def _others(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for b in batches:
+            out.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def _chunked(docs: DataFrame, text: str, size: int, gram: int) -> DataFrame:
+    """Texts with their other columns and runs, in chunks; written once."""
+    kept = [n for n in docs.columns if n != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        texts: list[bytes] = []
+        held: list[pa.RecordBatch] = []
+        total = 0
+
+        def packed() -> pa.RecordBatch:
+            nonlocal number, total, texts, held
+            sizes = np.array(list(map(len, texts)), dtype=np.int64)
+            data = b"".join(texts)
+            found = _runs(np.frombuffer(data, dtype=np.uint8), np.append(0, np.cumsum(sizes)), size, gram)
+            row = [number, len(found["first"]), sizes.tobytes(), data, _others(held), found["first"].astype(np.int32).tobytes(), found["last"].astype(np.int32).tobytes(), found["gram"].tobytes(), found["around"].tobytes()]
+            number, total, texts, held = number + 1, 0, [], []
+            names = [x.split()[0] for x in _CHUNKS.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(row)], names=names)
+
         for batch in batches:
-            rows, texts = batch[ROW].to_numpy(), _bytes(batch["text"])
-            for lo, hi in _pieces(texts):
-                data, bounds = _joined(texts[lo:hi])
-                a = windows.anchors(data, bounds, size, gram)
-                base = bounds[a["text"]]
-                places = [pa.array((a[k] - base).astype(np.int32)) for k in ("place", "first", "last")]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[lo:hi][a["text"]]), *places, pa.array(common.signed(a["gram"])), pa.array(common.signed(a["around"]))], names=[ROW, "place", "first", "last", "gram", "around"])
+            raw = _raw(batch["__text"])
+            side = pa.RecordBatch.from_arrays([batch["__text"].is_null(), *(batch[f"c{i}"] for i in range(len(kept)))], names=["none", *(f"c{i}" for i in range(len(kept)))])
+            start = 0
+            for i, x in enumerate(raw):
+                texts.append(x)
+                total += len(x)
+                if total >= CHUNK:
+                    held.append(side.slice(start, i + 1 - start))
+                    start = i + 1
+                    yield packed()
+            if start < len(raw):
+                held.append(side.slice(start))
+        if texts:
+            yield packed()
         common.trim()
 
-    return docs.select(ROW, "text").mapInArrow(run, schema)
+    source = docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(kept)), F.col(text).alias("__text"))
+    return common.checkpoint(source.mapInArrow(run, _CHUNKS))
 
 
-def _fields(lists: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each element, its fields as columns) of an array of records."""
-    values = lists.flatten()
-    rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    columns = [pc.struct_field(values, n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
-    return rows, np.column_stack(columns) if columns else np.empty((0, 0), dtype=np.int64)
+# --- an exchange of keys -------------------------------------------------------
 
 
-def _listed(texts: pa.Array, lists: pa.Array, names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(data, text's begin, its number in the batch, its list's fields) for each text with a list."""
-    rows, fields = _fields(lists, names)
-    own, first = np.unique(rows, return_index=True)
-    ends = np.append(first[1:], len(rows))
-    taken = [(texts[i].as_py() or "").encode() for i in own.tolist()]
-    for lo, hi in _pieces(taken):
-        data, bounds = _joined(taken[lo:hi])
-        a, b = first[lo], ends[hi - 1]
-        number = np.repeat(np.arange(hi - lo), ends[lo:hi] - first[lo:hi])
-        yield data, bounds[number], rows[a:b], fields[a:b]
+def _coded(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and differences of as many bytes as the largest needs."""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    body = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + body.tobytes()
 
 
-def _runs(listed: DataFrame, size: int, run_length: int) -> DataFrame:
-    """(ROW, first, last, core, joint, single) of the runs of listed anchors."""
-    schema = f"{ROW} long, first int, last int, core long, joint long, single boolean"
+def _decoded(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    body = np.frombuffer(blob, dtype=np.uint8, offset=9).reshape(-1, width)
+    wide = np.zeros((len(body) + 1, 8), dtype=np.uint8)
+    wide[1:, :width] = body
+    wide[0] = np.frombuffer(blob, dtype=np.uint8, count=8, offset=1)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+_ASKED = "bucket int, chunk long, keys binary, more binary"
+
+
+def _questions(chunk: int, keys: np.ndarray, more: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Sorted distinct keys with something of each, cut by the bucket of the key."""
+    step = -(-(1 << 64) // buckets)
+    ends = np.searchsorted(keys, np.array([min((1 << 64) - 1, i * step) for i in range(1, buckets)], dtype=np.uint64))
+    bounds = np.concatenate([[0], ends, [len(keys)]])
+    full = np.flatnonzero(np.diff(bounds))
+    pairs = [(int(bounds[i]), int(bounds[i + 1])) for i in full]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full.astype(np.int32)), pa.array([chunk] * len(full), pa.int64()), pa.array([_coded(keys[a:b]) for a, b in pairs], pa.binary()), pa.array([more[a:b].tobytes() for a, b in pairs], pa.binary())],
+        names=["bucket", "chunk", "keys", "more"],
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch[ROW].to_numpy()
-            for data, begin, number, fields in _listed(batch["text"], batch["listed"], ("place", "first", "last", "single")):
-                h = windows.Hashes(data)
-                place, first, last, single = fields.T
-                j0, j1 = (place - last) // run_length, (place - first) // run_length
-                k = j1 - j0 + 1
-                i = np.repeat(np.arange(len(place)), k)
-                j = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + j0[i]
-                low, high = place[i] - run_length * (j + 1) + 1, place[i] - run_length * j
-                lo, hi = np.maximum(low, first[i]), np.minimum(high, last[i])
-                b = begin[i]
-                with np.errstate(over="ignore"):
-                    core = common.mix64(h.of(b + high, b + low + size) + j.astype(np.uint64))
-                    shape = ((lo - low) * 1024 + (hi - lo) + 1).astype(np.uint64)
-                    joint = common.mix64(h.of(b + lo, b + hi + size) ^ common.mix64(shape))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[number[i]]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(common.signed(core)), pa.array(common.signed(joint)), pa.array(single[i] == 1)],
-                    names=[ROW, "first", "last", "core", "joint", "single"],
-                )
-
-    return listed.mapInArrow(run, schema)
-
-
-def _singles(listed: DataFrame, size: int) -> DataFrame:
-    """(ROW, first, window, again, single) of every window of the listed runs."""
-    schema = f"{ROW} long, first int, window long, again long, single boolean"
+
+def _answered(asked: DataFrame, buckets: int, answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], kind: str) -> DataFrame:
+    """(chunk, codes): a code for each key of each chunk, in the order of the keys.
+
+    ``answer`` gets the keys of one bucket, what came with each (of type
+    ``kind``) and the number of its chunk, and gives a code below 4 for each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes, bytes]] = []
+        bucket = None
+
+        def done() -> pa.RecordBatch:
+            parts = [_decoded(keys) for _, keys, _ in held]
+            own = np.repeat(np.arange(len(held)), [len(p) for p in parts])
+            codes = answer(np.concatenate(parts), np.concatenate([np.frombuffer(m, dtype=kind) for _, _, m in held]), own)
+            cut = np.split(codes.astype(np.uint8), np.cumsum([len(p) for p in parts])[:-1])
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["chunk", "bucket", "codes"])
+
         for batch in batches:
-            rows = batch[ROW].to_numpy()
-            for data, begin, number, fields in _listed(batch["text"], batch["listed"], ("first", "last", "single")):
-                h = windows.Hashes(data)
-                first, last, single = fields.T
-                k = last - first + 1
-                i = np.repeat(np.arange(len(first)), k)
-                p = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + first[i]
-                b = begin[i] + p
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[number[i]]), pa.array(p.astype(np.int32)), pa.array(common.signed(h.of(b, b + size))), pa.array(common.signed(h.of(b + size // 3, b + size))), pa.array(single[i] == 1)],
-                    names=[ROW, "first", "window", "again", "single"],
-                )
-
-    return listed.mapInArrow(run, schema)
-
-
-def spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, run_length: int = RUN) -> DataFrame:
-    """(ROW, spans) of the rows with repeated windows.
-
-    ``docs`` holds ROW, any further columns, and ``text``. The spans of a row
-    are (first byte, byte after the last) of windows; they may overlap.
-    """
+            for b, c, k, m in zip(*(batch[n].to_pylist() for n in ("bucket", "chunk", "keys", "more")), strict=True):
+                if b != bucket and held:
+                    yield done()
+                    held = []
+                bucket = b
+                held.append((c, k, m))
+        if held:
+            yield done()
+        common.trim()
+
+    sorted_rows = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
+    told = sorted_rows.mapInArrow(run, "chunk long, bucket int, codes binary")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "codes"))), lambda x: x["codes"])
+    joined = F.reduce(parts, F.lit(b""), lambda a, b: F.concat(a, b))
+    return common.checkpoint(told.groupBy("chunk").agg(joined.alias("codes")))
+
+
+def _beside(chunks: DataFrame, answers: DataFrame, how: str = "inner") -> DataFrame:
+    """Chunks with their answers, which are broadcast if they are small (they are measured)."""
+    size = answers.agg(F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()[0]
+    return chunks.join(F.broadcast(answers) if size <= SMALL_BYTES else answers, "chunk", how)
+
+
+def _sorted_runs(gram: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, number of the distinct run of each, first of each distinct run, their counts) by gram and around."""
+    order = np.lexsort((around, gram))
+    g, a = gram[order], around[order]
+    new = np.append(True, (g[1:] != g[:-1]) | (a[1:] != a[:-1])) if len(g) else np.empty(0, dtype=bool)
+    at = np.flatnonzero(new)
+    return order, np.cumsum(new) - 1, order[at], np.diff(np.append(at, len(g)))
+
+
+def _judged_runs(gram: np.ndarray, more: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Answers for distinct runs of chunks; one chunk goes on for equal ones."""
+    around, times = more["around"], more["times"].astype(np.int64)
+    order, number, first, counts = _sorted_runs(gram, around)
+    total = np.add.reduceat(times[order], np.flatnonzero(np.append(True, number[1:] != number[:-1]))) if len(order) else counts
+    g = gram[first]
+    group = np.cumsum(np.append(True, g[1:] != g[:-1])) - 1 if len(g) else np.empty(0, dtype=np.int64)
+    kinds = np.bincount(group)[group]
+    several = total > 1
+    code = np.where(kinds > 1, np.where(several, PARTNER, ON), np.where(several, WHOLE, DROP))
+    out = np.empty(len(gram), dtype=np.uint8)
+    out[order] = code[number]
+    # Of equal runs the one of the least chunk is the partner.
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, own[order])
+    out[order] = np.where((out[order] == PARTNER) & (own[order] != least[number]), WHOLE, out[order])
+    return out
+
+
+def _judged_keys(keys: np.ndarray, more: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """1 for keys that occur more than once; ``more`` is 2 for those that do so in their chunk, else 1."""
+    order = np.argsort(keys)
+    k, n = keys[order], more[order].astype(np.int64)
+    at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, dtype=np.int64)
+    again = np.add.reduceat(n, at) > 1 if len(at) else np.empty(0, dtype=bool)
+    out = np.empty(len(keys), dtype=np.uint8)
+    out[order] = np.repeat(again, np.diff(np.append(at, len(k))))
+    return out
+
+
+# --- passes --------------------------------------------------------------------
+
+
+def _arrays(row: dict) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(row[n], dtype=t) for n, t in (("first", np.int32), ("last", np.int32), ("gram", np.uint64), ("around", np.uint64)))
+
+
+def _windows_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Places of all windows of some runs."""
+    n = last.astype(np.int64) - first + 1
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first.astype(np.int64), n)
+
+
+def _prefixes(data: np.ndarray, places: np.ndarray, depth: int, salt: int) -> np.ndarray:
+    """Keys of the first ``depth`` bytes at ascending places."""
+    out = np.empty(len(places), dtype=np.uint64)
+    at = 0
+    while at < len(places):  # only the bytes around the places are hashed
+        base = int(places[at])
+        end = int(np.searchsorted(places, base + PART))
+        gap = np.flatnonzero(np.diff(places[at:end]) > 4 * depth)
+        end = at + int(gap[0]) + 1 if len(gap) else end
+        piece = data[base : int(places[end - 1]) + depth]
+        start = places[at:end] - base
+        out[at:end] = windows.Hashes(piece, salt).of(start, start + depth)
+        at = end
+    return out
+
+
+def _as_partners(row: dict, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run is repeated as a whole, run goes on) of a chunk's runs."""
+    _, _, gram, around = _arrays(row)
+    order, number, first, _ = _sorted_runs(gram, around)
+    code = np.empty(len(gram), dtype=np.uint8)
+    code[order] = codes[number]
+    lead = np.zeros(len(gram), dtype=bool)  # one of the chunk's own equal runs
+    lead[first] = True
+    return (code == WHOLE) | (code == PARTNER), ((code == ON) | (code == PARTNER)) & lead
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: batch[n][i].as_py() for n in batch.schema.names}
+
+
+def _pass_keys(row: dict, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places alive, their keys) of a chunk at a digit."""
+    places = np.frombuffer(row["places"], dtype=np.int32).astype(np.int64)
+    depths = np.minimum(np.cumsum(DIGITS), size)
+    depth, salt = (int(depths[level]), 0) if level < len(DIGITS) else (size, 1)
+    return places, _prefixes(np.frombuffer(row["data"], dtype=np.uint8), places, depth, salt)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, 2 if there are several else 1, number of each key's)."""
+    order = np.argsort(keys)
+    k = keys[order]
+    new = np.append(True, k[1:] != k[:-1]) if len(k) else np.empty(0, dtype=bool)
+    at = np.flatnonzero(new)
+    number = np.empty(len(keys), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return k[at], np.minimum(np.diff(np.append(at, len(k))), 2).astype(np.uint8), number
+
+
+def _repeats(docs: DataFrame, text: str, size: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, answers to their runs, places of other repeated windows)."""
     common.small_batches(docs.sparkSession)
     gram = min(gram, size)
-    found = _anchors(docs, size, gram)
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("__lo"), F.max("around").alias("__hi")).where("n > 1")
-    held = common.checkpoint(found.join(grams.select("gram", (F.col("__lo") != F.col("__hi")).alias("several")), "gram"))
-    del found, grams
-    common.release(docs.sparkSession)  # shuffles of the first pass
-
-    several = held.where("several")
-    kinds = several.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(ROW).alias("__least"))
-    several = several.join(kinds, ["gram", "around"])
-    whole = held.where("NOT several").select(ROW, "first", (F.col("last") + size).alias("end"))
-    copies = several.where("n > 1").select(ROW, "first", (F.col("last") + size).alias("end"))
-
-    # One occurrence of each distinct joint string goes on; those that have
-    # copies are covered already and serve as partners only.
-    go_on = several.where(f"n = 1 OR {ROW} = __least").select(ROW, F.struct("place", "first", "last", (F.col("n") == 1).cast("int").alias("single")).alias("x"))
-    runs = _runs(docs.join(go_on.groupBy(ROW).agg(F.collect_list("x").alias("listed")), ROW, "left"), size, run_length)
-    cores = runs.groupBy("core").agg(F.count("*").alias("n"), F.min("joint").alias("__lo"), F.max("joint").alias("__hi")).where("n > 1")
-    runs = runs.join(cores.select("core", (F.col("__lo") != F.col("__hi")).alias("several")), "core")
-    same = runs.where("NOT several AND single").select(ROW, "first", (F.col("last") + size).alias("end"))
-
-    mixed = runs.where("several").select(ROW, F.struct("first", "last", F.col("single").cast("int").alias("single")).alias("x"))
-    singles = _singles(docs.join(mixed.groupBy(ROW).agg(F.collect_list("x").alias("listed")), ROW, "left"), size)
-    twice = singles.groupBy("window", "again").agg(F.count("*").alias("n")).where("n > 1").select("window", "again")
-    last = singles.join(twice, ["window", "again"]).where("single").select(ROW, "first", (F.col("first") + size).alias("end"))
-
-    every = whole.unionByName(copies).unionByName(same).unionByName(last)
-    return every.groupBy(ROW).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-
-
-def _cut(texts: list[bytes], lists: pa.Array) -> Iterator[tuple[bytes, int, int]]:
-    """(bytes kept, bytes removed, removed runs) of each text."""
-    rows, pairs = _fields(lists, ("first", "end"))
-    bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
-    for i, text in enumerate(texts):
-        own = pairs[bounds[i] : bounds[i + 1]]
-        if not len(own):
-            yield text, 0, 0
+    chunks = _chunked(docs, text, size, gram)
+    kind = np.dtype([("around", "<u8"), ("times", "u1")])
+    count = chunks.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
+    buckets = max(1, -(-count // BUCKET_KEYS))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            grams, arounds = (np.frombuffer(row[n], dtype=np.uint64) for n in ("gram", "around"))
+            if len(grams):
+                _, _, first, counts = _sorted_runs(grams, arounds)
+                more = np.empty(len(first), dtype=kind)
+                more["around"], more["times"] = arounds[first], np.minimum(counts, 2)
+                yield _questions(row["chunk"], grams[first], more, buckets)
+
+    asked = chunks.where("n_keys > 0").select("chunk", "gram", "around").mapInArrow(ask, _ASKED)
+    answers = _answered(asked, buckets, _judged_runs, kind)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            first, last, _, _ = _arrays(row)
+            whole, on = _as_partners(row, np.frombuffer(row["codes"], dtype=np.uint8))
+            places = _windows_of(first[on], last[on])
+            if len(places):
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([np.sort(places).astype(np.int32).tobytes()], pa.binary()), pa.array([len(places)], pa.int64())], names=["chunk", "places", "n"])
+
+    alive = common.checkpoint(_beside(chunks.select("chunk", "first", "last", "gram", "around"), answers).mapInArrow(begin, "chunk long, places binary, n long"))
+    for level in range(len(DIGITS) + 1):
+        if 0 < level < len(DIGITS) and sum(DIGITS[:level]) >= size:
             continue
-        own = own[np.argsort(own[:, 0], kind="stable")]
-        reach = np.maximum.accumulate(own[:, 1])
-        begins = np.flatnonzero(np.append(True, own[1:, 0] > reach[:-1]))
-        starts, ends = own[begins, 0], reach[np.append(begins[1:], len(own)) - 1]
-        kept, at = [], 0
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            kept.append(text[at:a])
-            at = b
-        kept.append(text[at:])
-        yield b"".join(kept), int((ends - starts).sum()), len(starts)
-
-
-def _with_spans(docs: DataFrame, text: str, size: int) -> tuple[DataFrame, list[str]]:
-    """Columns c0, c1, ... besides the text, and text, ROW and spans.
-
-    All joins with texts inside take the same columns, so Spark shuffles the
-    texts once and reuses that exchange.
+        count = alive.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not count:
+            break
+        alive = _next_digit(chunks, alive, level, size, max(1, -(-count // BUCKET_KEYS)))
+    return chunks, answers, alive
+
+
+def _next_digit(chunks: DataFrame, alive: DataFrame, level: int, size: int, buckets: int) -> DataFrame:
+    """(chunk, places, n) of the windows whose prefix occurs again."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            keys, times, _ = _distinct(_pass_keys(row, level, size)[1])
+            yield _questions(row["chunk"], keys, times, buckets)
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            places, keys = _pass_keys(row, level, size)
+            again = np.frombuffer(row["codes"], dtype=np.uint8)[_distinct(keys)[2]] > 0
+            if again.any():
+                left = places[again].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([left.tobytes()], pa.binary()), pa.array([len(left)], pa.int64())], names=["chunk", "places", "n"])
+        common.trim()
+
+    held = _with_places(chunks, alive)
+    answers = _answered(held.mapInArrow(ask, _ASKED), buckets, _judged_keys, "u1")
+    out = common.checkpoint(_beside(held, answers).mapInArrow(go_on, "chunk long, places binary, n long"))
+    common.discard(answers, alive)
+    common.release(chunks.sparkSession)
+    return out
+
+
+def _with_places(chunks: DataFrame, alive: DataFrame) -> DataFrame:
+    size = alive.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0))).first()[0]
+    side = alive.select("chunk", "places")
+    return chunks.select("chunk", "data").join(F.broadcast(side) if size <= SMALL_BYTES else side, "chunk")
+
+
+# --- results -------------------------------------------------------------------
+
+
+def _covered(row: dict, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the maximal runs of removed bytes of a chunk, in order.
+
+    Windows never cross texts, but runs of two texts may touch; callers cut at
+    the texts' bounds.
     """
-    names = [n for n in docs.columns if n != text]
-    inner = common.with_row(docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names)), F.col(text).alias("text")))
-    return inner.join(spans(inner, size), ROW, "left"), names
+    first, last, _, _ = _arrays(row)
+    whole = _as_partners(row, np.frombuffer(row["codes"], dtype=np.uint8))[0] if row["codes"] else np.zeros(len(first), dtype=bool)
+    places = np.frombuffer(row["places"] or b"", dtype=np.int32).astype(np.int64)
+    begin = np.concatenate([first[whole].astype(np.int64), places])
+    end = np.concatenate([last[whole].astype(np.int64), places]) + size
+    order = np.argsort(begin, kind="stable")
+    return begin[order], end[order]
+
+
+def _cut(row: dict, size: int) -> Iterator[tuple[bytes, int, int, int]]:
+    """(bytes kept, bytes, bytes removed, removed runs) of each text of a chunk."""
+    data = row["data"]
+    bounds = np.append(0, np.cumsum(np.frombuffer(row["sizes"], dtype=np.int64)))
+    begin, end = _covered(row, size)
+    ranges = np.searchsorted(begin, bounds)
+    for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        a, b = begin[ranges[i] : ranges[i + 1]], end[ranges[i] : ranges[i + 1]]
+        if not len(a):
+            yield data[lo:hi], hi - lo, 0, 0
+            continue
+        reach = np.maximum.accumulate(b)
+        heads = np.flatnonzero(np.append(True, a[1:] > reach[:-1]))
+        starts, ends = a[heads], reach[np.append(heads[1:], len(a)) - 1]
+        kept, at = [], lo
+        for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
+            kept.append(data[at:x])
+            at = y
+        kept.append(data[at:hi])
+        yield b"".join(kept), hi - lo, int((ends - starts).sum()), len(starts)
 
 
-def remove(docs: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
-    """``docs`` with ``kept`` (bytes left), ``n_bytes``, ``n_removed`` and ``n_spans``.
+def _results(docs: DataFrame, text: str, size: int, gram: int, made: T.StructType, make: Callable[[list, pa.Array], list[pa.Array]], names: list[str]) -> DataFrame:
+    """Other columns called ``names`` and what ``make`` gives for the texts of a chunk.
 
-    Columns of these names give way.
+    ``make`` gets what ``_cut`` yields for each and which texts are null.
     """
-    added = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
-    cut, names = _with_spans(docs.drop(*({*docs.columns} & {*added.names} - {text})), text, size)
-    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField(text, T.StringType()), *added])
+    chunks, answers, alive = _repeats(docs, text, size, gram)
+    kept = [n for n in docs.columns if n != text]
+    places = [f"c{kept.index(n)}" for n in names]
+    schema = T.StructType([*(docs.schema[n] for n in names), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = _bytes(batch["text"])
-            done = list(_cut(raw, batch["spans"]))
-            out = [pa.array([x[0] for x in done], pa.binary()), pa.array(list(map(len, raw)), pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch[f"c{i}"] for i in range(len(names))), batch["text"], *out], names=schema.names)
+        for row in _rows(batches):
+            others = pa.ipc.open_stream(row["others"]).read_all().combine_chunks()
+            done = list(_cut(row, size))
+            for at in range(0, len(done), common.BATCH_ROWS):
+                part = others.slice(at, common.BATCH_ROWS)
+                columns = [part[c].combine_chunks() for c in places] + make(done[at : at + common.BATCH_ROWS], part["none"].combine_chunks())
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        common.trim()
+
+    held = _beside(chunks.select("chunk", "sizes", "data", "others", "first", "last", "gram", "around"), answers, "left")
+    size_of = alive.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0))).first()[0]
+    side = alive.select("chunk", "places")
+    held = held.join(F.broadcast(side) if size_of <= SMALL_BYTES else side, "chunk", "left")
+    return held.mapInArrow(run, schema)
+
+
+_COUNTS = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]
 
-    return cut.mapInArrow(run, schema)
 
+def _counts(done: list) -> list[pa.Array]:
+    return [pa.array([x[i] for x in done], pa.int64()) for i in (1, 2, 3)]
+
+
+def remove(docs: DataFrame, text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """``docs`` with ``kept`` (bytes left), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
-def rewrite(docs: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
+    Columns of these names give way; the text is left out.
+    """
+    added = T.StructType([T.StructField("kept", T.BinaryType()), *_COUNTS])
+    docs = docs.drop(*({*docs.columns} & {*added.names} - {text}))
+    return _results(docs, text, size, gram, added, lambda done, _: [pa.array([x[0] for x in done], pa.binary()), *_counts(done)], [n for n in docs.columns if n != text])
+
+
+def rewrite(docs: DataFrame, text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """``docs`` with each text cut to the bytes kept.
 
     A character of which only some bytes are left is dropped. Null texts stay
     null; a text that is repeated as a whole becomes empty.
     """
-    cut, names = _with_spans(docs, text, size)
-    schema = T.StructType([*(docs.schema[n] for n in names), docs.schema[text]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [x[0].decode("utf-8", "ignore") for x in _cut(_bytes(batch["text"]), batch["spans"])]
-            left = pa.array(done, pa.string(), mask=np.asarray(batch["text"].is_null()))
-            yield pa.RecordBatch.from_arrays([*(batch[f"c{i}"] for i in range(len(names))), left], names=schema.names)
-        common.trim()
+    make = lambda done, none: [pa.array([x[0].decode("utf-8", "ignore") for x in done], pa.string(), mask=np.asarray(none))]
+    return _results(docs, text, size, gram, T.StructType([docs.schema[text]]), make, [n for n in docs.columns if n != text]).select(*docs.columns)
 
-    return cut.mapInArrow(run, schema).select(*docs.columns)
 
-
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
-    cut, _ = _with_spans(docs.select(F.col(key), F.col(text)), text, size)
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = _bytes(batch["text"])
-            done = [(n, k, hashlib.sha256(left).hexdigest()) for left, n, k in _cut(raw, batch["spans"])]
-            yield pa.RecordBatch.from_arrays(
-                [batch["c0"], pa.array(list(map(len, raw)), pa.int64()), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.string())],
-                names=schema.names,
-            )
-        common.trim()
-
-    return cut.mapInArrow(run, schema)
+    added = T.StructType([*_COUNTS, T.StructField("kept_sha256", T.StringType())])
+    make = lambda done, _: [*_counts(done), pa.array([hashlib.sha256(x[0]).hexdigest() for x in done], pa.string())]
+    return _results(docs.select(F.col(key), F.col(text)), text, size, gram, added, make, [key])

@@ -14,12 +14,11 @@ import numpy as np
 
 from .common import mix64, powers
 
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Bases of the polynomial hashes: of the usual one, and of another beside it.
+BASES = (0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1)
+INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 #: Bits of a key that hold a gram's place; longer pieces are keyed in parts.
 PLACE = np.uint64((1 << 23) - 1)
-#: Bytes handled at a time; a single longer text still is one piece.
-PIECE = 1 << 21
 
 
 @functools.cache
@@ -30,11 +29,11 @@ def _byte_codes() -> np.ndarray:
 class Hashes:
     """Polynomial hashes of any byte range of one array."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, kind: int = 0):
         with np.errstate(over="ignore"):
             self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(_byte_codes()[data] * powers(BASE, len(data)), out=self.sums[1:])
-        self.back = powers(INVERSE, len(data) + 1)
+            np.cumsum(_byte_codes()[data] * powers(BASES[kind], len(data)), out=self.sums[1:])
+        self.back = powers(INVERSES[kind], len(data) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end] for arrays of places."""

@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from quern.llm import common, dart_minhash, decontaminate, suffix_dedup, warc_zip
 
@@ -77,6 +79,48 @@ def test_suffix_dedup(spark, docs, nothing):
     kept = suffix_dedup.rewrite(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert kept.where("doc_id = 0").first().text is None
+    assert suffix_dedup.remove(docs).where("doc_id = 5").first().n_removed == len(rows[5].text)
+
+
+@pytest.mark.parametrize("small", [64 << 20, 0])
+def test_suffix_dedup_passes(spark, monkeypatch, small):
+    """Digits, chunks, parts and buckets of any size; passages cut at every place."""
+    for name, value in {"DIGITS": (12, 9, 9), "CHUNK": 400, "PART": 150, "BUCKET_KEYS": 50, "SMALL_BYTES": small}.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 4)))
+    texts = []
+    for _ in range(40):
+        t = " ".join(word() for _ in range(r.randint(0, 60)))
+        if texts and r.random() < 0.7:
+            other = r.choice(texts)
+            at = r.randrange(len(other) + 1)
+            t = t[: len(t) // 2] + other[at : at + r.randint(20, 120)] + t[len(t) // 2 :]
+        texts.append(t)
+    texts += ["x" * 700, texts[0] * 3, "common passage that is in many of them " * 2] + [f"{i} common passage that is in many of them {i}" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = [tuple(x)[1:] for x in sorted(suffix_dedup.report(df, size=30, gram=7).collect())]
+    assert found == brute_repeats(texts, 30)
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    """Repeats beyond 8 MiB of a text, across its parts and to other texts."""
+    r = random.Random(23)
+    long = "".join(f"{r.getrandbits(64):016x}" for _ in range(600_000))
+    passage = "".join(f"{r.getrandbits(64):016x}" for _ in range(20))
+    cut = suffix_dedup.PART
+    a = long[:9_000_000] + passage + long[9_000_000:]
+    b = "short one " + passage + " and " + long[cut - 130 : cut + 150]
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    found = {x.doc_id: (x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.report(df).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert found[1] == (320 + 280, 2, sha(long[: cut - 130] + long[cut + 150 :]))
+    assert found[2] == (320 + 280, 2, sha("short one  and "))
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=50).map(sorted))
+def test_coded_keys(keys):
+    assert suffix_dedup._decoded(suffix_dedup._coded(np.array(keys, dtype=np.uint64))).tolist() == keys
 
 
 def edited(r, words, n):
