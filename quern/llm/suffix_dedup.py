@@ -39,15 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common, windows
+from . import common, exchange, windows
 
 SIZE = 200
 GRAM = 64
 DIGITS = (64, 68, 68)
 CHUNK = 1 << 20
 PART = 1 << 21  # bytes of one text that are hashed at a time
-BUCKET_KEYS = 4_000_000  # about the keys that a task compares
-SMALL_BYTES = 64 << 20  # of answers that are broadcast
+BUCKET_KEYS = exchange.BUCKET_KEYS
 
 DROP, WHOLE, ON, PARTNER = 0, 1, 2, 3  # answers of the first pass
 
@@ -125,82 +124,12 @@ def _chunked(docs: DataFrame, text: str, size: int, gram: int) -> DataFrame:
     return common.checkpoint(source.mapInArrow(run, _CHUNKS))
 
 
-# --- an exchange of keys -------------------------------------------------------
+# --- answers -------------------------------------------------------------------
 
 
-def _coded(keys: np.ndarray) -> bytes:
-    """Sorted keys as the first one and differences of as many bytes as the largest needs."""
-    steps = np.diff(keys)
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    body = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + body.tobytes()
-
-
-def _decoded(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    body = np.frombuffer(blob, dtype=np.uint8, offset=9).reshape(-1, width)
-    wide = np.zeros((len(body) + 1, 8), dtype=np.uint8)
-    wide[1:, :width] = body
-    wide[0] = np.frombuffer(blob, dtype=np.uint8, count=8, offset=1)
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
-
-
-_ASKED = "bucket int, chunk long, keys binary, more binary"
-
-
-def _questions(chunk: int, keys: np.ndarray, more: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Sorted distinct keys with something of each, cut by the bucket of the key."""
-    step = -(-(1 << 64) // buckets)
-    ends = np.searchsorted(keys, np.array([min((1 << 64) - 1, i * step) for i in range(1, buckets)], dtype=np.uint64))
-    bounds = np.concatenate([[0], ends, [len(keys)]])
-    full = np.flatnonzero(np.diff(bounds))
-    pairs = [(int(bounds[i]), int(bounds[i + 1])) for i in full]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(full.astype(np.int32)), pa.array([chunk] * len(full), pa.int64()), pa.array([_coded(keys[a:b]) for a, b in pairs], pa.binary()), pa.array([more[a:b].tobytes() for a, b in pairs], pa.binary())],
-        names=["bucket", "chunk", "keys", "more"],
-    )
-
-
-def _answered(asked: DataFrame, buckets: int, answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], kind: str) -> DataFrame:
-    """(chunk, codes): a code for each key of each chunk, in the order of the keys.
-
-    ``answer`` gets the keys of one bucket, what came with each (of type
-    ``kind``) and the number of its chunk, and gives a code below 4 for each.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []
-        bucket = None
-
-        def done() -> pa.RecordBatch:
-            parts = [_decoded(keys) for _, keys, _ in held]
-            own = np.repeat(np.arange(len(held)), [len(p) for p in parts])
-            codes = answer(np.concatenate(parts), np.concatenate([np.frombuffer(m, dtype=kind) for _, _, m in held]), own)
-            cut = np.split(codes.astype(np.uint8), np.cumsum([len(p) for p in parts])[:-1])
-            return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["chunk", "bucket", "codes"])
-
-        for batch in batches:
-            for b, c, k, m in zip(*(batch[n].to_pylist() for n in ("bucket", "chunk", "keys", "more")), strict=True):
-                if b != bucket and held:
-                    yield done()
-                    held = []
-                bucket = b
-                held.append((c, k, m))
-        if held:
-            yield done()
-        common.trim()
-
-    sorted_rows = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
-    told = sorted_rows.mapInArrow(run, "chunk long, bucket int, codes binary")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "codes"))), lambda x: x["codes"])
-    joined = F.reduce(parts, F.lit(b""), lambda a, b: F.concat(a, b))
-    return common.checkpoint(told.groupBy("chunk").agg(joined.alias("codes")))
-
-
-def _beside(chunks: DataFrame, answers: DataFrame, how: str = "inner") -> DataFrame:
-    """Chunks with their answers, which are broadcast if they are small (they are measured)."""
-    size = answers.agg(F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()[0]
-    return chunks.join(F.broadcast(answers) if size <= SMALL_BYTES else answers, "chunk", how)
+def _answered(asked: DataFrame, buckets: int, answer: Callable, kind) -> DataFrame:
+    """(chunk, codes): a code for each key of each chunk, in the order of the keys."""
+    return common.checkpoint(exchange.by_chunk(exchange.told(asked, buckets, answer, kind)))
 
 
 def _sorted_runs(gram: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -212,7 +141,7 @@ def _sorted_runs(gram: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.n
     return order, np.cumsum(new) - 1, order[at], np.diff(np.append(at, len(g)))
 
 
-def _judged_runs(gram: np.ndarray, more: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _judged_runs(gram: np.ndarray, more: np.ndarray, own: np.ndarray, bucket: int) -> tuple[np.ndarray, None]:
     """Answers for distinct runs of chunks; one chunk goes on for equal ones."""
     around, times = more["around"], more["times"].astype(np.int64)
     order, number, first, counts = _sorted_runs(gram, around)
@@ -228,18 +157,13 @@ def _judged_runs(gram: np.ndarray, more: np.ndarray, own: np.ndarray) -> np.ndar
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, number, own[order])
     out[order] = np.where((out[order] == PARTNER) & (own[order] != least[number]), WHOLE, out[order])
-    return out
+    return out, None
 
 
-def _judged_keys(keys: np.ndarray, more: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _judged_keys(keys: np.ndarray, more: np.ndarray, own: np.ndarray, bucket: int) -> tuple[np.ndarray, None]:
     """1 for keys that occur more than once; ``more`` is 2 for those that do so in their chunk, else 1."""
-    order = np.argsort(keys)
-    k, n = keys[order], more[order].astype(np.int64)
-    at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, dtype=np.int64)
-    again = np.add.reduceat(n, at) > 1 if len(at) else np.empty(0, dtype=bool)
-    out = np.empty(len(keys), dtype=np.uint8)
-    out[order] = np.repeat(again, np.diff(np.append(at, len(k))))
-    return out
+    found, _, number = exchange.distinct(keys)
+    return (np.bincount(number, weights=more, minlength=len(found)) > 1)[number].astype(np.uint8), None
 
 
 # --- passes --------------------------------------------------------------------
@@ -282,12 +206,6 @@ def _as_partners(row: dict, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (code == WHOLE) | (code == PARTNER), ((code == ON) | (code == PARTNER)) & lead
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield {n: batch[n][i].as_py() for n in batch.schema.names}
-
-
 def _pass_keys(row: dict, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(places alive, their keys) of a chunk at a digit."""
     places = np.frombuffer(row["places"], dtype=np.int32).astype(np.int64)
@@ -296,17 +214,6 @@ def _pass_keys(row: dict, level: int, size: int) -> tuple[np.ndarray, np.ndarray
     return places, _prefixes(np.frombuffer(row["data"], dtype=np.uint8), places, depth, salt)
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, 2 if there are several else 1, number of each key's)."""
-    order = np.argsort(keys)
-    k = keys[order]
-    new = np.append(True, k[1:] != k[:-1]) if len(k) else np.empty(0, dtype=bool)
-    at = np.flatnonzero(new)
-    number = np.empty(len(keys), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
-    return k[at], np.minimum(np.diff(np.append(at, len(k))), 2).astype(np.uint8), number
-
-
 def _repeats(docs: DataFrame, text: str, size: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, answers to their runs, places of other repeated windows)."""
     common.small_batches(docs.sparkSession)
@@ -314,36 +221,36 @@ def _repeats(docs: DataFrame, text: str, size: int, gram: int) -> tuple[DataFram
     chunks = _chunked(docs, text, size, gram)
     kind = np.dtype([("around", "<u8"), ("times", "u1")])
     count = chunks.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
-    buckets = max(1, -(-count // BUCKET_KEYS))
+    buckets = exchange.buckets_for(count, BUCKET_KEYS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in exchange.rows(batches):
             grams, arounds = (np.frombuffer(row[n], dtype=np.uint64) for n in ("gram", "around"))
             if len(grams):
                 _, _, first, counts = _sorted_runs(grams, arounds)
                 more = np.empty(len(first), dtype=kind)
                 more["around"], more["times"] = arounds[first], np.minimum(counts, 2)
-                yield _questions(row["chunk"], grams[first], more, buckets)
+                yield exchange.questions(row["chunk"], grams[first], more, buckets)
 
-    asked = chunks.where("n_keys > 0").select("chunk", "gram", "around").mapInArrow(ask, _ASKED)
+    asked = chunks.where("n_keys > 0").select("chunk", "gram", "around").mapInArrow(ask, exchange.ASKED)
     answers = _answered(asked, buckets, _judged_runs, kind)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in exchange.rows(batches):
             first, last, _, _ = _arrays(row)
             whole, on = _as_partners(row, np.frombuffer(row["codes"], dtype=np.uint8))
             places = _windows_of(first[on], last[on])
             if len(places):
                 yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([np.sort(places).astype(np.int32).tobytes()], pa.binary()), pa.array([len(places)], pa.int64())], names=["chunk", "places", "n"])
 
-    alive = common.checkpoint(_beside(chunks.select("chunk", "first", "last", "gram", "around"), answers).mapInArrow(begin, "chunk long, places binary, n long"))
+    alive = common.checkpoint(exchange.beside(chunks.select("chunk", "first", "last", "gram", "around"), answers).mapInArrow(begin, "chunk long, places binary, n long"))
     for level in range(len(DIGITS) + 1):
         if 0 < level < len(DIGITS) and sum(DIGITS[:level]) >= size:
             continue
         count = alive.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not count:
             break
-        alive = _next_digit(chunks, alive, level, size, max(1, -(-count // BUCKET_KEYS)))
+        alive = _next_digit(chunks, alive, level, size, exchange.buckets_for(count, BUCKET_KEYS))
     return chunks, answers, alive
 
 
@@ -351,33 +258,27 @@ def _next_digit(chunks: DataFrame, alive: DataFrame, level: int, size: int, buck
     """(chunk, places, n) of the windows whose prefix occurs again."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            keys, times, _ = _distinct(_pass_keys(row, level, size)[1])
-            yield _questions(row["chunk"], keys, times, buckets)
+        for row in exchange.rows(batches):
+            keys, times, _ = exchange.distinct(_pass_keys(row, level, size)[1])
+            yield exchange.questions(row["chunk"], keys, np.minimum(times, 2).astype(np.uint8), buckets)
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in exchange.rows(batches):
             places, keys = _pass_keys(row, level, size)
-            again = np.frombuffer(row["codes"], dtype=np.uint8)[_distinct(keys)[2]] > 0
+            again = np.frombuffer(row["codes"], dtype=np.uint8)[exchange.distinct(keys)[2]] > 0
             if again.any():
                 left = places[again].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([left.tobytes()], pa.binary()), pa.array([len(left)], pa.int64())], names=["chunk", "places", "n"])
         common.trim()
 
-    held = _with_places(chunks, alive)
-    answers = _answered(held.mapInArrow(ask, _ASKED), buckets, _judged_keys, "u1")
-    out = common.checkpoint(_beside(held, answers).mapInArrow(go_on, "chunk long, places binary, n long"))
+    held = exchange.beside(chunks.select("chunk", "data"), alive.select("chunk", "places"))
+    answers = _answered(held.mapInArrow(ask, exchange.ASKED), buckets, _judged_keys, "u1")
+    out = common.checkpoint(exchange.beside(held, answers).mapInArrow(go_on, "chunk long, places binary, n long"))
     common.discard(answers, alive)
     common.release(chunks.sparkSession)
     return out
 
 
-def _with_places(chunks: DataFrame, alive: DataFrame) -> DataFrame:
-    size = alive.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0))).first()[0]
-    side = alive.select("chunk", "places")
-    return chunks.select("chunk", "data").join(F.broadcast(side) if size <= SMALL_BYTES else side, "chunk")
-
-
 # --- results -------------------------------------------------------------------
 
 
@@ -429,7 +330,7 @@ def _results(docs: DataFrame, text: str, size: int, gram: int, made: T.StructTyp
     schema = T.StructType([*(docs.schema[n] for n in names), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in exchange.rows(batches):
             others = pa.ipc.open_stream(row["others"]).read_all().combine_chunks()
             done = list(_cut(row, size))
             for at in range(0, len(done), common.BATCH_ROWS):
@@ -438,10 +339,8 @@ def _results(docs: DataFrame, text: str, size: int, gram: int, made: T.StructTyp
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         common.trim()
 
-    held = _beside(chunks.select("chunk", "sizes", "data", "others", "first", "last", "gram", "around"), answers, "left")
-    size_of = alive.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0))).first()[0]
-    side = alive.select("chunk", "places")
-    held = held.join(F.broadcast(side) if size_of <= SMALL_BYTES else side, "chunk", "left")
+    held = exchange.beside(chunks.select("chunk", "sizes", "data", "others", "first", "last", "gram", "around"), answers, "left")
+    held = exchange.beside(held, alive.select("chunk", "places"), "left")
     return held.mapInArrow(run, schema)
 
 

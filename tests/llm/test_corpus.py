@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from quern.llm import common, dart_minhash, decontaminate, suffix_dedup, warc_zip
+from quern.llm import common, dart_minhash, decontaminate, exchange, suffix_dedup, warc_zip
 
 
 def test_warc_round_trip(spark):
@@ -85,8 +85,9 @@ def test_suffix_dedup(spark, docs, nothing):
 @pytest.mark.parametrize("small", [64 << 20, 0])
 def test_suffix_dedup_passes(spark, monkeypatch, small):
     """Digits, chunks, parts and buckets of any size; passages cut at every place."""
-    for name, value in {"DIGITS": (12, 9, 9), "CHUNK": 400, "PART": 150, "BUCKET_KEYS": 50, "SMALL_BYTES": small}.items():
+    for name, value in {"DIGITS": (12, 9, 9), "CHUNK": 400, "PART": 150, "BUCKET_KEYS": 50}.items():
         monkeypatch.setattr(suffix_dedup, name, value)
+    monkeypatch.setattr(exchange, "SMALL_BYTES", small)
     r = random.Random(17)
     word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 4)))
     texts = []
@@ -120,7 +121,7 @@ def test_suffix_dedup_of_long_texts(spark):
 
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=50).map(sorted))
 def test_coded_keys(keys):
-    assert suffix_dedup._decoded(suffix_dedup._coded(np.array(keys, dtype=np.uint64))).tolist() == keys
+    assert exchange.decoded(exchange.coded(np.array(keys, dtype=np.uint64))).tolist() == keys
 
 
 def edited(r, words, n):
