@@ -17,7 +17,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm import bpe, common, cuts, licenses, pitman_yor, syncmers, token_counts, toxicity, windows
+from quern.llm import bpe, common, cuts, exchange, licenses, pitman_yor, syncmers, token_counts, toxicity, windows
 
 
 def by_row(df, *columns):
@@ -253,29 +253,160 @@ def test_toxicity_accuracy():
     assert right.mean() > 0.97
 
 
-def test_pitman_yor(spark, docs, nothing, monkeypatch):
-    for lookup in (1 << 18, 5):
-        monkeypatch.setattr(pitman_yor, "LOOKUP", lookup)
-        rows = pitman_yor.score(docs).collect()
-        source = docs.select("doc_id", "text").collect()
-        low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
-        tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None]
-        held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
-        counts = Counter(w for r in source if not held(r.doc_id) for w in tokens(r.text))
-        n, v = sum(counts.values()), len(counts)
-        wanted = sorted((str(r.doc_id), held(r.doc_id), len(tokens(r.text)), sum(counts[w] > 0 for w in tokens(r.text)), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(r.text)), 5)) for r in source)
-        assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in rows) == wanted
-        assert all(r.score < 0 and math.isfinite(r.score) for r in rows)
+@pytest.mark.parametrize(("chunk", "bucket", "small"), [(1_500_000, 2_000_000, 64 << 20), (300, 700, 0)])
+def test_pitman_yor(spark, docs, nothing, monkeypatch, chunk, bucket, small):
+    monkeypatch.setattr(pitman_yor, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(pitman_yor, "BUCKET_KEYS", bucket)
+    monkeypatch.setattr(exchange, "SMALL_BYTES", small)
+    rows = pitman_yor.score(docs).collect()
+    source = docs.select("doc_id", "text").collect()
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None]
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
+    counts = Counter(w for r in source if not held(r.doc_id) for w in tokens(r.text))
+    n, v = sum(counts.values()), len(counts)
+    wanted = sorted((str(r.doc_id), held(r.doc_id), len(tokens(r.text)), sum(counts[w] > 0 for w in tokens(r.text)), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(r.text)), 5)) for r in source)
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in rows) == wanted
+    assert all(r.score < 0 and math.isclose(r.perplexity, 10 ** (-r.score / r.n_tokens)) for r in rows)
     assert pitman_yor.score(nothing).count() == 0
+    one = docs.where("doc_id = 0").limit(1)
+    assert [r.doc_id for r in pitman_yor.score(one).collect()] == [0]
+
+
+def brute_model(spark, docs):
+    """Probabilities from the sampled seating by plain loops over words, with dictionaries."""
+    model = pitman_yor.fit(docs.selectExpr("doc_id AS key", "text", "false AS held_out"))
+    texts = [(r.text or "").lower().split() for r in docs.collect()]
+    pairs, words = Counter(), sorted({w for t in texts for w in t} | {None}, key=str)
+    for t in texts:
+        pairs.update(zip(["<"] + t, [*t, None]))
+    hashes = {w: pitman_yor.END if w is None else common.hash_strings(pa.array([w]))[0] for w in words}
+    number = {w: i + 1 for i, w in enumerate(sorted(words, key=lambda w: hashes[w]))} | {"<": len(words) + 1}
+    key = lambda v, w: np.array([number[v] << 32 | number[w]], dtype=np.uint64)
+    tables, sweeps = None, []
+    first, level = None, None
+    for s in range(pitman_yor.BURN_IN + pitman_yor.SAMPLES):
+        before = None if s == 0 else history[-1]
+        if s == 0:
+            history, tables = [], {p: 1 for p in pairs}
+        else:
+            sweep, t_v, t_w, m_w = before
+            prob = lambda w: float(sweep.probability(np.array([t_w[w]]), np.array([m_w[w]]))[0])
+            weight = {p: (sweep.pairs.strength + sweep.pairs.discount * t_v[p[0]]) * prob(p[1]) for p in pairs}
+            tables = {p: int(pitman_yor.seat(common.mix64(key(*p)), np.array([c]), np.array([weight[p]]), sweep.pairs.discount, s)[0]) for p, c in pairs.items()}
+        t_v, t_w = Counter(), Counter()
+        for (v, w), t in tables.items():
+            t_v[v] += t
+            t_w[w] += t
+        history.append([None, t_v, t_w, None])
+        if s == 0:
+            m_w = {w: 1 for w in t_w}
+        else:
+            m = sum(before[3].values())
+            a = (before[0].parent.strength + before[0].parent.discount * m) / (len(words) + 1)
+            m_w = {w: int(pitman_yor.seat(np.array([number[w]], dtype=np.uint64), np.array([c]), np.array([a]), before[0].parent.discount, s + 1000)[0]) for w, c in t_w.items()}
+        history[-1][3] = m_w
+        drawn = model.sweeps[s - pitman_yor.BURN_IN + 1] if s >= pitman_yor.BURN_IN - 1 else None
+        history[-1][0] = drawn or SWEEPS[s]
+        if drawn:
+            assert (drawn.customers, drawn.tables) == (sum(t_w.values()), sum(m_w.values()))
+        sweeps.append((history[-1], tables))
+
+    totals = Counter()
+    for (v, _), c in pairs.items():
+        totals[v] += c
+
+    def p(v, w):
+        out = 0.0
+        for s in range(pitman_yor.BURN_IN, len(sweeps)):
+            (now, t_v, t_w, m_w), tables = sweeps[s]
+            of = sweeps[s - 1][0][0].pairs
+            base = float(now.probability(np.array([t_w.get(w, 0)]), np.array([m_w.get(w, 0)]))[0])
+            own = max(pairs[v, w] - of.discount * tables.get((v, w), 0), 0)
+            out += (own + (of.strength + of.discount * t_v[v]) * base) / (of.strength + totals[v]) if totals[v] else base
+        return out / pitman_yor.SAMPLES
+
+    return p, words, texts
+
+
+SWEEPS = []
+
+
+def test_pitman_yor_equals_brute_force(spark, monkeypatch):
+    """Scores of a small corpus against seating, sums and predictions by plain loops; probabilities sum to 1."""
+    kept = pitman_yor.Sweep.__init__
+    SWEEPS.clear()
+    monkeypatch.setattr(pitman_yor.Sweep, "__init__", lambda self, *a: (kept(self, *a), SWEEPS.append(self))[0])
+    r = random.Random(31)
+    texts = [" ".join(r.choice("abcdefgh") * r.choice([1, 1, 2]) for _ in range(r.randrange(0, 40))) for _ in range(60)] + ["a b " * 120]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10], "doc_id long, text string")
+    p, words, _ = brute_model(spark, df)
+    for v in ("<", "a", "bb", "zz"):
+        assert math.isclose(sum(p(v, w) for w in [*words, "unknown"]), 1, rel_tol=1e-9)
+    again = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(10**6 + i, f"a zz {i} b") for i in range(40)], "doc_id long, text string")
+    again = again.where("doc_id < 1000 OR crc32(CAST(doc_id AS string)) % 10 = 0")
+    held = {t.doc_id: t for t in pitman_yor.score(again).collect()}
+    assert any(t.held_out and t.doc_id > 1000 for t in held.values())
+    for row in again.collect():
+        t = row.text.lower().split()
+        assert math.isclose(held[row.doc_id].score, sum(math.log10(p(v, w)) for v, w in zip(["<"] + t, [*t, None])), rel_tol=1e-9)
+
+
+def partitions(n):
+    """All seatings of n customers, as lists of table sizes by order of arrival."""
+    out = [[]]
+    for _ in range(n):
+        out = [[*s[:i], s[i] + 1, *s[i + 1 :]] for s in out for i in range(len(s))] + [[*s, 1] for s in out]
+    return out
 
 
-def test_hierarchy_is_a_distribution():
-    counts = np.random.default_rng(1).poisson(0.4, (13, 12))
-    p = pitman_yor.hierarchy(counts)
-    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
-    words = np.array([5, 1, 1, 2, 9])
-    q, rest = pitman_yor.restaurant(np.random.default_rng(2), words, 1 / 6, 5, 2)
-    assert math.isclose(q.sum() + rest / 6, 1, rel_tol=1e-9)
+@pytest.mark.parametrize("d", [0.2, 0.75])
+def test_tables_of_the_restaurant_process(d):
+    """Stirling numbers, draws and restaurant weights against all seatings of few customers."""
+    for c in (2, 3, 5, 7):
+        weight = Counter()
+        for s in partitions(c):
+            weight[len(s)] += math.prod(math.prod(k - d for k in range(1, n)) for n in s)
+        found = np.exp(pitman_yor.stirling(d)[c, 1 : c + 1])
+        assert np.allclose(found, [weight[t] for t in range(1, c + 1)])
+        a = 0.8
+        p = np.array([weight[t] * a**t for t in range(1, c + 1)])
+        drawn = pitman_yor.seat(np.arange(40_000, dtype=np.uint64), np.full(40_000, c), np.full(40_000, a), d, 3)
+        assert np.allclose(np.bincount(drawn, minlength=c + 1)[1:] / 40_000, p / p.sum(), atol=0.01)
+    strength = 1.7
+    for c, t in ((4, 2), (9, 5)):
+        rising = sum(math.log(strength + k * d) for k in range(t)) - sum(math.log(strength + k) for k in range(c))
+        assert math.isclose(pitman_yor.log_restaurants(np.array([c]), np.array([t]), strength, d), rising, rel_tol=1e-8)
+    # Beyond EXACT customers: near the process itself.
+    r = np.random.default_rng(1)
+    a, n = 3.0, 400
+    wanted = []
+    for _ in range(300):
+        t = 1
+        for k in range(1, n):
+            t += r.random() < a / (a + k - d * t)
+        wanted.append(t)
+    drawn = pitman_yor._grown(np.arange(3000, dtype=np.uint64), np.full(3000, n), np.full(3000, round(np.mean([min(t, 64) for t in wanted]) * 0 + _tables_at(a, d, 64))), np.full(3000, a), d, 2)
+    assert abs(drawn.mean() / np.mean(wanted) - 1) < 0.1
+
+
+def _tables_at(a, d, n):
+    t = 1.0
+    for k in range(1, n):
+        t += a / (a + k - d * t)
+    return t
+
+
+def test_mix_and_its_inverse():
+    x = np.random.default_rng(3).integers(0, 2**63, 1000).astype(np.uint64)
+    assert (pitman_yor.unmix64(common.mix64(x)) == x).all()
+
+
+def test_model_beats_base(spark):
+    """Held-out texts of real size: better than the base, by words of any rank."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in pitman_yor.score(df).collect() if r.held_out]
+    assert sum(r.score for r in rows) > 0.93 * sum(r.base_score for r in rows)
 
 
 @given(st.lists(st.binary(max_size=60), max_size=6), st.integers(2, 12))
