@@ -71,7 +71,8 @@ def told(asked: DataFrame, buckets: int, answer: Callable, kind) -> DataFrame:
 
     ``answer`` gets the keys of one bucket, what came with each (of numpy type
     ``kind``), the number of its asker and the bucket's; it gives an array of
-    answers, and bytes for the bucket's NOTE or None.
+    answers, bytes for the bucket's NOTE or None, and which answers to send
+    (None: all).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +82,11 @@ def told(asked: DataFrame, buckets: int, answer: Callable, kind) -> DataFrame:
         def done() -> pa.RecordBatch:
             parts = [decoded(keys) for _, keys, _ in held]
             own = np.repeat(np.arange(len(held)), [len(p) for p in parts])
-            codes, note = answer(np.concatenate(parts), np.concatenate([np.frombuffer(m, dtype=kind) for _, _, m in held]), own, bucket)
+            codes, note, send = answer(np.concatenate(parts), np.concatenate([np.frombuffer(m, dtype=kind) for _, _, m in held]), own, bucket)
+            if send is not None:
+                codes, own = codes[send], own[send]
             chunks = [c for c, _, _ in held]
-            blobs = [x.tobytes() for x in np.split(codes, np.cumsum([len(p) for p in parts])[:-1])]
+            blobs = [x.tobytes() for x in np.split(codes, np.cumsum(np.bincount(own, minlength=len(held)))[:-1])]
             if note is not None:
                 chunks, blobs = [*chunks, NOTE], [*blobs, note]
             return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "bucket", "codes"])
@@ -104,7 +107,10 @@ def told(asked: DataFrame, buckets: int, answer: Callable, kind) -> DataFrame:
 
 
 def by_chunk(answers: DataFrame) -> DataFrame:
-    """(chunk, codes): the answers to each chunk, in the order of its keys."""
+    """(chunk, codes): the answers to each chunk, in the order of its keys.
+
+    The side of a join, so it is small beside the chunks' own rows.
+    """
     parts = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "codes"))), lambda x: x["codes"])
     joined = F.reduce(parts, F.lit(b""), lambda a, b: F.concat(a, b))
     return answers.where(F.col("chunk") != NOTE).groupBy("chunk").agg(joined.alias("codes"))

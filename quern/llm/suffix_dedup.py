@@ -14,12 +14,14 @@ exactly the repeated windows.
   ``DIGITS`` bytes each, up to ``size``.
 
 Texts are written once, in chunks of about ``CHUNK`` bytes beside their other
-columns and runs, and never shuffled. In each pass a chunk sends its distinct
-keys (64-bit hashes of the prefix so far), sorted and coded by their
-differences, to the buckets that hold a range of keys; a bucket answers with
-one code for each key: whether it occurs again. So a hot string costs one key
-for each chunk, whatever its copies, and no task gets more than a range of
-keys. The last pass uses a second hash besides, with other weights.
+columns and runs, and stay there (beyond ``exchange.SMALL_BYTES`` of decisions,
+which are broadcast up to that, they are shuffled twice). Passes exchange keys
+(see ``exchange``): in the first one a chunk sends its runs; then it sends its
+distinct keys, 64-bit hashes of the prefix so far, and gets a code for each:
+whether it occurs again. So a hot string costs one key for each chunk, and no
+task gets more than a range of keys. Only the bytes of suffixes that are still
+open go from pass to pass. The last pass uses a second hash besides, with other
+weights.
 
 Defined results: null texts are empty; texts shorter than ``size`` lose
 nothing; equal texts (repeated rows, too) repeat each other; matches never
@@ -48,7 +50,7 @@ CHUNK = 1 << 20
 PART = 1 << 21  # bytes of one text that are hashed at a time
 BUCKET_KEYS = exchange.BUCKET_KEYS
 
-DROP, WHOLE, ON, PARTNER = 0, 1, 2, 3  # answers of the first pass
+DROP, WHOLE, ON, PARTNER = 0, 1, 2, 3  # codes of the first pass
 
 _CHUNKS = "chunk long, n_keys long, sizes binary, data binary, others binary, first binary, last binary, gram binary, around binary"
 
@@ -127,52 +129,37 @@ def _chunked(docs: DataFrame, text: str, size: int, gram: int) -> DataFrame:
 # --- answers -------------------------------------------------------------------
 
 
-def _answered(asked: DataFrame, buckets: int, answer: Callable, kind) -> DataFrame:
-    """(chunk, codes): a code for each key of each chunk, in the order of the keys."""
-    return common.checkpoint(exchange.by_chunk(exchange.told(asked, buckets, answer, kind)))
+_RUN = np.dtype([("around", "<u8"), ("first", "<u4"), ("last", "<u4")])
+_JUDGED = np.dtype([("code", "u1"), ("first", "<u4"), ("last", "<u4")])
 
 
-def _sorted_runs(gram: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order, number of the distinct run of each, first of each distinct run, their counts) by gram and around."""
-    order = np.lexsort((around, gram))
-    g, a = gram[order], around[order]
+def _judged_runs(gram: np.ndarray, more: np.ndarray, own: np.ndarray, bucket: int) -> tuple[np.ndarray, None, np.ndarray]:
+    """Code and windows of each run; one of several equal ones goes on."""
+    order = np.lexsort((more["around"], gram))
+    g, a = gram[order], more["around"][order]
     new = np.append(True, (g[1:] != g[:-1]) | (a[1:] != a[:-1])) if len(g) else np.empty(0, dtype=bool)
     at = np.flatnonzero(new)
-    return order, np.cumsum(new) - 1, order[at], np.diff(np.append(at, len(g)))
-
-
-def _judged_runs(gram: np.ndarray, more: np.ndarray, own: np.ndarray, bucket: int) -> tuple[np.ndarray, None]:
-    """Answers for distinct runs of chunks; one chunk goes on for equal ones."""
-    around, times = more["around"], more["times"].astype(np.int64)
-    order, number, first, counts = _sorted_runs(gram, around)
-    total = np.add.reduceat(times[order], np.flatnonzero(np.append(True, number[1:] != number[:-1]))) if len(order) else counts
-    g = gram[first]
-    group = np.cumsum(np.append(True, g[1:] != g[:-1])) - 1 if len(g) else np.empty(0, dtype=np.int64)
-    kinds = np.bincount(group)[group]
-    several = total > 1
-    code = np.where(kinds > 1, np.where(several, PARTNER, ON), np.where(several, WHOLE, DROP))
-    out = np.empty(len(gram), dtype=np.uint8)
-    out[order] = code[number]
-    # Of equal runs the one of the least chunk is the partner.
-    least = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(least, number, own[order])
-    out[order] = np.where((out[order] == PARTNER) & (own[order] != least[number]), WHOLE, out[order])
-    return out, None
-
-
-def _judged_keys(keys: np.ndarray, more: np.ndarray, own: np.ndarray, bucket: int) -> tuple[np.ndarray, None]:
+    copies = np.diff(np.append(at, len(g)))
+    head = g[at]
+    group = np.cumsum(np.append(True, head[1:] != head[:-1])) - 1 if len(head) else np.empty(0, dtype=np.int64)
+    several = np.bincount(group)[group] > 1 if len(group) else np.empty(0, dtype=bool)
+    code = np.repeat(np.where(several, np.where(copies > 1, WHOLE, ON), np.where(copies > 1, WHOLE, DROP)), copies)
+    code[at[several & (copies > 1)]] = PARTNER
+    out = np.empty(len(gram), dtype=_JUDGED)
+    out["code"][order] = code
+    out["first"], out["last"] = more["first"], more["last"]
+    return out, None, out["code"] != DROP
+
+
+def _judged_keys(keys: np.ndarray, more: np.ndarray, own: np.ndarray, bucket: int) -> tuple[np.ndarray, None, None]:
     """1 for keys that occur more than once; ``more`` is 2 for those that do so in their chunk, else 1."""
     found, _, number = exchange.distinct(keys)
-    return (np.bincount(number, weights=more, minlength=len(found)) > 1)[number].astype(np.uint8), None
+    return (np.bincount(number, weights=more, minlength=len(found)) > 1)[number].astype(np.uint8), None, None
 
 
 # --- passes --------------------------------------------------------------------
 
 
-def _arrays(row: dict) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(row[n], dtype=t) for n, t in (("first", np.int32), ("last", np.int32), ("gram", np.uint64), ("around", np.uint64)))
-
-
 def _windows_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Places of all windows of some runs."""
     n = last.astype(np.int64) - first + 1
@@ -195,67 +182,106 @@ def _prefixes(data: np.ndarray, places: np.ndarray, depth: int, salt: int) -> np
     return out
 
 
-def _as_partners(row: dict, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(run is repeated as a whole, run goes on) of a chunk's runs."""
-    _, _, gram, around = _arrays(row)
-    order, number, first, _ = _sorted_runs(gram, around)
-    code = np.empty(len(gram), dtype=np.uint8)
-    code[order] = codes[number]
-    lead = np.zeros(len(gram), dtype=bool)  # one of the chunk's own equal runs
-    lead[first] = True
-    return (code == WHOLE) | (code == PARTNER), ((code == ON) | (code == PARTNER)) & lead
+def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges joined where they overlap or touch, in order."""
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order].astype(np.int64), np.maximum.accumulate(end[order].astype(np.int64)) if len(end) else end
+    heads = np.flatnonzero(np.append(True, begin[1:] > reach[:-1])) if len(begin) else np.empty(0, dtype=np.int64)
+    return begin[heads], reach[np.append(heads[1:], len(begin)) - 1] if len(heads) else begin
+
+
+def _pairs(begin: np.ndarray, end: np.ndarray) -> bytes:
+    return np.column_stack([begin, end]).astype(np.int32).tobytes()
+
+
+def _unpaired(blob: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(blob or b"", dtype=np.int32).reshape(-1, 2).astype(np.int64)
+    return both[:, 0], both[:, 1]
+
+
+_OPEN = "chunk long, n long, windows binary, parts binary, data binary"
+
+
+def _opened(chunk: int, windows_: tuple[np.ndarray, np.ndarray], size: int, data: bytes, parts: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+    """A row of _OPEN: ranges of open windows, and the parts of the texts that they need.
+
+    ``data`` is a whole chunk, or ``parts`` of it side by side.
+    """
+    begin, end = windows_
+    a, b = _merged(begin, end + size - 1)
+    base, offset = (np.zeros(1, dtype=np.int64),) * 2 if parts is None else (parts[0], _offsets(*parts))
+    inside = np.searchsorted(base, a, side="right") - 1
+    x = offset[inside] + a - base[inside]
+    body = b"".join(data[i:j] for i, j in zip(x.tolist(), (x + b - a).tolist(), strict=True))
+    row = [chunk, int((end - begin).sum()), _pairs(begin, end), _pairs(a, b), body]
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(row)], names=[x.split()[0] for x in _OPEN.split(", ")])
+
+
+def _offsets(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return np.cumsum(end - begin) - (end - begin)
 
 
 def _pass_keys(row: dict, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places alive, their keys) of a chunk at a digit."""
-    places = np.frombuffer(row["places"], dtype=np.int32).astype(np.int64)
+    """(places of open windows, their keys) at a digit."""
+    begin, end = _unpaired(row["windows"])
+    places = _windows_of(begin, end - 1)
+    base, stop = _unpaired(row["parts"])
+    inside = np.searchsorted(base, places, side="right") - 1
     depths = np.minimum(np.cumsum(DIGITS), size)
     depth, salt = (int(depths[level]), 0) if level < len(DIGITS) else (size, 1)
-    return places, _prefixes(np.frombuffer(row["data"], dtype=np.uint8), places, depth, salt)
+    return places, _prefixes(np.frombuffer(row["data"], dtype=np.uint8), _offsets(base, stop)[inside] + places - base[inside], depth, salt)
 
 
-def _repeats(docs: DataFrame, text: str, size: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, answers to their runs, places of other repeated windows)."""
+def _repeats(docs: DataFrame, text: str, size: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks, ranges of their removed bytes)."""
     common.small_batches(docs.sparkSession)
-    gram = min(gram, size)
-    chunks = _chunked(docs, text, size, gram)
-    kind = np.dtype([("around", "<u8"), ("times", "u1")])
+    chunks = _chunked(docs, text, size, min(gram, size))
     count = chunks.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
     buckets = exchange.buckets_for(count, BUCKET_KEYS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):
-            grams, arounds = (np.frombuffer(row[n], dtype=np.uint64) for n in ("gram", "around"))
-            if len(grams):
-                _, _, first, counts = _sorted_runs(grams, arounds)
-                more = np.empty(len(first), dtype=kind)
-                more["around"], more["times"] = arounds[first], np.minimum(counts, 2)
-                yield exchange.questions(row["chunk"], grams[first], more, buckets)
-
-    asked = chunks.where("n_keys > 0").select("chunk", "gram", "around").mapInArrow(ask, exchange.ASKED)
-    answers = _answered(asked, buckets, _judged_runs, kind)
+            grams = np.frombuffer(row["gram"], dtype=np.uint64)
+            order = np.argsort(grams, kind="stable")
+            more = np.empty(len(grams), dtype=_RUN)
+            for n, t in (("around", np.uint64), ("first", np.int32), ("last", np.int32)):
+                more[n] = np.frombuffer(row[n], dtype=t)[order]
+            yield exchange.questions(row["chunk"], grams[order], more, buckets)
+
+    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in exchange.rows(batches):
+            judged = np.frombuffer(row["codes"], dtype=_JUDGED)
+            first, last, code = (judged[n] for n in ("first", "last", "code"))
+            whole, on = code != ON, code != WHOLE
+            removed = _pairs(*_merged(first[whole], last[whole].astype(np.int64) + size))
+            open_ = _pairs(*_merged(first[on], last[on].astype(np.int64) + 1))
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([removed], pa.binary()), pa.array([open_], pa.binary())], names=["chunk", "removed", "open"])
+
+    asked = chunks.where("n_keys > 0").select("chunk", "first", "last", "gram", "around").mapInArrow(ask, exchange.ASKED)
+    told = exchange.by_chunk(exchange.told(asked, buckets, _judged_runs, _RUN))
+    runs = common.checkpoint(told.where("codes != X''").mapInArrow(sort_out, "chunk long, removed binary, open binary"))
+    del asked, told
+    common.release(docs.sparkSession)
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):
-            first, last, _, _ = _arrays(row)
-            whole, on = _as_partners(row, np.frombuffer(row["codes"], dtype=np.uint8))
-            places = _windows_of(first[on], last[on])
-            if len(places):
-                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([np.sort(places).astype(np.int32).tobytes()], pa.binary()), pa.array([len(places)], pa.int64())], names=["chunk", "places", "n"])
+            yield _opened(row["chunk"], _unpaired(row["open"]), size, row["data"], None)
+        common.trim()
 
-    alive = common.checkpoint(exchange.beside(chunks.select("chunk", "first", "last", "gram", "around"), answers).mapInArrow(begin, "chunk long, places binary, n long"))
+    state = common.checkpoint(exchange.beside(chunks.select("chunk", "data"), runs.select("chunk", "open").where("open != X''")).mapInArrow(begin, _OPEN))
     for level in range(len(DIGITS) + 1):
         if 0 < level < len(DIGITS) and sum(DIGITS[:level]) >= size:
             continue
-        count = alive.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        count = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not count:
             break
-        alive = _next_digit(chunks, alive, level, size, exchange.buckets_for(count, BUCKET_KEYS))
-    return chunks, answers, alive
+        state = _next_digit(state, level, size, exchange.buckets_for(count, BUCKET_KEYS))
+    both = runs.select("chunk", "removed").join(state.select("chunk", "windows"), "chunk", "full")
+    return chunks, common.checkpoint(both)
 
 
-def _next_digit(chunks: DataFrame, alive: DataFrame, level: int, size: int, buckets: int) -> DataFrame:
-    """(chunk, places, n) of the windows whose prefix occurs again."""
+def _next_digit(state: DataFrame, level: int, size: int, buckets: int) -> DataFrame:
+    """The windows whose prefix occurs again, with their bytes."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):
@@ -265,17 +291,16 @@ def _next_digit(chunks: DataFrame, alive: DataFrame, level: int, size: int, buck
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):
             places, keys = _pass_keys(row, level, size)
-            again = np.frombuffer(row["codes"], dtype=np.uint8)[exchange.distinct(keys)[2]] > 0
-            if again.any():
-                left = places[again].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([left.tobytes()], pa.binary()), pa.array([len(left)], pa.int64())], names=["chunk", "places", "n"])
+            left = places[np.frombuffer(row["codes"], dtype=np.uint8)[exchange.distinct(keys)[2]] > 0]
+            if len(left):
+                yield _opened(row["chunk"], _merged(left, left + 1), size, row["data"], _unpaired(row["parts"]))
         common.trim()
 
-    held = exchange.beside(chunks.select("chunk", "data"), alive.select("chunk", "places"))
-    answers = _answered(held.mapInArrow(ask, exchange.ASKED), buckets, _judged_keys, "u1")
-    out = common.checkpoint(exchange.beside(held, answers).mapInArrow(go_on, "chunk long, places binary, n long"))
-    common.discard(answers, alive)
-    common.release(chunks.sparkSession)
+    answers = exchange.by_chunk(exchange.told(state.mapInArrow(ask, exchange.ASKED), buckets, _judged_keys, "u1"))
+    out = common.checkpoint(state.join(answers, "chunk").mapInArrow(go_on, _OPEN))
+    del answers
+    common.discard(state)
+    common.release(state.sparkSession)
     return out
 
 
@@ -283,25 +308,32 @@ def _next_digit(chunks: DataFrame, alive: DataFrame, level: int, size: int, buck
 
 
 def _covered(row: dict, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(begin, end) of the maximal runs of removed bytes of a chunk, in order.
-
-    Windows never cross texts, but runs of two texts may touch; callers cut at
-    the texts' bounds.
-    """
-    first, last, _, _ = _arrays(row)
-    whole = _as_partners(row, np.frombuffer(row["codes"], dtype=np.uint8))[0] if row["codes"] else np.zeros(len(first), dtype=bool)
-    places = np.frombuffer(row["places"] or b"", dtype=np.int32).astype(np.int64)
-    begin = np.concatenate([first[whole].astype(np.int64), places])
-    end = np.concatenate([last[whole].astype(np.int64), places]) + size
+    """(begin, end) of ranges of removed bytes of a chunk, in order; windows never cross texts."""
+    begin, end = _unpaired(row["removed"])
+    a, b = _unpaired(row["windows"])
+    begin, end = np.concatenate([begin, a]), np.concatenate([end, b + size - 1])
     order = np.argsort(begin, kind="stable")
     return begin[order], end[order]
 
 
+def _split(begin: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges cut at the texts' bounds (those of neighbouring texts may have been joined)."""
+    first, last = np.searchsorted(bounds, begin, side="right"), np.searchsorted(bounds, end, side="left")
+    n = last - first + 1
+    i = np.repeat(np.arange(len(begin)), n)
+    k = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+    a = np.where(k == 0, begin[i], bounds[np.minimum(first[i] + k - 1, len(bounds) - 1)])
+    b = np.where(k == n[i] - 1, end[i], bounds[np.minimum(first[i] + k, len(bounds) - 1)])
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order]
+
+
 def _cut(row: dict, size: int) -> Iterator[tuple[bytes, int, int, int]]:
     """(bytes kept, bytes, bytes removed, removed runs) of each text of a chunk."""
     data = row["data"]
     bounds = np.append(0, np.cumsum(np.frombuffer(row["sizes"], dtype=np.int64)))
     begin, end = _covered(row, size)
+    begin, end = _split(begin, end, bounds)
     ranges = np.searchsorted(begin, bounds)
     for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
         a, b = begin[ranges[i] : ranges[i + 1]], end[ranges[i] : ranges[i + 1]]
@@ -324,7 +356,7 @@ def _results(docs: DataFrame, text: str, size: int, gram: int, made: T.StructTyp
 
     ``make`` gets what ``_cut`` yields for each and which texts are null.
     """
-    chunks, answers, alive = _repeats(docs, text, size, gram)
+    chunks, ranges = _repeats(docs, text, size, gram)
     kept = [n for n in docs.columns if n != text]
     places = [f"c{kept.index(n)}" for n in names]
     schema = T.StructType([*(docs.schema[n] for n in names), *made])
@@ -339,8 +371,7 @@ def _results(docs: DataFrame, text: str, size: int, gram: int, made: T.StructTyp
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         common.trim()
 
-    held = exchange.beside(chunks.select("chunk", "sizes", "data", "others", "first", "last", "gram", "around"), answers, "left")
-    held = exchange.beside(held, alive.select("chunk", "places"), "left")
+    held = exchange.beside(chunks.select("chunk", "sizes", "data", "others"), ranges, "left")
     return held.mapInArrow(run, schema)
 
 
