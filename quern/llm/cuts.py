@@ -10,9 +10,11 @@ Matches are letters, digits or other signs with at most one blank before
 them, an apostrophe with a few letters, or white space alone. So these pairs
 are never inside one match: no white space then white space; letter or digit
 then a sign or the other of both; a sign other than the apostrophe then letter
-or digit. Only characters whose class is the same in every Unicode version
-count; where none is near, callers widen their windows, at worst to the whole
-text, and stay right.
+or digit. For the first pair any character counts that is no white space in any
+version of Unicode, so all scripts with blanks have stable places; for the
+others only characters whose class is the same in every version. Where no place
+is near, callers widen their windows, at worst to the whole text, and stay
+right.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ _DIGIT = "0-9"
 _SIGN = "!-&(-/:-@\\[-`{-~、。"
 
 STABLE = re.compile(
-    f"(?<=[{_LETTER}{_DIGIT}{_SIGN}'])(?=[ \\n\\t\\r])"
+    "(?<=[^\\s\u180e])(?=[ \\n\\t\\r])"
     f"|(?<=[{_LETTER}])(?=[{_DIGIT}{_SIGN}'])"
     f"|(?<=[{_DIGIT}])(?=[{_LETTER}{_SIGN}'])"
     f"|(?<=[{_SIGN}])(?=[{_LETTER}{_DIGIT}])"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKET_KEYS = 4_000_000  # about the keys that a task compares
+BUCKET_KEYS = 1_000_000  # about the keys that a task compares
 SMALL_BYTES = 64 << 20  # of answers that are broadcast
 ASKED = "bucket int, chunk long, keys binary, more binary"
 #: Number of the chunk of a row that holds what a bucket tells besides its answers.

@@ -60,6 +60,20 @@ def test_cuts_separate_tokens(tree, text):
         assert both == tree.base.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("text", ["한국어 문장 하나", "جملة عربية هنا", "हिन्दी का वाक्य", "ไทย ภาษา", "משפט בעברית", "ελληνική πρόταση", "日本 語", "a\u00a0b c", "x\u180e y z"])
+def test_cuts_in_all_scripts(tree, counter, text):
+    whole = text * 30
+    places, p = [], cuts.first_cut(whole, 0, len(whole))
+    while p >= 0:
+        places.append(p)
+        p = cuts.first_cut(whole, p, len(whole))
+    assert len(places) >= 30
+    for p in places[:40]:
+        assert tree.base.encode_ordinary(whole[:p]) + tree.base.encode_ordinary(whole[p:]) == tree.base.encode_ordinary(whole)
+    assert tree.encode(whole) == tree.base.encode_ordinary(whole)
+    assert counter.count(whole) == len(counter.tokenizer.encode(whole, add_special_tokens=False))
+
+
 def test_round_trip_rows(spark, docs, nothing, tree):
     found = by_row(bpe.round_trip(docs), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     wanted = Counter()
