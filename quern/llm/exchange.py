@@ -13,13 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 BUCKET_KEYS = 1_000_000  # about the keys that a task compares
-SMALL_BYTES = 64 << 20  # of answers that are broadcast
 ASKED = "bucket int, chunk long, keys binary, more binary"
 #: Number of the chunk of a row that holds what a bucket tells besides its answers.
 NOTE = -1
@@ -44,6 +44,22 @@ def decoded(blob: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Values, byte plane by byte plane and compressed: most are small numbers."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes())
+
+
+def unpacked(blob: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def answers_of(blobs: list[bytes] | None, kind) -> np.ndarray:
+    """The answers to a chunk, from the blobs of ``by_chunk``."""
+    return np.concatenate([unpacked(b, kind) for b in blobs]) if blobs else np.empty(0, dtype=kind)
+
+
 def buckets_for(keys: int, each: int = BUCKET_KEYS) -> int:
     return max(1, -(-keys // each))
 
@@ -61,7 +77,7 @@ def questions(chunk: int, keys: np.ndarray, more: np.ndarray, buckets: int, span
     full = np.flatnonzero(np.diff(bounds))
     pairs = [(int(bounds[i]), int(bounds[i + 1])) for i in full]
     return pa.RecordBatch.from_arrays(
-        [pa.array(full.astype(np.int32)), pa.array([chunk] * len(full), pa.int64()), pa.array([coded(keys[a:b]) for a, b in pairs], pa.binary()), pa.array([more[a:b].tobytes() for a, b in pairs], pa.binary())],
+        [pa.array(full.astype(np.int32)), pa.array([chunk] * len(full), pa.int64()), pa.array([coded(keys[a:b]) for a, b in pairs], pa.binary()), pa.array([packed(more[a:b]) for a, b in pairs], pa.binary())],
         names=["bucket", "chunk", "keys", "more"],
     )
 
@@ -82,11 +98,11 @@ def told(asked: DataFrame, buckets: int, answer: Callable, kind) -> DataFrame:
         def done() -> pa.RecordBatch:
             parts = [decoded(keys) for _, keys, _ in held]
             own = np.repeat(np.arange(len(held)), [len(p) for p in parts])
-            codes, note, send = answer(np.concatenate(parts), np.concatenate([np.frombuffer(m, dtype=kind) for _, _, m in held]), own, bucket)
+            codes, note, send = answer(np.concatenate(parts), np.concatenate([unpacked(m, kind) for _, _, m in held]), own, bucket)
             if send is not None:
                 codes, own = codes[send], own[send]
             chunks = [c for c, _, _ in held]
-            blobs = [x.tobytes() for x in np.split(codes, np.cumsum(np.bincount(own, minlength=len(held)))[:-1])]
+            blobs = [packed(x) for x in np.split(codes, np.cumsum(np.bincount(own, minlength=len(held)))[:-1])]
             if note is not None:
                 chunks, blobs = [*chunks, NOTE], [*blobs, note]
             return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "bucket", "codes"])
@@ -107,20 +123,8 @@ def told(asked: DataFrame, buckets: int, answer: Callable, kind) -> DataFrame:
 
 
 def by_chunk(answers: DataFrame) -> DataFrame:
-    """(chunk, codes): the answers to each chunk, in the order of its keys.
-
-    The side of a join, so it is small beside the chunks' own rows.
-    """
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "codes"))), lambda x: x["codes"])
-    joined = F.reduce(parts, F.lit(b""), lambda a, b: F.concat(a, b))
-    return answers.where(F.col("chunk") != NOTE).groupBy("chunk").agg(joined.alias("codes"))
-
-
-def beside(chunks: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
-    """Chunks with a side table of binaries, which is broadcast if it is small (it is measured)."""
-    binaries = [F.octet_length(n) for n, t in side.dtypes if t == "binary"]
-    size = side.agg(F.coalesce(F.sum(sum(binaries, F.lit(0))), F.lit(0))).first()[0]
-    return chunks.join(F.broadcast(side) if size <= SMALL_BYTES else side, "chunk", how)
+    """(chunk, codes): the blobs of answers to each chunk, in the order of its keys; those of NOTE, too."""
+    return answers.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "codes"))), lambda x: x["codes"]).alias("codes"))
 
 
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

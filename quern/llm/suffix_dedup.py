@@ -14,9 +14,8 @@ exactly the repeated windows.
   ``DIGITS`` bytes each, up to ``size``.
 
 Texts are written once, in chunks of about ``CHUNK`` bytes beside their other
-columns and runs, and stay there (beyond ``exchange.SMALL_BYTES`` of decisions,
-which are broadcast up to that, they are shuffled twice). Passes exchange keys
-(see ``exchange``): in the first one a chunk sends its runs; then it sends its
+columns and runs, in a table bucketed by chunk, and are never shuffled. Passes
+exchange keys (see ``exchange``): in the first one a chunk sends its runs; then it sends its
 distinct keys, 64-bit hashes of the prefix so far, and gets a code for each:
 whether it occurs again. So a hot string costs one key for each chunk, and no
 task gets more than a range of keys. Only the bytes of suffixes that are still
@@ -123,7 +122,7 @@ def _chunked(docs: DataFrame, text: str, size: int, gram: int) -> DataFrame:
         common.trim()
 
     source = docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(kept)), F.col(text).alias("__text"))
-    return common.checkpoint(source.mapInArrow(run, _CHUNKS))
+    return common.bucketed(source.mapInArrow(run, _CHUNKS), "chunk")
 
 
 # --- answers -------------------------------------------------------------------
@@ -250,7 +249,7 @@ def _repeats(docs: DataFrame, text: str, size: int, gram: int) -> tuple[DataFram
 
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):
-            judged = np.frombuffer(row["codes"], dtype=_JUDGED)
+            judged = exchange.answers_of(row["codes"], _JUDGED)
             first, last, code = (judged[n] for n in ("first", "last", "code"))
             whole, on = code != ON, code != WHOLE
             removed = _pairs(*_merged(first[whole], last[whole].astype(np.int64) + size))
@@ -259,7 +258,7 @@ def _repeats(docs: DataFrame, text: str, size: int, gram: int) -> tuple[DataFram
 
     asked = chunks.where("n_keys > 0").select("chunk", "first", "last", "gram", "around").mapInArrow(ask, exchange.ASKED)
     told = exchange.by_chunk(exchange.told(asked, buckets, _judged_runs, _RUN))
-    runs = common.checkpoint(told.where("codes != X''").mapInArrow(sort_out, "chunk long, removed binary, open binary"))
+    runs = common.checkpoint(told.mapInArrow(sort_out, "chunk long, removed binary, open binary"))
     del asked, told
     common.release(docs.sparkSession)
 
@@ -268,7 +267,7 @@ def _repeats(docs: DataFrame, text: str, size: int, gram: int) -> tuple[DataFram
             yield _opened(row["chunk"], _unpaired(row["open"]), size, row["data"], None)
         common.trim()
 
-    state = common.checkpoint(exchange.beside(chunks.select("chunk", "data"), runs.select("chunk", "open").where("open != X''")).mapInArrow(begin, _OPEN))
+    state = common.bucketed(chunks.select("chunk", "data").join(runs.select("chunk", "open").where("open != X''"), "chunk").mapInArrow(begin, _OPEN), "chunk")
     for level in range(len(DIGITS) + 1):
         if 0 < level < len(DIGITS) and sum(DIGITS[:level]) >= size:
             continue
@@ -291,15 +290,14 @@ def _next_digit(state: DataFrame, level: int, size: int, buckets: int) -> DataFr
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):
             places, keys = _pass_keys(row, level, size)
-            left = places[np.frombuffer(row["codes"], dtype=np.uint8)[exchange.distinct(keys)[2]] > 0]
+            left = places[exchange.answers_of(row["codes"], "u1")[exchange.distinct(keys)[2]] > 0]
             if len(left):
                 yield _opened(row["chunk"], _merged(left, left + 1), size, row["data"], _unpaired(row["parts"]))
         common.trim()
 
     answers = exchange.by_chunk(exchange.told(state.mapInArrow(ask, exchange.ASKED), buckets, _judged_keys, "u1"))
-    out = common.checkpoint(state.join(answers, "chunk").mapInArrow(go_on, _OPEN))
+    out = common.bucketed(state.join(answers, "chunk").mapInArrow(go_on, _OPEN), "chunk")
     del answers
-    common.discard(state)
     common.release(state.sparkSession)
     return out
 
@@ -371,7 +369,7 @@ def _results(docs: DataFrame, text: str, size: int, gram: int, made: T.StructTyp
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         common.trim()
 
-    held = exchange.beside(chunks.select("chunk", "sizes", "data", "others"), ranges, "left")
+    held = chunks.select("chunk", "sizes", "data", "others").join(ranges, "chunk", "left")
     return held.mapInArrow(run, schema)
 
 

@@ -82,12 +82,10 @@ def test_suffix_dedup(spark, docs, nothing):
     assert suffix_dedup.remove(docs).where("doc_id = 5").first().n_removed == len(rows[5].text)
 
 
-@pytest.mark.parametrize("small", [64 << 20, 0])
-def test_suffix_dedup_passes(spark, monkeypatch, small):
+def test_suffix_dedup_passes(spark, monkeypatch):
     """Digits, chunks, parts and buckets of any size; passages cut at every place."""
     for name, value in {"DIGITS": (12, 9, 9), "CHUNK": 400, "PART": 150, "BUCKET_KEYS": 50}.items():
         monkeypatch.setattr(suffix_dedup, name, value)
-    monkeypatch.setattr(exchange, "SMALL_BYTES", small)
     r = random.Random(17)
     word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 4)))
     texts = []

@@ -267,11 +267,10 @@ def test_toxicity_accuracy():
     assert right.mean() > 0.97
 
 
-@pytest.mark.parametrize(("chunk", "bucket", "small"), [(1_500_000, 2_000_000, 64 << 20), (300, 700, 0)])
-def test_pitman_yor(spark, docs, nothing, monkeypatch, chunk, bucket, small):
+@pytest.mark.parametrize(("chunk", "bucket"), [(1_000_000, 1_000_000), (300, 700)])
+def test_pitman_yor(spark, docs, nothing, monkeypatch, chunk, bucket):
     monkeypatch.setattr(pitman_yor, "CHUNK_TOKENS", chunk)
     monkeypatch.setattr(pitman_yor, "BUCKET_KEYS", bucket)
-    monkeypatch.setattr(exchange, "SMALL_BYTES", small)
     rows = pitman_yor.score(docs).collect()
     source = docs.select("doc_id", "text").collect()
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
