@@ -8,6 +8,7 @@ stands for the column that the level will make for it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -153,9 +154,9 @@ class Frame:
             return F.when(pos.isNotNull(), F.struct(self.key(path[:-1]).alias("p"), pos.alias("i")))
         return self.column(path, "__key")
 
-    def plain(self, path: tuple[str, ...]) -> bool:
-        """Whether each row of the node occurs once in the joined frame."""
-        active = [n for n in self.nodes.values() if n.path]
+    def plain(self, path: tuple[str, ...], without: frozenset = frozenset()) -> bool:
+        """Whether each row of the node occurs once in the joined frame (without some nodes)."""
+        active = [n for n in self.nodes.values() if n.path and n.path not in without]
         if any(n.kind == "cross" or (n.define is not None and n.define.how in ("right", "full")) for n in active):
             return False
         many = [n.path for n in active if n.kind in ("many", "array")]
@@ -163,13 +164,45 @@ class Frame:
             return False
         return all(self.nodes[path[: i + 1]].kind in ("many", "array") for i in range(len(path)))
 
-    def build(self):
+    def idle(self, columns: list[Column], paths: list[tuple[str, ...]]) -> frozenset:
+        """Nodes of left joins that repeat rows and that nothing in some columns and paths needs.
+
+        Without them the frame has the same rows, not repeated.
+        """
+        ids = {n.id: n.path for n in self.nodes.values()}
+        of = lambda c: {ids[i] for i in re.findall(r"\bj\d+(?=·)", str(c)) if i in ids}
+        needed, fresh = set(), {(), *paths}.union(*(of(c) for c in columns))
+        while fresh:
+            path = fresh.pop()
+            if path in needed:
+                continue
+            needed.add(path)
+            n = self.nodes[path]
+            own = [*([n.on] if n.on is not None else []), *n.where, *([n.array.c] if n.array is not None else [])]
+            fresh |= {path[:i] for i in range(len(path))}.union(*(of(c) for c in own))
+        out: set[tuple[str, ...]] = set()
+        for n in self.nodes.values():
+            if n.kind in ("many", "array"):
+                tree = [m for m in self.nodes.values() if m.path[: len(n.path)] == n.path]
+                if all(m.path not in needed and m.kind in ("one", "many", "array") and (m.define is None or m.define.how == "left") for m in tree):
+                    out |= {m.path for m in tree}
+        # What another node's condition refers to has to stay.
+        for n in self.nodes.values():
+            if n.path and n.path not in out:
+                own = [*([n.on] if n.on is not None else []), *n.where]
+                if out & set().union(*(of(c) for c in own)):
+                    return frozenset()
+        return frozenset(out)
+
+    def build(self, without: frozenset = frozenset()):
         """The joined DataFrame; columns are named <node>·<field>."""
         root = self.nodes[()]
         df = self.side(root, self.source.hidden)
         arrays = [n for n in self.nodes.values() if n.kind == "array" and all(self.nodes[n.path[:i]].kind == "array" for i in range(1, len(n.path)))]
         later = [n for n in self.nodes.values() if n.path and n not in arrays]
         for n in [*arrays, *later]:
+            if n.path in without:
+                continue
             if n.kind == "array":
                 df = df.select("*", F.posexplode_outer(n.array.c).alias(f"{n.id}·__pos", f"{n.id}·value"))
                 continue
@@ -721,8 +754,6 @@ class Compiler:
         return self.window(build(*values), ordered, frame, partition, order, args[0] if args else None)
 
     def raw_sql(self, kind: str, n: Node) -> E:
-        import re
-
         self.model.refuse("sql functions")
         text = n.args[0].value
         node = self.frame.node(self.path)

@@ -480,7 +480,7 @@ class Planner:
         if lv.dims:
             df = df.withColumns({d.id: d.e.c for d in lv.dims})
         keys = [*parents, *(d.id for d in lv.dims)]
-        out = self.aggregate(df, keys, lv.ledger.specs)
+        out = self.aggregate(df, keys, lv.ledger.specs, lv)
         for (how, fields), ledger in lv.ledger.ungrouped.items():
             fewer, rows = self.reduced(lv, df, parents, how, fields)
             out = same_keys(out, self.aggregate(rows, fewer, ledger.specs), fewer, "left")
@@ -543,8 +543,28 @@ class Planner:
                 df = df.withColumns({d.id: d.e.c for d in x.dims})
         return df
 
-    def base_rows(self) -> DataFrame:
-        df = self.frame.build()
+    def lean(self, lv: Level, specs: list[Spec]) -> tuple[DataFrame | None, frozenset]:
+        """Rows of a level without the branches that some aggregates do not need, and those branches."""
+        line = self.line(lv)
+        columns = [d.e.c for x in line for d in x.dims] + [c for x in line for c in x.where]
+        columns += [self.compiler(None).condition(w) for w in [*self.source.where, *([self.extra] if self.extra is not None else [])]]
+        for s in specs:
+            columns += [*s.args, *([s.cond] if s.cond is not None else []), *(o for o, _ in s.order)]
+        without = self.frame.idle(columns, [s.path for s in specs])
+        if not without:
+            return None, without
+        df = self.base_rows(without)
+        if self.extra is not None:
+            df = df.where(self.compiler(None).condition(self.extra))
+        for x in reversed(line):
+            for c in x.where:
+                df = df.where(c)
+            if x.dims:
+                df = df.withColumns({d.id: d.e.c for d in x.dims})
+        return df, without
+
+    def base_rows(self, without: frozenset = frozenset()) -> DataFrame:
+        df = self.frame.build(without)
         for w in self.source.where:
             df = df.where(self.compiler(None).condition(w))
         return df
@@ -598,8 +618,13 @@ class Planner:
         return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= limit).drop("__rank")
 
     # -- aggregation
-    def aggregate(self, df: DataFrame, keys: list[str], specs: list[Spec]) -> DataFrame:
-        """One row for each combination of keys, with a column for each spec."""
+    def aggregate(self, df: DataFrame, keys: list[str], specs: list[Spec], lv: Level | None = None) -> DataFrame:
+        """One row for each combination of keys, with a column for each spec.
+
+        Aggregates of rows that joins repeat are taken, level by level, from a
+        frame without the branches that repeat them, if nothing else needs
+        these; so branches side by side are never multiplied.
+        """
         plain: list[Column] = []
         by_path: dict[tuple[str, ...], list[Spec]] = {}
         for s in specs:
@@ -608,14 +633,20 @@ class Planner:
             else:
                 by_path.setdefault(s.path, []).append(s)
         columns = list(map(quoted, keys))
+        thin = self.lean(lv, [])[0] if lv is not None and by_path else None
         if plain:
             out = df.groupBy(*columns).agg(*plain) if keys else df.agg(*plain)
         elif by_path and not keys:
             out = None
         else:
-            out = df.select(*columns).distinct() if keys else df.sparkSession.range(1).select(F.lit(1).alias("__one"))
+            out = (df if thin is None else thin).select(*columns).distinct() if keys else df.sparkSession.range(1).select(F.lit(1).alias("__one"))
         for path, group in by_path.items():
-            part = self.by_key(df, keys, path, group)
+            fewer, without = self.lean(lv, group) if lv is not None else (None, frozenset())
+            if fewer is not None and self.frame.plain(path, without):
+                found = [self.plain_column(s).alias(s.name) for s in group]
+                part = fewer.groupBy(*columns).agg(*found) if keys else fewer.agg(*found)
+            else:
+                part = self.by_key(df if fewer is None else fewer, keys, path, group)
             out = part if out is None else same_keys(out, part, keys, "left")
         return out
 
