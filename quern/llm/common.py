@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 #: this many rows large, so it stays well below Spark's default of 10,000.
 BATCH_ROWS = 500
 
+#: Bytes of such a batch, beyond one row.
+BATCH_BYTES = "8m"
+
 #: Key of a row inside an operator. Ids may be null or repeat, so decisions
 #: are joined back on the position of the row in the scan instead.
 ROW = "__row"
@@ -41,6 +44,7 @@ def small_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def with_row(df: DataFrame) -> DataFrame:

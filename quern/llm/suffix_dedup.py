@@ -47,7 +47,7 @@ GRAM = 64
 DIGITS = (64, 68, 68)
 CHUNK = 1 << 20
 PART = 1 << 21  # bytes of one text that are hashed at a time
-BUCKET_KEYS = exchange.BUCKET_KEYS
+BUCKET_KEYS = 400_000  # a run takes more memory than a key
 
 DROP, WHOLE, ON, PARTNER = 0, 1, 2, 3  # codes of the first pass
 
