@@ -123,8 +123,13 @@ def told(asked: DataFrame, buckets: int, answer: Callable, kind) -> DataFrame:
 
 
 def by_chunk(answers: DataFrame) -> DataFrame:
-    """(chunk, codes): the blobs of answers to each chunk, in the order of its keys; those of NOTE, too."""
-    return answers.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "codes"))), lambda x: x["codes"]).alias("codes"))
+    """(chunk, note, codes): the blobs of answers to each chunk, in the order of its keys.
+
+    A NOTE stays a row of its own; ``note`` is its bucket, else null.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("bucket", "codes")))
+    note = F.when(F.col("chunk") == NOTE, F.col("bucket")).alias("note")
+    return answers.groupBy("chunk", note).agg(F.transform(parts, lambda x: x["codes"]).alias("codes"))
 
 
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -146,7 +151,5 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def summed(number: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of integers for each number."""
-    out = np.zeros(n, dtype=np.int64)
-    np.add.at(out, number, values.astype(np.int64))
-    return out
+    """Sums of integers (below 2 ** 53) for each number."""
+    return np.bincount(number, weights=values, minlength=n).astype(np.int64)

@@ -295,7 +295,7 @@ def _next_digit(state: DataFrame, level: int, size: int, buckets: int) -> DataFr
                 yield _opened(row["chunk"], _merged(left, left + 1), size, row["data"], _unpaired(row["parts"]))
         common.trim()
 
-    answers = exchange.by_chunk(exchange.told(state.mapInArrow(ask, exchange.ASKED), buckets, _judged_keys, "u1"))
+    answers = exchange.by_chunk(exchange.told(state.mapInArrow(ask, exchange.ASKED), buckets, _judged_keys, "u1")).drop("note")
     out = common.bucketed(state.join(answers, "chunk").mapInArrow(go_on, _OPEN), "chunk")
     del answers
     common.release(state.sparkSession)

@@ -320,7 +320,7 @@ def brute_model(spark, docs):
             m_w = {w: int(pitman_yor.seat(np.array([number[w]], dtype=np.uint64), np.array([c]), np.array([a]), before[0].parent.discount, s + 1000)[0]) for w, c in t_w.items()}
         history[-1][3] = m_w
         drawn = model.sweeps[s - pitman_yor.BURN_IN + 1] if s >= pitman_yor.BURN_IN - 1 else None
-        history[-1][0] = drawn or SWEEPS[s]
+        history[-1][0] = drawn or SWEEPS[s + 1]
         if drawn:
             assert (drawn.customers, drawn.tables) == (sum(t_w.values()), sum(m_w.values()))
         sweeps.append((history[-1], tables))
