@@ -118,7 +118,7 @@ def told(asked: DataFrame, buckets: int, answer: Callable, kind) -> DataFrame:
             yield done()
         common.trim()
 
-    sorted_rows = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
+    sorted_rows = asked.repartitionById(buckets, F.col("bucket") % buckets).sortWithinPartitions("bucket", "chunk")
     return sorted_rows.mapInArrow(run, "chunk long, bucket int, codes binary")
 
 

@@ -45,7 +45,7 @@ from . import common, exchange, windows
 SIZE = 200
 GRAM = 64
 DIGITS = (64, 68, 68)
-CHUNK = 1 << 20
+CHUNK = 1 << 18  # rows of chunks stay below what the JVM's collector takes for huge
 PART = 1 << 21  # bytes of one text that are hashed at a time
 BUCKET_KEYS = 400_000  # a run takes more memory than a key
 
