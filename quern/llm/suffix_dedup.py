@@ -240,7 +240,7 @@ def _repeats(docs: DataFrame, text: str, size: int, gram: int) -> tuple[DataFram
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):
-            grams = np.frombuffer(row["gram"], dtype=np.uint64)
+            grams = common.mix64(np.frombuffer(row["gram"], dtype=np.uint64))  # least hashes are small, buckets want them even
             order = np.argsort(grams, kind="stable")
             more = np.empty(len(grams), dtype=_RUN)
             for n, t in (("around", np.uint64), ("first", np.int32), ("last", np.int32)):
