@@ -98,16 +98,22 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     name = f"quern_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
     writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    _paths[out] = path
+    _tables[out] = name
+    return out
 
 
-#: Where the tables of ``checkpoint`` are; an entry goes with its frame.
+#: Where the tables of ``checkpoint`` and ``bucketed`` are, and the latter's names; an entry goes with its frame.
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables of ``checkpoint`` that nothing reads any more."""
+    """Delete tables of ``checkpoint`` and ``bucketed`` that nothing reads any more."""
     for df in frames:
+        if name := _tables.pop(df, None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path := _paths.pop(df, None):
             jvm = df.sparkSession.sparkContext._jvm
             place = jvm.org.apache.hadoop.fs.Path(path)

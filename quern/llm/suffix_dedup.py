@@ -275,8 +275,9 @@ def _repeats(docs: DataFrame, text: str, size: int, gram: int) -> tuple[DataFram
         if not count:
             break
         state = _next_digit(state, level, size, exchange.buckets_for(count, BUCKET_KEYS))
-    both = runs.select("chunk", "removed").join(state.select("chunk", "windows"), "chunk", "full")
-    return chunks, common.checkpoint(both)
+    both = common.checkpoint(runs.select("chunk", "removed").join(state.select("chunk", "windows"), "chunk", "full"))
+    common.discard(runs, state)
+    return chunks, both
 
 
 def _next_digit(state: DataFrame, level: int, size: int, buckets: int) -> DataFrame:
@@ -298,7 +299,8 @@ def _next_digit(state: DataFrame, level: int, size: int, buckets: int) -> DataFr
     answers = exchange.by_chunk(exchange.told(state.mapInArrow(ask, exchange.ASKED), buckets, _judged_keys, "u1")).drop("note")
     out = common.bucketed(state.join(answers, "chunk").mapInArrow(go_on, _OPEN), "chunk")
     del answers
-    common.release(state.sparkSession)
+    common.discard(state)
+    common.release(out.sparkSession)
     return out
 
 

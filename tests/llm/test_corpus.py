@@ -84,7 +84,7 @@ def test_suffix_dedup(spark, docs, nothing):
 
 def test_suffix_dedup_passes(spark, monkeypatch):
     """Digits, chunks, parts and buckets of any size; passages cut at every place."""
-    for name, value in {"DIGITS": (12, 9, 9), "CHUNK": 400, "PART": 150, "BUCKET_KEYS": 50}.items():
+    for name, value in {"DIGITS": (12, 9, 9), "CHUNK": 400, "PART": 150, "BUCKET_KEYS": 400}.items():
         monkeypatch.setattr(suffix_dedup, name, value)
     r = random.Random(17)
     word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 4)))

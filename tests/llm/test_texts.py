@@ -267,7 +267,7 @@ def test_toxicity_accuracy():
     assert right.mean() > 0.97
 
 
-@pytest.mark.parametrize(("chunk", "bucket"), [(1_000_000, 1_000_000), (300, 700)])
+@pytest.mark.parametrize(("chunk", "bucket"), [(1_000_000, 1_000_000), (4000, 6000)])
 def test_pitman_yor(spark, docs, nothing, monkeypatch, chunk, bucket):
     monkeypatch.setattr(pitman_yor, "CHUNK_TOKENS", chunk)
     monkeypatch.setattr(pitman_yor, "BUCKET_KEYS", bucket)
