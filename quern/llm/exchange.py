@@ -9,6 +9,7 @@ that holds it, and no task gets more than a range of keys.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,14 +45,19 @@ def decoded(blob: bytes) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
+@functools.cache
+def _zstd() -> tuple:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed(values: np.ndarray) -> bytes:
     """Values, byte plane by byte plane and compressed: most are small numbers."""
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes())
+    return _zstd()[0].compress(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes())
 
 
 def unpacked(blob: bytes, kind) -> np.ndarray:
     kind = np.dtype(kind)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    planes = np.frombuffer(_zstd()[1].decompress(blob), dtype=np.uint8)
     return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
