@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from quern.functions import library, temporal
 from quern.lang.syntax import AGGREGATES, UNITS, Node
 from quern.operators import filters
-from quern.sources.model import Field, JoinDef, ModelProblem, Source
+from quern.sources.model import JoinDef, ModelProblem, Source
 
 
 @dataclass
