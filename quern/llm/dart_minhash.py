@@ -385,9 +385,11 @@ def classes(rows: DataFrame, threshold: float = SIMILARITY, words: int = WORDS)
     if not open_rows.isEmpty():
         more = common.checkpoint(_open_links(open_rows, texts, threshold, words))
         joined = components(links.unionByName(more).distinct(), "kind", "pivot")
-    common.discard(open_rows, texts)
+    common.discard(open_rows, texts, links)
     named = common.checkpoint(kinds.join(joined.toDF("kind", "cls"), "kind", "left").select("kind_a", "kind_b", "kind", F.coalesce("cls", "kind").alias("cls")))
-    return made.select(ROW, "kind_a", "kind_b").join(named, ["kind_a", "kind_b"]).select(ROW, "kind", "cls")
+    out = common.checkpoint(made.select(ROW, "kind_a", "kind_b").join(named, ["kind_a", "kind_b"]).select(ROW, "kind", "cls"))
+    common.discard(made, kinds, named)
+    return out
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -412,5 +414,6 @@ def keep_one(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY)
     found = classes(rows.select(ROW, "text"), threshold)
     first = found.groupBy("cls").agg(F.min(ROW).alias(ROW)).select(ROW)
     wordless = rows.where(F.coalesce(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")), F.lit("")) == "").select(ROW)
-    kept = first.unionByName(wordless).distinct()
-    return rows.join(kept, ROW, "left_semi").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    gone = common.checkpoint(found.select(ROW).join(first.unionByName(wordless), ROW, "left_anti"))
+    common.discard(found)
+    return rows.join(common.sized(gone, SMALL_KINDS), ROW, "left_anti").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -49,6 +49,7 @@ COVERAGE = 0.25
 VERBATIM = 13
 SHORT = 3
 FILTER_WINDOWS = 1_000_000
+SMALL_ROWS = 1_000_000  # numbers of rows that are broadcast: below 20 MB
 TRIM = ".,;:!?|*#\"'()[]{}<>«»“”‘’…–—-"
 
 # Words that stand for numbers, and for units.
@@ -230,5 +231,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
     names = docs.columns
     rows = common.with_row(docs.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names)), F.col(text).alias("text")))
     items = common.with_row(benchmark.select(F.col(item_text).alias("text")))
-    bad = leaks(rows.select(ROW, "text"), items).select(ROW).distinct()
-    return rows.join(bad, ROW, "left_anti").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    bad = common.checkpoint(leaks(rows.select(ROW, "text"), items).select(ROW).distinct())
+    return rows.join(common.sized(bad, SMALL_ROWS), ROW, "left_anti").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -14,7 +14,7 @@ exactly the repeated windows.
   ``DIGITS`` bytes each, up to ``size``.
 
 Texts are written once, in chunks of about ``CHUNK`` bytes beside their other
-columns and runs, in a table bucketed by chunk, and are never shuffled. Passes
+columns, in a table bucketed by chunk, and are never shuffled. Passes
 exchange keys (see ``exchange``): in the first one a chunk sends its runs; then it sends its
 distinct keys, 64-bit hashes of the prefix so far, and gets a code for each:
 whether it occurs again. So a hot string costs one key for each chunk, and no
@@ -51,7 +51,7 @@ BUCKET_KEYS = 400_000  # a run takes more memory than a key
 
 DROP, WHOLE, ON, PARTNER = 0, 1, 2, 3  # codes of the first pass
 
-_CHUNKS = "chunk long, n_keys long, sizes binary, data binary, others binary, first binary, last binary, gram binary, around binary"
+_CHUNKS = "chunk long, n_bytes long, sizes binary, data binary, others binary"
 
 
 # --- chunks --------------------------------------------------------------------
@@ -84,8 +84,8 @@ def _others(batches: list[pa.RecordBatch]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _chunked(docs: DataFrame, text: str, size: int, gram: int) -> DataFrame:
-    """Texts with their other columns and runs, in chunks; written once."""
+def _chunked(docs: DataFrame, text: str) -> DataFrame:
+    """Texts with their other columns, in chunks; written once."""
     kept = [n for n in docs.columns if n != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +98,7 @@ def _chunked(docs: DataFrame, text: str, size: int, gram: int) -> DataFrame:
             nonlocal number, total, texts, held
             sizes = np.array(list(map(len, texts)), dtype=np.int64)
             data = b"".join(texts)
-            found = _runs(np.frombuffer(data, dtype=np.uint8), np.append(0, np.cumsum(sizes)), size, gram)
-            row = [number, len(found["first"]), sizes.tobytes(), data, _others(held), found["first"].astype(np.int32).tobytes(), found["last"].astype(np.int32).tobytes(), found["gram"].tobytes(), found["around"].tobytes()]
+            row = [number, len(data), sizes.tobytes(), data, _others(held)]
             number, total, texts, held = number + 1, 0, [], []
             names = [x.split()[0] for x in _CHUNKS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(row)], names=names)
@@ -234,18 +233,23 @@ def _pass_keys(row: dict, level: int, size: int) -> tuple[np.ndarray, np.ndarray
 def _repeats(docs: DataFrame, text: str, size: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """(chunks, ranges of their removed bytes)."""
     common.small_batches(docs.sparkSession)
-    chunks = _chunked(docs, text, size, min(gram, size))
-    count = chunks.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
+    gram = min(gram, size)
+    chunks = _chunked(docs, text)
+    # Of random bytes every (size - gram) / 2 or so begins a run.
+    count = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0] * 2 // (size - gram + 2)
     buckets = exchange.buckets_for(count, BUCKET_KEYS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):
-            grams = common.mix64(np.frombuffer(row["gram"], dtype=np.uint64))  # least hashes are small, buckets want them even
-            order = np.argsort(grams, kind="stable")
-            more = np.empty(len(grams), dtype=_RUN)
-            for n, t in (("around", np.uint64), ("first", np.int32), ("last", np.int32)):
-                more[n] = np.frombuffer(row[n], dtype=t)[order]
-            yield exchange.questions(row["chunk"], grams[order], more, buckets)
+            bounds = np.append(0, np.cumsum(np.frombuffer(row["sizes"], dtype=np.int64)))
+            found = _runs(np.frombuffer(row["data"], dtype=np.uint8), bounds, size, gram)
+            keys = common.mix64(found["gram"])  # least hashes are small, buckets want them even
+            order = np.argsort(keys, kind="stable")
+            more = np.empty(len(keys), dtype=_RUN)
+            for n in ("around", "first", "last"):
+                more[n] = found[n][order]
+            yield exchange.questions(row["chunk"], keys[order], more, buckets)
+        common.trim()
 
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):
@@ -256,7 +260,7 @@ def _repeats(docs: DataFrame, text: str, size: int, gram: int) -> tuple[DataFram
             open_ = _pairs(*_merged(first[on], last[on].astype(np.int64) + 1))
             yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([removed], pa.binary()), pa.array([open_], pa.binary())], names=["chunk", "removed", "open"])
 
-    asked = chunks.where("n_keys > 0").select("chunk", "first", "last", "gram", "around").mapInArrow(ask, exchange.ASKED)
+    asked = chunks.select("chunk", "sizes", "data").mapInArrow(ask, exchange.ASKED)
     told = exchange.by_chunk(exchange.told(asked, buckets, _judged_runs, _RUN))
     runs = common.checkpoint(told.mapInArrow(sort_out, "chunk long, removed binary, open binary"))
     del asked, told
