@@ -422,6 +422,14 @@ def test_model_beats_base(spark):
     assert sum(r.score for r in rows) > 0.93 * sum(r.base_score for r in rows)
 
 
+def test_sweeps_have_settled(spark):
+    """Averaged are sweeps after the seating has left its start of one table for each dish."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pitman_yor.fit(df.selectExpr("doc_id AS key", "text", "crc32(CAST(doc_id AS string)) % 10 = 0 AS held_out"))
+    kept = [s.customers for s in model.sweeps[1:]]
+    assert len(kept) >= 4 and max(kept) - min(kept) < 0.005 * max(kept)
+
+
 @given(st.lists(st.binary(max_size=60), max_size=6), st.integers(2, 12))
 @settings(max_examples=60, deadline=None)
 def test_anchors_cover_windows(texts, size):
