@@ -17,7 +17,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quern.llm import bpe, common, cuts, licenses, pitman_yor, syncmers, token_counts, toxicity, windows
+from quern.llm import bpe, common, cuts, exchange, licenses, pitman_yor, syncmers, token_counts, toxicity, windows
 
 
 def by_row(df, *columns):
@@ -286,6 +286,57 @@ def test_pitman_yor(spark, docs, nothing, monkeypatch, chunk, bucket):
     assert [r.doc_id for r in pitman_yor.score(one).collect()] == [0]
 
 
+def test_hashes_of_words_without_strings():
+    import time
+
+    import xxhash
+
+    texts = ["", "a", "é日本", "x" * 300, "a"]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["q", *texts, "r"]).slice(1, 5), pa.array([], pa.string()), pa.array(["", ""])):
+        assert common.hash_strings(column).tolist() == [xxhash.xxh3_64_intdigest(x) for x in column.to_pylist()]
+    words = pa.array([f"word{i}" for i in range(300_000)], pa.large_string())
+    times = []
+    for f in (common.hash_strings, lambda c: np.fromiter((xxhash.xxh3_64_intdigest(x) for x in c.to_pylist()), dtype=np.uint64)):
+        times.append([])
+        for _ in range(3):
+            begin = time.process_time()
+            f(words)
+            times[-1].append(time.process_time() - begin)
+    assert min(times[0]) < 0.7 * min(times[1])
+
+
+def test_distinct_keys_of_any_width():
+    rng = np.random.default_rng(5)
+    for top in (1, 5, 1 << 20, 1 << 58, (1 << 64) - 1):
+        keys = rng.integers(0, top, 3000, dtype=np.uint64, endpoint=True)
+        keys[:2] = 0, top
+        found, times, number = exchange.distinct(keys)
+        wanted = np.unique(keys, return_inverse=True, return_counts=True)
+        assert (found == wanted[0]).all() and (number == wanted[1]).all() and (times == wanted[2]).all()
+    assert [len(x) for x in exchange.distinct(np.empty(0, dtype=np.uint64))] == [0, 0, 0]
+
+
+def test_packed_structures():
+    x = np.zeros(1000, dtype=pitman_yor._SEEN)
+    x["customers"], x["tables"], x["parent"] = np.arange(1000) << 33, np.arange(1000), 7
+    assert (exchange.unpacked(exchange.packed(x), x.dtype) == x).all()
+    assert len(exchange.unpacked(exchange.packed(x[:0]), x.dtype)) == 0
+    for top in (200, 1 << 30, 1 << 62):
+        keys = np.unique(np.random.default_rng(1).integers(0, top, 500, dtype=np.uint64))
+        assert (exchange.decoded(exchange.coded(keys)) == keys).all()
+
+
+def test_workers_do_not_look_over_modules_after_each_task(spark):
+    def run(batches):
+        import gc
+
+        for batch in batches:
+            common.trim()
+            yield pa.RecordBatch.from_arrays([pa.array([gc.get_freeze_count()] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert spark.range(1).mapInArrow(run, "n long").first().n > 10_000
+
+
 def brute_model(spark, docs):
     """Probabilities from the sampled seating by plain loops over words, with dictionaries."""
     model = pitman_yor.fit(docs.selectExpr("doc_id AS key", "text", "false AS held_out"))
