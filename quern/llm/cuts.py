@@ -25,14 +25,31 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡА-я一-龥あ-ん"
 _DIGIT = "0-9"
 _SIGN = "!-&(-/:-@\\[-`{-~、。"
 
+_BLANK = "(?<=[^\\s\u180e])(?=[ \\n\\t\\r])"
+_PIECES = re.compile(_BLANK)
+#: The same pieces in texts without other white space.
+_RARE, _PLAIN = re.compile("[^\\S \\n\\t\\r]|\u180e"), re.compile("[ \\n\\t\\r]*[^ \\n\\t\\r]+|[ \\n\\t\\r]+")
+_BLANKS = frozenset(" \n\t\r")
+_SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | {"\u180e"}
+
 STABLE = re.compile(
-    "(?<=[^\\s\u180e])(?=[ \\n\\t\\r])"
+    f"{_BLANK}"
     f"|(?<=[{_LETTER}])(?=[{_DIGIT}{_SIGN}'])"
     f"|(?<=[{_DIGIT}])(?=[{_LETTER}{_SIGN}'])"
     f"|(?<=[{_SIGN}])(?=[{_LETTER}{_DIGIT}])"
 )
 
 
+def pieces(text: str) -> list[str]:
+    """The text cut wherever a blank follows any other character; the tokens of a piece are those it has alone."""
+    return _PIECES.split(text) if _RARE.search(text) else _PLAIN.findall(text)
+
+
+def joinable(piece: str) -> bool:
+    """Whether pieces put side by side are cut again where this one begins and ends."""
+    return piece[:1] in _BLANKS and piece[-1] not in _SPACES
+
+
 def last_cut(text: str, start: int, end: int) -> int:
     """Last stable place p, start < p < end, by characters inside; -1: none."""
     found = -1

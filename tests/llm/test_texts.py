@@ -94,6 +94,47 @@ def test_token_counts(docs, nothing, counter):
     assert found == wanted and token_counts.count_tokens(nothing).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(words, st.sampled_from(["a\u00a0b c", "x\u180e y", "\x1c z", "\t\r\n", " \x0b q"])), max_size=6))
+def test_pieces_equal_library(counter, texts):
+    c = token_counts.ChunkedCounter(common.tokenizer_file(token_counts.VOCABULARY))
+    assert c.in_pieces
+    wanted = [c.tokenizer.encode(t, add_special_tokens=False) for t in texts]
+    assert c.count_all(texts) == c.count_all(texts) == [len(e) for e in wanted]
+    assert [c._starts(t, 0, len(t)) for t in texts] == [[a for a, _ in e.offsets] for e in wanted]
+    assert counter.count_all(texts) == [len(e) for e in wanted]
+
+
+def test_pieces_go_to_the_library_once(monkeypatch):
+    c = token_counts.ChunkedCounter(common.tokenizer_file(token_counts.VOCABULARY))
+    text = " ".join(f"word{i % 40}" for i in range(3000))
+    seen = []
+
+    class Spied:
+        def encode_batch(self, texts, **options):
+            seen.append(sum(map(len, texts)))
+            return tokenizer.encode_batch(texts, **options)
+
+    tokenizer, c.tokenizer = c.tokenizer, Spied()
+    n = len(tokenizer.encode(text, add_special_tokens=False))
+    assert c.count_all([text[:9000], text, text * 2])[1] == n
+    assert 0 < sum(seen) < 1000
+    monkeypatch.setattr(token_counts, "KEPT_PIECES", 10)
+    assert c.count_all([text + " more"]) == [len(tokenizer.encode(text + " more", add_special_tokens=False))]
+
+
+def test_other_tokenizers_get_texts_whole(tmp_path):
+    import json
+
+    with open(common.tokenizer_file(token_counts.VOCABULARY), encoding="utf-8") as f:
+        made = json.load(f)
+    made["added_tokens"][0]["rstrip"] = True
+    (tmp_path / "other.json").write_text(json.dumps(made), encoding="utf-8")
+    c = token_counts.ChunkedCounter(str(tmp_path / "other.json"))
+    text = "a <|endoftext|>  b"
+    assert not c.in_pieces and c.count_all([text]) == [len(c.tokenizer.encode(text, add_special_tokens=False))]
+
+
 def test_syncmers(spark, docs, nothing):
     assert syncmers.report(nothing).count() == 0
     rows = syncmers.report(docs).collect()
