@@ -623,12 +623,18 @@ class Planner:
 
         Aggregates of rows that joins repeat are taken, level by level, from a
         frame without the branches that repeat them, if nothing else needs
-        these; so branches side by side are never multiplied.
+        these; so branches side by side are never multiplied. Distinct counts
+        beside sketches are taken apart: together, Spark would make and merge
+        the sketches of each distinct value.
         """
         plain: list[Column] = []
+        apart: list[Column] = []
         by_path: dict[tuple[str, ...], list[Spec]] = {}
+        sketched = any(s.build in library.SKETCHES and (s.fn == "free" or self.frame.plain(s.path)) for s in specs)
         for s in specs:
-            if s.fn in ("min", "max", "count_distinct", "free") or self.frame.plain(s.path):
+            if s.fn == "count_distinct" and sketched:
+                apart.append(self.plain_column(s).alias(s.name))
+            elif s.fn in ("min", "max", "count_distinct", "free") or self.frame.plain(s.path):
                 plain.append(self.plain_column(s).alias(s.name))
             else:
                 by_path.setdefault(s.path, []).append(s)
@@ -648,6 +654,8 @@ class Planner:
             else:
                 part = self.by_key(df if fewer is None else fewer, keys, path, group)
             out = part if out is None else same_keys(out, part, keys, "left")
+        if apart:
+            out = same_keys(out, df.groupBy(*columns).agg(*apart) if keys else df.agg(*apart), keys, "left")
         return out
 
     def plain_column(self, s: Spec) -> Column:

@@ -203,6 +203,19 @@ def test_queries(model, text, wanted):
     assert found == wanted or (text.count("index") and sorted(found, key=str) == sorted(wanted, key=str))
 
 
+def test_near_counts_of_many_groups(spark):
+    """Distinct counts near 5000 and 30000, every one within 3 %; exact ones beside sketches are taken apart from them."""
+    m = Model(spark, {"many": spark.range(200_000).selectExpr("id % 40 AS g", "id AS k"), "more": spark.range(180_000).selectExpr("id % 6 AS g", "id AS k")})
+    for table, wanted, median in (("many", 5000, 100_000), ("more", 30000, 90_000)):
+        df = m.run(f"run: t.table('{table}') -> {{ group_by: g aggregate: a is count_approx(k), e is count(k), p is approx_percentile(k, 0.5) }}")
+        found = df.collect()
+        assert {r.e for r in found} == {wanted}
+        assert all(abs(r.a / wanted - 1) < 0.03 and abs(r.p / median - 1) < 0.01 for r in found)
+        assert "partial_percentile_approx" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "merge_percentile_approx" not in plan
+    r = m.run("run: t.table('many') -> { aggregate: a is count_approx(k) { where: k < 0 }, e is count(k), b is count_approx(k) }").first()
+    assert (r.a, r.e) == (0, 200_000) and abs(r.b / r.e - 1) < 0.03
+
+
 def test_default_limit_and_tag(model):
     df = model.run("run: people -> { select: k }", default_limit=2)
     sc = model.spark.sparkContext
