@@ -28,7 +28,6 @@ from quern.lang.syntax import Node
 from quern.plans.compiler import Compiler, E, Frame, Ledger, Spec, kind_of, quoted
 from quern.sources.model import Field, Model, ModelProblem, Source, find, nodes
 
-SAMPLE_ROWS = 50_000
 INDEX_ROWS = 100_000
 NODE_ROLES = ("select", "group_by", "aggregate", "calculate", "nest", "index")
 
@@ -736,8 +735,9 @@ class Planner:
                 paths.append(item)
         sample = self.stage.of("sample")
         source = self.source
-        if sample and sample[-1].value is not False:
-            v = sample[-1].value
+        # sample: true leaves it to the engine whether to sample, and Spark reads all rows.
+        v = sample[-1].value if sample and not isinstance(sample[-1].value, bool) else None
+        if v is not None:
             load = source.frame
             source = source.copy()
             source.frame = lambda: sampled(load(), v)
@@ -771,15 +771,15 @@ class Planner:
         limits = self.stage.of("limit")
         if limits:
             return out.orderBy(F.col("weight").desc_nulls_last(), "fieldPath", "fieldValue").limit(limits[-1].n)
-        return out.limit(INDEX_ROWS) if sample and sample[-1].value is not False else out
+        return out if v is None else out.limit(INDEX_ROWS)
 
 
-def sampled(df: DataFrame, how: float | int | bool) -> DataFrame:
-    """A share of the rows, or about so many of them (``SAMPLE_ROWS``: true) taken evenly."""
+def sampled(df: DataFrame, how: float | int) -> DataFrame:
+    """A share of the rows, or about so many of them taken evenly."""
     if isinstance(how, float):
         return df.sample(how, seed=1)
-    wanted, there = SAMPLE_ROWS if how is True else how, df.count()
-    return df if there <= wanted else df.sample(wanted / there, seed=1)
+    there = df.count()
+    return df if there <= how else df.sample(how / there, seed=1)
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -216,6 +216,17 @@ def test_near_counts_of_many_groups(spark):
     assert (r.a, r.e) == (0, 200_000) and abs(r.b / r.e - 1) < 0.03
 
 
+def test_index_of_all_rows(spark):
+    """Weights and values are whole with sample: true; a number after it still samples."""
+    m = Model(spark, {"many": spark.range(120_000).selectExpr("CAST(id AS STRING) AS v", "CAST(id % 2 AS STRING) AS g")})
+    found = m.run("run: t.table('many') -> { index: g sample: true }").collect()
+    assert sorted((r.fieldValue, r.weight) for r in found) == [("0", 60_000), ("1", 60_000)]
+    assert m.run("run: t.table('many') -> { index: v sample: true }").count() == 120_000
+    assert m.run("run: t.table('many') -> { index: v sample: false }").count() == 120_000
+    assert 800 < m.run("run: t.table('many') -> { index: v sample: 1000 }").count() < 1200
+    assert 11_000 < m.run("run: t.table('many') -> { index: v sample: 10% }").count() < 13_000
+
+
 def test_default_limit_and_tag(model):
     df = model.run("run: people -> { select: k }", default_limit=2)
     sc = model.spark.sparkContext
